@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, chat, secrets
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
+    "op3_chat_format": chat.query,
+    "op10_secret_ledger": secrets.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_chat_format": chat.ORACLE,
+}
