@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, quality, secrets
+from . import bpe, chat, decontam, quality, secrets, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op3_chat_format": chat.query,
+    "op6_simhash": simhash.query,
     "op7_decontaminate": decontam.query,
     "op8_quality": quality.query,
     "op10_secret_ledger": secrets.query,
