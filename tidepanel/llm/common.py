@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,3 +58,9 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
 
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs, which Spark keeps until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

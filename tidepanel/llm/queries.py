@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, quality, secrets, simhash
+from . import bpe, chat, decontam, quality, secrets, simhash, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_decontaminate": decontam.query,
     "op8_quality": quality.query,
+    "op9_substrings": substrings.query,
     "op10_secret_ledger": secrets.query,
 }
 
