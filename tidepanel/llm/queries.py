@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, neighbours, quality, secrets, simhash, substrings
+from . import bpe, chat, decontam, neighbours, quality, secrets, sharding, simhash, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op3_chat_format": chat.query,
     "op4_neighbours": neighbours.query,
+    "op5_shard": sharding.query,
     "op6_simhash": simhash.query,
     "op7_decontaminate": decontam.query,
     "op8_quality": quality.query,
