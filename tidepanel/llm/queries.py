@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, neighbours, quality, secrets, sharding, simhash, substrings
+from . import bpe, chat, decontam, html, neighbours, quality, secrets, sharding, simhash, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
+    "op2_html_text": html.query,
     "op3_chat_format": chat.query,
     "op4_neighbours": neighbours.query,
     "op5_shard": sharding.query,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_html_text": html.query,
     "op3_chat_format": chat.ORACLE,
 }
