@@ -9,7 +9,7 @@ Positions are code points from 0, end exclusive. Spark has no function for the p
 summed from the lengths of the pieces between matches and of the matches themselves, in order.
 
 Null texts count as empty. Each row of the input, repeated or not, comes out once with its findings, which may be none;
-an empty table gives no rows. Columns besides the key and the text are left out.
+an empty table gives no rows. Of the other columns those asked for are kept.
 """
 
 from __future__ import annotations
@@ -79,11 +79,14 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def scan(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key of each row with ``blob_id`` and ``found``, all findings in order; adds to the ledger what it lacks."""
+def scan(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns ``keep`` of each row with ``blob_id`` and ``found``, all findings in order; adds to the ledger what it
+    lacks. A column of one of these two names gives way."""
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob_id", F.unhex(F.sha2("text", 256)))
-    blobs = rows.groupBy("blob_id").agg(F.first("text").alias("text"))
+    keep = [c for c in keep if c not in ("blob_id", "found")]
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(*keep, F.unhex(F.sha2(body, 256)).alias("blob_id"))
+    blobs = df.select(F.unhex(F.sha2(body, 256)).alias("blob_id"), body.alias("text")).groupBy("blob_id").agg(F.first("text").alias("text"))
     wanted = F.array(*(F.lit(r.name) for r in rules))
     known = _ledger(spark, ledger)
     if known is None:
@@ -101,13 +104,24 @@ def scan(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key: str =
     if known is not None:
         now = now.where(F.size(ours) > 0).select("blob_id", of_ours.alias("found")).groupBy("blob_id").agg(F.flatten(F.collect_list("found")).alias("found"))
     findings = now.select("blob_id", F.sort_array("found").alias("found")).where(F.size("found") > 0)
-    return rows.select(key, "blob_id").join(findings, "blob_id", "left").select(key, "blob_id", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
+    return rows.join(findings, "blob_id", "left").select(*keep, "blob_id", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 
 
 def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
 
 
+def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
+    """``text`` with each stretch that findings cover, overlapping ones together, replaced by ``mark``."""
+
+    def grown(acc: Column, f: Column) -> Column:
+        fresh = F.when(f["start"] >= acc["at"], F.concat(F.substr(text, acc["at"] + 1, F.greatest(f["start"] - acc["at"], F.lit(0))), F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], f["end"]).alias("at"), F.concat(acc["out"], fresh).alias("out"))
+
+    walked = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), grown, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    return F.when(F.size(found) > 0, walked).otherwise(text)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scan(docs, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")

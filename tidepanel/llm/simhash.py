@@ -2,7 +2,7 @@
 
 ``fingerprints`` gives each text 64 bits from its word shingles. Equal fingerprints fall together before anything else,
 so groups of copies cost one entry each. Fingerprints that differ in ``distance`` bits or fewer agree on at least one
-of ``distance + 1`` blocks of bits; each is dealt once for each block, by the bits of that block. Within such a group
+of ``distance + 1`` blocks of bits (or two of ``distance + 2``, and so on); each is dealt once for each, by its bits. Within such a group
 the fingerprints are sorted by their Gray rank, so that neighbours share most bits, and indexed bottom-up: a node holds
 the bits that all entries below it share, and of these only the ones that its parent lacks are compared, on top of the
 differences counted so far; past ``distance`` the whole node is left out. A group above ``group_rows`` entries is split:
@@ -18,13 +18,14 @@ the component of the others with that fingerprint and no part in links of its ow
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import ranges, small_batches, stored, table
+from .common import ranges, release, small_batches, stored, table
 from .components import components
 
 SEED = 42
@@ -127,14 +128,16 @@ def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def links(entries: DataFrame, distance: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
+def links(entries: DataFrame, distance: int = 2, agree: int = 1, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Links ``a``, ``b`` that join the ids of all fingerprints within ``distance`` bits of each other.
 
-    ``entries`` has a row ``fingerprint``, ``id`` for each distinct fingerprint.
+    ``entries`` has a row ``fingerprint``, ``id`` for each distinct fingerprint. Of ``distance + agree`` blocks of bits
+    such fingerprints share ``agree`` or more, so each choice of that many blocks deals all fingerprints once.
     """
-    blocks = distance + 1
+    blocks = distance + agree
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    keys = F.array(*(F.shiftrightunsigned("fingerprint", a).bitwiseAND((1 << (b - a)) - 1 if b - a < 64 else -1) for a, b in zip(cuts, cuts[1:])))
+    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in some) for some in combinations(range(blocks), agree)]
+    keys = F.array(*(F.col("fingerprint").bitwiseAND(m - (1 << 64) if m >> 63 else m) for m in masks))
     dealt = entries.select("fingerprint", "id", F.posexplode(keys).alias("block", "bits"))
     # Groups too large for one task: part p is indexed by itself and searched with the whole group.
     large = dealt.groupBy("block", "bits").count().where(F.col("count") > group_rows).select("block", "bits", F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
@@ -187,15 +190,47 @@ def links(entries: DataFrame, distance: int = 2, group_rows: int = GROUP_ROWS) -
     return dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2, agree: int = 1) -> DataFrame:
     """``key``, ``fingerprint`` and ``component_id``, the least key that a row's fingerprint reaches over links."""
     marked = stored(fingerprints(df.select(F.col(key).alias(key), F.col(text).alias("text")), shingle=shingle, drop_text=True), "fingerprints")
     entries = marked.groupBy("fingerprint").agg(F.min(key).alias("id"))
-    found = components(links(entries.where(F.col("id").isNotNull()), distance))
+    found = components(links(entries.where(F.col("id").isNotNull()), distance, agree))
     labels = entries.join(found, entries["id"] == found["node"], "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
     return marked.join(stored(labels, "labels"), "fingerprint", "left").select(key, "fingerprint", "component_id")
 
 
+def similarity(left: str | None, right: str | None, shingle: int) -> float:
+    """The Jaccard similarity of two texts' word shingles, in lower case A-Z; 1 for two texts without words."""
+    sets = []
+    for text in (left, right):
+        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        sets.append({tuple(found[i : i + shingle]) for i in range(max(1, len(found) - shingle + 1) if found else 0)})
+    both = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / both if both else 1.0
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 8) -> DataFrame:
+    """``df`` without near-duplicates: of the rows whose fingerprints are linked within ``distance`` bits, the one with
+    the least key stays, and so do those whose ``shingle``-word shingles are less than ``least`` similar to its own.
+    Rows without a key stay."""
+    found = near_duplicates(df, key, text, distance=distance, agree=2).where(F.col(key) != F.col("component_id"))
+    found = stored(found.select(F.col(key).alias("k"), "component_id"), "members")
+    release(df.sparkSession)
+    texts = df.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    members = texts.join(found, "k")
+    heads = texts.join(found.select(F.col("component_id").alias("k")).distinct(), "k").dropDuplicates(["k"]).select(F.col("k").alias("component_id"), F.col("text").alias("head"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(a.as_py(), b.as_py(), shingle) >= least for a, b in zip(batch.column("text"), batch.column("head"))]
+            yield pa.RecordBatch.from_arrays([batch.column("k").filter(pa.array(near, pa.bool_()))], names=["k"])
+
+    pairs = members.join(heads, "component_id").select("k", "text", "head")
+    gone = stored(pairs.mapInArrow(run, T.StructType([T.StructField("k", found.schema["k"].dataType)])).distinct(), "gone")
+    release(df.sparkSession)
+    return df.join(gone, df[key] == gone["k"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
