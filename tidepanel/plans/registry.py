@@ -8,3 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function of the session and a folder of tables; ``oracle`` is SQL with the same result."""
+
+    def register(function):
+        QUERIES[name] = function
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return function
+
+    return register
