@@ -60,7 +60,7 @@ def rotated(x: np.ndarray, number: int, seed: int) -> np.ndarray:
 
 def cells(y: np.ndarray, count: int) -> np.ndarray:
     """The ``count`` nearest signed axes of each row, nearest first; axis a is 2a, or 2a + 1 where negative."""
-    both = np.stack([y, -y], axis=2).reshape(len(y), -1)
+    both = np.stack([y, -y], axis=2).reshape(len(y), 2 * y.shape[1])
     if count == 1:
         return both.argmax(1)[:, None].astype(np.int32)
     return np.argsort(-both, axis=1, kind="stable")[:, :count].astype(np.int32)
@@ -106,9 +106,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
             looks = np.stack([cells(rotated(q, t, s.seed), min(s.probes, 2 * padded)) for t in range(s.tables)], axis=1)
             per_row = np.zeros(len(x), np.int64)
             per_row[asking] = looks.shape[2]
-            probes = looks.reshape(len(asking), -1)
             at = np.concatenate([[0], np.cumsum(per_row * s.tables)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), list_array(own.ravel(), np.arange(len(x) + 1) * s.tables, pa.int32()), list_array(probes.ravel(), at, pa.int32())], names=["id", "v", "cells", "probes"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), list_array(own.ravel(), np.arange(len(x) + 1) * s.tables, pa.int32()), list_array(looks.ravel(), at, pa.int32())], names=["id", "v", "cells", "probes"])
 
     marked = stored(entries.select("id", "v", "asks").mapInArrow(hashed, f"id long, v {entries.schema['v'].dataType.simpleString()}, cells array<int>, probes array<int>"), "hashed")
     held = marked.select("id", "v", F.posexplode("cells").alias("tab", "cell"))
@@ -146,11 +145,13 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
     found = held.unionByName(probed).groupBy("tab", "cell", "part").applyInPandas(best, "id long, near array<long>, scores array<double>")
     # Best first: largest product, then smallest id. An entry met in several tables has one score.
     zipped = F.transform(F.arrays_zip("near", "scores"), lambda x: F.struct((-x["scores"]).alias("minus"), x["near"].alias("near")))
-    lists = found.select("id", zipped.alias("near")).groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
+    lists = found.select("id", zipped.alias("near")).groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
+    fresh = F.filter("near", lambda x, i: (i == 0) | (x["near"] != F.col("near")[F.greatest(i - 1, F.lit(0))]["near"]))
+    lists = lists.select("id", F.slice(fresh, 1, k + 1).alias("near"))
     met = lists.select(F.col("id").alias("asker"), F.explode("near").alias("near")).select("asker", F.col("near.near").alias("id"), F.col("near.minus").alias("minus"))
     members = entries.select("id", "ids")
     rows_of = F.transform("ids", lambda i: F.struct(F.col("minus"), i.alias("vec_id")))
-    answers = met.join(members, "id").select("asker", rows_of.alias("rows")).groupBy("asker").agg(F.slice(F.array_sort(F.flatten(F.collect_list("rows"))), 1, k + 1).alias("rows"))
+    answers = met.join(members, "id").select("asker", rows_of.alias("rows")).groupBy("asker").agg(F.slice(F.sort_array(F.flatten(F.collect_list("rows"))), 1, k + 1).alias("rows"))
     answers = stored(answers, "answers")
     askers = kept.where("asks").join(entries.where("asks").select(F.col("id").alias("asker"), "v"), "v").select(F.col("id").alias("query_id"), "asker")
     others = F.slice(F.filter("rows", lambda r: r["vec_id"] != F.col("query_id")), 1, k)
