@@ -32,12 +32,18 @@ class Config:
 @dataclass(frozen=True)
 class Result:
     """``daily``: date, strategy, gross, cost, return. ``trades``: date, strategy, turnover, cost, traded. ``targets``:
-    date, strategy, ticker, weight. ``warnings``: date, strategy, warning."""
+    date, strategy, ticker, weight. ``warnings``: date, strategy, warning. They share what Spark keeps of their inputs
+    until ``release``."""
 
     daily: DataFrame
     trades: DataFrame
     targets: DataFrame
     warnings: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for frame in self.kept:
+            frame.unpersist()
 
 
 def indexed(returns: DataFrame) -> DataFrame:
@@ -70,7 +76,7 @@ def walk(rows: DataFrame, targets: DataFrame, c: Config) -> Result:
     any at the first is left out."""
     held = rows.where(F.col("idx") >= c.lookback).withColumn("k", F.floor((F.col("idx") - c.lookback) / F.lit(float(c.every))).cast("int"))
     first = targets.where("k = 0").select("strategy").distinct()
-    targets = targets.join(F.broadcast(first), "strategy", "left_semi")
+    targets = targets.join(F.broadcast(first), "strategy", "left_semi").persist()
     calendar = held.groupBy("k").agg(F.min("date").alias("date"), F.min("idx").alias("idx"))
     solved = targets.select("k", "strategy").distinct().withColumn("solved", F.col("k"))
     # For each rebalance and strategy the last one at which it had targets: a row a rebalance.
@@ -79,7 +85,7 @@ def walk(rows: DataFrame, targets: DataFrame, c: Config) -> Result:
     trades = every.join(solved, ["k", "strategy"], "left").withColumn("segment", F.last("solved", ignorenulls=True).over(Window.partitionBy("strategy").orderBy("k")))
     days = held.join(F.broadcast(trades.select("k", "strategy", "segment")), "k").join(targets.withColumnRenamed("k", "segment"), ["segment", "strategy", "ticker"])
     line = Window.partitionBy("strategy", "segment", "ticker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    days = days.withColumn("held", F.col("weight") * F.product(1 + F.col("return")).over(line))
+    days = days.withColumn("held", F.col("weight") * F.product(1 + F.col("return")).over(line)).persist()
     worth = days.groupBy("strategy", "segment", "k", "date", "idx").agg(F.sum("held").alias("worth"), F.sum("weight").alias("put_in"))
     along = Window.partitionBy("strategy", "segment").orderBy("idx")
     gross = worth.withColumn("gross", F.coalesce(F.try_divide("worth", F.lag("worth").over(along)), F.try_divide("worth", "put_in")) - 1)
@@ -96,7 +102,7 @@ def walk(rows: DataFrame, targets: DataFrame, c: Config) -> Result:
     daily = daily.select("date", "strategy", "gross", F.coalesce("cost", F.lit(0.0)).alias("cost"), (F.col("gross") - F.coalesce("cost", F.lit(0.0))).alias("return"))
     dated = targets.join(F.broadcast(calendar.select("k", "date")), "k").select("date", "strategy", "ticker", "weight")
     warnings = trades.where("NOT traded").select("date", "strategy", F.lit("no solution; holdings were kept").alias("warning"))
-    return Result(daily, trades.drop("k"), dated, warnings)
+    return Result(daily, trades.drop("k"), dated, warnings, (rows, targets, days))
 
 
 def _limited(rows: DataFrame, c: Config, strategies: list[str], constraints: Constraints, rf: float) -> DataFrame:
@@ -125,7 +131,7 @@ def _limited(rows: DataFrame, c: Config, strategies: list[str], constraints: Con
 
 def backtest(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), c: Config = Config(), constraints: Constraints = FREE, rf: float = 0.0) -> Result:
     """``Equal`` and ``InverseVariance`` are plain aggregates; the other names are those of ``optimize``."""
-    rows = indexed(returns)
+    rows = indexed(returns).persist()
     facts = rows.agg(F.max("idx").alias("last"), F.count_distinct("ticker").alias("assets")).first()
     if (facts["assets"] or 0) < 2:
         raise ValueError("a backtest needs two assets at least")
@@ -144,8 +150,6 @@ def backtest(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES),
     targets = parts[0].select("k", "strategy", "ticker", "weight")
     for p in parts[1:]:
         targets = targets.unionByName(p.select("k", "strategy", "ticker", "weight"))
-    if solver:
-        targets = targets.persist()  # used for holdings, turnover and results; solving twice would cost most
     return walk(rows, targets, c)
 
 
