@@ -236,10 +236,10 @@ def votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
             hosts, paths, points = [], [], []
             for name, value in zip(batch.column("host").to_pylist(), batch.column("page")):
                 _, sums, total = read(value.as_py() or "")
-                for score, path in scores(sums, total)[:VOTES] if total else ():
+                for place, (score, path) in enumerate(scores(sums, total)[:VOTES] if total else ()):
                     hosts.append(name)
                     paths.append(path)
-                    points.append(int(score * 1_000_000))
+                    points.append(int(score * 1_000_000) >> place)  # a page's second choice counts half
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(points, pa.int64())], names=["host", "path", "points"])
 
     cast = pages.select(host(F.col(url)).alias("host"), F.col(page).alias("page")).mapInArrow(run, "host string, path string, points long")
