@@ -219,6 +219,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("text"))
     members = texts.join(found, "k")
     heads = texts.join(found.select(F.col("component_id").alias("k")).distinct(), "k").dropDuplicates(["k"]).select(F.col("k").alias("component_id"), F.col("text").alias("head"))
+    heads = stored(heads, "heads")  # read anew, the join below can be split where a component is hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
