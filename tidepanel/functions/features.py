@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.frames import finite
+from .windows import by_date
 
 # Window lengths and the decay of the relative strength index.
 VOLATILITY, MOMENTUM, GAPS, RANGE, RSI, LAGS = (5, 21, 63), (5, 21, 63), (21, 63), 21, 14, 10
-ORDER = Window.partitionBy("ticker").orderBy("date")
 
 
 def names(lags: int = LAGS) -> list[str]:
@@ -21,7 +21,7 @@ def names(lags: int = LAGS) -> list[str]:
 
 def over_full(value: Column, aggregate: Column, rows: int) -> Column:
     """An aggregate over the last rows, null until as many values are there."""
-    frame = ORDER.rowsBetween(-(rows - 1), 0)
+    frame = by_date().rowsBetween(-(rows - 1), 0)
     return F.when(F.count(value).over(frame) >= rows, aggregate.over(frame))
 
 
@@ -49,13 +49,13 @@ def relative_strength() -> Column:
 def features(prices: DataFrame, lags: int = LAGS) -> DataFrame:
     """``date, ticker, price`` and the features, in the order of ``names``."""
     p = F.col("price")
-    base = prices.select("date", "ticker", "price").withColumns({"ret": F.try_divide(p, F.lag(p).over(ORDER)) - 1, "delta": p - F.lag(p).over(ORDER)})
+    base = prices.select("date", "ticker", "price").withColumns({"ret": F.try_divide(p, F.lag(p).over(by_date())) - 1, "delta": p - F.lag(p).over(by_date())})
     base = smoothed(base)
     ret = F.col("ret")
     low, high = (over_full(p, f(p), RANGE) for f in (F.min, F.max))
-    columns = {f"ret_lag_{k}": F.lag(ret, k - 1).over(ORDER) if k > 1 else ret for k in range(1, lags + 1)}
+    columns = {f"ret_lag_{k}": F.lag(ret, k - 1).over(by_date()) if k > 1 else ret for k in range(1, lags + 1)}
     columns |= {f"vol_{w}": over_full(ret, F.stddev_samp(ret), w) for w in VOLATILITY}
-    columns |= {f"mom_{w}": F.try_divide(p, F.lag(p, w).over(ORDER)) - 1 for w in MOMENTUM}
+    columns |= {f"mom_{w}": F.try_divide(p, F.lag(p, w).over(by_date())) - 1 for w in MOMENTUM}
     columns |= {f"ma_gap_{w}": F.try_divide(p, over_full(p, F.avg(p), w)) - 1 for w in GAPS}
     columns |= {"range_position": F.try_divide(p - low, high - low), f"rsi_{RSI}": relative_strength()}
     columns |= {"weekday": F.weekday("date").cast("double"), "month": F.month("date").cast("double")}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .windows import by_date
 
-ORDER = Window.partitionBy("ticker").orderBy("date")
 
 
 def simple(price: str = "price") -> Column:
-    return F.try_divide(F.col(price), F.lag(price).over(ORDER)) - 1
+    return F.try_divide(F.col(price), F.lag(price).over(by_date())) - 1
 
 
 def simple_returns(prices: DataFrame, price: str = "price") -> DataFrame:
@@ -16,5 +17,5 @@ def simple_returns(prices: DataFrame, price: str = "price") -> DataFrame:
 
 
 def log_returns(prices: DataFrame, price: str = "price") -> DataFrame:
-    ratio = F.try_divide(F.col(price), F.lag(price).over(ORDER))
+    ratio = F.try_divide(F.col(price), F.lag(price).over(by_date()))
     return prices.withColumn("ratio", ratio).where(F.col("ratio") > 0).select("date", "ticker", F.ln("ratio").alias("return"))

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.features import LAGS, names
 from ..functions.returns import simple
+from ..functions.windows import by_date
 from .splits import reconstructed, splits, unscaled, validation
 
 LEAST_OBSERVATIONS = 200
-ORDER = Window.partitionBy("ticker").orderBy("date")
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ class Params:
 def naive(prices: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """The random walk: each test row is predicted by the price before it."""
     whole = Window.partitionBy("ticker")
-    rows = prices.withColumns({"seq": F.row_number().over(ORDER) - 1, "n": F.count("*").over(whole), "predicted": F.lag("price").over(ORDER)})
+    rows = prices.withColumns({"seq": F.row_number().over(by_date()) - 1, "n": F.count("*").over(whole), "predicted": F.lag("price").over(by_date())})
     tested = rows.where((F.col("n") >= LEAST_OBSERVATIONS) & (F.col("seq") >= F.ceil(F.col("n") * params.train)))
     failed = rows.where(F.col("n") < LEAST_OBSERVATIONS).select("ticker", F.lit("too few observations").alias("reason")).distinct()
     return tested.select("ticker", "date", "predicted", F.col("price").alias("actual")), failed

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions.windows import by_date
 
-ORDER = Window.partitionBy("ticker").orderBy("date")
 ALMOST_ZERO = 1e-8
 
 
 def metrics(forecast: DataFrame) -> DataFrame:
     """One row for each ticker; a measure that is not defined is null."""
     p, a = F.col("predicted"), F.col("actual")
-    rows = forecast.withColumn("before", F.lag("actual").over(ORDER))
+    rows = forecast.withColumn("before", F.lag("actual").over(by_date()))
     called = F.signum(p - F.col("before")), F.signum(a - F.col("before"))
     rows = rows.withColumns({"error": p - a, "agrees": F.when((called[0] != 0) & (called[1] != 0), (called[0] == called[1]).cast("double"))})
     later = F.col("before").isNotNull()

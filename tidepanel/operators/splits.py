@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.features import LAGS, features, names
+from ..functions.windows import by_date, by_ticker
 
-ORDER = Window.partitionBy("ticker").orderBy("date")
-WHOLE = Window.partitionBy("ticker")
 TINY = 1e-12
 LEAST_TRAIN = 50
 
@@ -21,15 +20,15 @@ def usable(x: Column) -> Column:
 def with_targets(frame: DataFrame, target: str = "return") -> DataFrame:
     """Adds ``target``, the next return or price, ``target_date``, ``prev_price`` and ``actual_price``; a ticker's last
     row has none."""
-    following = F.lead("price").over(ORDER)
+    following = F.lead("price").over(by_date())
     value = F.try_divide(following, F.col("price")) - 1 if target == "return" else following
-    return frame.withColumns({"target": value, "target_date": F.lead("date").over(ORDER), "prev_price": F.col("price"), "actual_price": following})
+    return frame.withColumns({"target": value, "target_date": F.lead("date").over(by_date()), "prev_price": F.col("price"), "actual_price": following})
 
 
 def numbered(frame: DataFrame, columns: list[str], train: float, window: int | None = None) -> DataFrame:
     """Rows with everything finite, numbered from 0, with ``n`` of their ticker, the cut and ``is_train``."""
     fine = reduce(lambda a, b: a & b, (usable(F.col(c)) for c in (*columns, "target", "price")))
-    rows = frame.where(fine).withColumns({"seq_no": F.row_number().over(ORDER) - 1, "n": F.count("*").over(WHOLE)})
+    rows = frame.where(fine).withColumns({"seq_no": F.row_number().over(by_date()) - 1, "n": F.count("*").over(by_ticker())})
     cut = F.ceil(F.col("n") * train)
     if window:
         cut = F.greatest(cut, F.lit(window + 1))
@@ -48,8 +47,8 @@ def scaled(rows: DataFrame, columns: list[str]) -> DataFrame:
     to nothing counts as 1. ``y_mean`` and ``y_scale`` undo the target's."""
     def of(c: str) -> tuple[Column, Column]:
         seen = F.when(F.col("is_train"), F.col(c))
-        deviation = F.stddev_pop(seen).over(WHOLE)
-        return F.avg(seen).over(WHOLE), F.when(deviation > TINY, deviation).otherwise(1.0)
+        deviation = F.stddev_pop(seen).over(by_ticker())
+        return F.avg(seen).over(by_ticker()), F.when(deviation > TINY, deviation).otherwise(1.0)
 
     stats = {c: of(c) for c in (*columns, "target")}
     out = {f"{c}_scaled": (F.col(c) - m) / s for c, (m, s) in stats.items()}
@@ -63,7 +62,7 @@ def unscaled(column: str) -> Column:
 def min_max(rows: DataFrame, column: str) -> DataFrame:
     """Adds ``<column>_unit``: 0 to 1 over the training rows, not clipped beyond them."""
     seen = F.when(F.col("is_train"), F.col(column))
-    low, high = F.min(seen).over(WHOLE), F.max(seen).over(WHOLE)
+    low, high = F.min(seen).over(by_ticker()), F.max(seen).over(by_ticker())
     return rows.withColumn(f"{column}_unit", (F.col(column) - low) / F.when(high - low > TINY, high - low).otherwise(1.0))
 
 
@@ -78,13 +77,13 @@ def splits(prices: DataFrame, train: float, target: str = "return", lags: int =
 
 def sequences(rows: DataFrame, columns: list[str], window: int) -> DataFrame:
     """Adds ``x``, the columns of the last ``window`` rows, oldest first; rows with fewer before them are left out."""
-    listed = F.collect_list(F.array(*columns)).over(ORDER.rowsBetween(-(window - 1), 0))
+    listed = F.collect_list(F.array(*columns)).over(by_date().rowsBetween(-(window - 1), 0))
     return rows.withColumn("x", listed).where(F.size("x") == window)
 
 
 def lagged(prices: DataFrame, length: int) -> DataFrame:
     """``x``, the ``length`` prices before each row, and ``y``, its own."""
-    listed = F.collect_list("price").over(ORDER.rowsBetween(-length, -1))
+    listed = F.collect_list("price").over(by_date().rowsBetween(-length, -1))
     return prices.withColumn("x", listed).where(F.size("x") == length).select("date", "ticker", "x", F.col("price").alias("y"))
 
 

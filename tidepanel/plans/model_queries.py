@@ -33,8 +33,8 @@ def simple_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPLIT = BARS + f""", t AS (
   SELECT date, ticker, price, price / lag(price) OVER w - 1 AS ret, lead(price) OVER w / price - 1 AS target, lead(date) OVER w AS target_date, lead(price) OVER w AS actual_price
-  FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date)
-), u AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS seq_no, count(*) OVER (PARTITION BY ticker) AS n FROM t WHERE ret IS NOT NULL AND target IS NOT NULL),
+  FROM prices WINDOW w AS (PARTITION BY ticker by_date() BY date)
+), u AS (SELECT *, row_number() OVER (PARTITION BY ticker by_date() BY date) - 1 AS seq_no, count(*) OVER (PARTITION BY ticker) AS n FROM t WHERE ret IS NOT NULL AND target IS NOT NULL),
 s AS (SELECT *, seq_no < ceil(n * {TRAIN}) AS is_train FROM u),
 m AS (SELECT ticker, avg(ret) AS rm, stddev_pop(ret) AS rs, avg(target) AS ym, stddev_pop(target) AS ys, min(price) AS lo, max(price) AS hi FROM s WHERE is_train GROUP BY ticker)
 """
@@ -55,14 +55,14 @@ def _validation(spark, sf_dir):
     return sp.validation(simple_split(spark, sf_dir), 0.15).select("date", "ticker", "is_train", "is_validation")
 
 
-@query("splits_sequences", SPLIT + f", q AS (SELECT date, ticker, list(ret) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS x FROM s) SELECT date, ticker, CAST(len(x) AS INTEGER) AS length, {r6('x[1]', 'oldest')}, {r6('list_avg(x)', 'mean')} FROM q WHERE len(x) = 30")
+@query("splits_sequences", SPLIT + f", q AS (SELECT date, ticker, list(ret) OVER (PARTITION BY ticker by_date() BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS x FROM s) SELECT date, ticker, CAST(len(x) AS INTEGER) AS length, {r6('x[1]', 'oldest')}, {r6('list_avg(x)', 'mean')} FROM q WHERE len(x) = 30")
 def _sequences(spark, sf_dir):
     rows = sp.sequences(simple_split(spark, sf_dir), ["ret"], 30)
     mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v[0]) / F.size("x")
     return rounded(rows.select("date", "ticker", F.size("x").alias("length"), F.col("x")[0][0].alias("oldest"), mean.alias("mean")))
 
 
-@query("lagged_sequences", BARS + ", q AS (SELECT date, ticker, price AS y, list(price) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS x FROM prices) SELECT date, ticker, x[1] AS first_x, x[5] AS last_x, y FROM q WHERE len(x) = 5")
+@query("lagged_sequences", BARS + ", q AS (SELECT date, ticker, price AS y, list(price) OVER (PARTITION BY ticker by_date() BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS x FROM prices) SELECT date, ticker, x[1] AS first_x, x[5] AS last_x, y FROM q WHERE len(x) = 5")
 def _lagged(spark, sf_dir):
     rows = sp.lagged(panel(spark, sf_dir), 5)
     return rows.select("date", "ticker", F.col("x")[0].alias("first_x"), F.col("x")[4].alias("last_x"), "y")
@@ -75,7 +75,7 @@ def _universe(spark, sf_dir):
 
 
 NAIVE = BARS + f""", f AS (
-  SELECT ticker, date, lag(price) OVER w AS predicted, price AS actual, row_number() OVER w - 1 AS seq, count(*) OVER (PARTITION BY ticker) AS n FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date)
+  SELECT ticker, date, lag(price) OVER w AS predicted, price AS actual, row_number() OVER w - 1 AS seq, count(*) OVER (PARTITION BY ticker) AS n FROM prices WINDOW w AS (PARTITION BY ticker by_date() BY date)
 ), naive AS (SELECT ticker, date, predicted, actual FROM f WHERE n >= 200 AND seq >= ceil(n * {TRAIN}))
 """
 
@@ -89,21 +89,21 @@ def _naive(spark, sf_dir):
     return naive(spark, sf_dir)
 
 
-@query("forecast_returns", NAIVE + f"SELECT ticker, date, predicted, actual, {r6('predicted / lag(predicted) OVER w - 1', 'predicted_return')}, {r6('actual / lag(actual) OVER w - 1', 'actual_return')} FROM naive WINDOW w AS (PARTITION BY ticker ORDER BY date)")
+@query("forecast_returns", NAIVE + f"SELECT ticker, date, predicted, actual, {r6('predicted / lag(predicted) OVER w - 1', 'predicted_return')}, {r6('actual / lag(actual) OVER w - 1', 'actual_return')} FROM naive WINDOW w AS (PARTITION BY ticker by_date() BY date)")
 def _forecast_returns(spark, sf_dir):
     return rounded(fc.returns_of(naive(spark, sf_dir)))
 
 
 # A forecast with calls of its own: halfway from the price before to the mean of the last five.
 def half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.returns import ORDER
+    from ..functions.windows import by_date
 
-    mean = F.avg("actual").over(ORDER.rowsBetween(-5, -1))
+    mean = F.avg("actual").over(by_date().rowsBetween(-5, -1))
     return naive(spark, sf_dir).withColumn("predicted", F.round((F.col("predicted") + F.coalesce(mean, "predicted")) / 2, 6))
 
 
-METRICS = NAIVE + """, half AS (SELECT ticker, date, actual, round((predicted + coalesce(avg(actual) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), predicted)) / 2, 6) AS predicted FROM naive),
-e AS (SELECT *, lag(actual) OVER (PARTITION BY ticker ORDER BY date) AS before FROM half),
+METRICS = NAIVE + """, half AS (SELECT ticker, date, actual, round((predicted + coalesce(avg(actual) OVER (PARTITION BY ticker by_date() BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), predicted)) / 2, 6) AS predicted FROM naive),
+e AS (SELECT *, lag(actual) OVER (PARTITION BY ticker by_date() BY date) AS before FROM half),
 metrics AS (SELECT ticker, count(*) AS observations, sqrt(avg(pow(predicted - actual, 2))) AS rmse, avg(abs(predicted - actual)) AS mae,
   1 - sum(pow(predicted - actual, 2)) / (var_pop(actual) * count(*)) AS r2, avg(abs((actual - predicted) / actual)) * 100 AS mape,
   avg(CASE WHEN sign(predicted - before) <> 0 AND sign(actual - before) <> 0 THEN CASE WHEN sign(predicted - before) = sign(actual - before) THEN 1.0 ELSE 0.0 END END) AS directional_accuracy,
@@ -129,9 +129,9 @@ def _gbt(spark, sf_dir):
 
 
 # Performance.
-LONG = BARS + ", ratios AS (SELECT ticker, date, price / lag(price) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM prices), series AS (SELECT ticker AS strategy, date, r FROM ratios WHERE r IS NOT NULL)"
-PERFORMANCE = """, grown AS (SELECT *, product(1 + r) OVER (PARTITION BY strategy ORDER BY date) AS g FROM series),
-peaks AS (SELECT *, g / max(g) OVER (PARTITION BY strategy ORDER BY date) - 1 AS dd FROM grown),
+LONG = BARS + ", ratios AS (SELECT ticker, date, price / lag(price) OVER (PARTITION BY ticker by_date() BY date) - 1 AS r FROM prices), series AS (SELECT ticker AS strategy, date, r FROM ratios WHERE r IS NOT NULL)"
+PERFORMANCE = """, grown AS (SELECT *, product(1 + r) OVER (PARTITION BY strategy by_date() BY date) AS g FROM series),
+peaks AS (SELECT *, g / max(g) OVER (PARTITION BY strategy by_date() BY date) - 1 AS dd FROM grown),
 stats AS (SELECT strategy, avg(r) * 252 AS ar, stddev_samp(r) * sqrt(252) AS av, sqrt(avg(pow(least(r, 0), 2))) * sqrt(252) AS ds, min(dd) AS md FROM peaks GROUP BY strategy)
 """
 STATS = ", ".join((r6("ar", "annual_return"), r6("av", "annual_volatility"), r6("CASE WHEN av > 0 THEN ar / av ELSE 0 END", "sharpe"), r6("CASE WHEN ds > 0 THEN ar / ds ELSE 0 END", "sortino"), r6("md", "max_drawdown")))
@@ -174,17 +174,17 @@ def _mixed_performance(spark, sf_dir):
     return rounded(perf.performance(mixed(spark, sf_dir)))
 
 
-@query("portfolio_growth", MIXED + f"SELECT date, strategy, round(ln(product(1 + r) OVER (PARTITION BY strategy ORDER BY date)), 6) + 0.0 AS log_growth FROM series")
+@query("portfolio_growth", MIXED + f"SELECT date, strategy, round(ln(product(1 + r) OVER (PARTITION BY strategy by_date() BY date)), 6) + 0.0 AS log_growth FROM series")
 def _growth(spark, sf_dir):
     return rounded(mixed(spark, sf_dir).select("date", "strategy", F.ln(perf.growth()).alias("log_growth")))
 
 
-@query("pick_by_risk", LONG + PERFORMANCE + f", placed AS (SELECT *, row_number() OVER (ORDER BY av, strategy) AS place, count(*) OVER () AS n FROM stats) SELECT strategy AS ticker, {STATS} FROM placed WHERE place = CAST(round_even(0.5 * (n - 1), 0) AS BIGINT) + 1")
+@query("pick_by_risk", LONG + PERFORMANCE + f", placed AS (SELECT *, row_number() OVER (by_date() BY av, strategy) AS place, count(*) OVER () AS n FROM stats) SELECT strategy AS ticker, {STATS} FROM placed WHERE place = CAST(round_even(0.5 * (n - 1), 0) AS BIGINT) + 1")
 def _pick(spark, sf_dir):
     return rounded(perf.by_risk(perf.performance(ticker_returns(spark, sf_dir), "ticker"), 0.5, "ticker"))
 
 
-@query("top_by_sharpe", LONG + PERFORMANCE + f"SELECT strategy AS ticker, {STATS} FROM stats ORDER BY CASE WHEN av > 0 THEN ar / av ELSE 0 END DESC, strategy LIMIT 4")
+@query("top_by_sharpe", LONG + PERFORMANCE + f"SELECT strategy AS ticker, {STATS} FROM stats by_date() BY CASE WHEN av > 0 THEN ar / av ELSE 0 END DESC, strategy LIMIT 4")
 def _top(spark, sf_dir):
     return rounded(perf.top(perf.performance(ticker_returns(spark, sf_dir), "ticker"), 4, by="ticker"))
 
@@ -228,7 +228,7 @@ def _contributions(spark, sf_dir):
     return rounded(cov.risk_contributions(F.broadcast(weights), cov.covariance(returns)))
 
 
-@query("tail_mean", MIXED + f", k AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY r, date) AS place, count(*) OVER (PARTITION BY strategy) * 0.05::DOUBLE AS k FROM series) SELECT strategy, {r6('-sum(r * greatest(0, least(1, k - place + 1))) / any_value(k)', 'cvar')} FROM k GROUP BY strategy")
+@query("tail_mean", MIXED + f", k AS (SELECT *, row_number() OVER (PARTITION BY strategy by_date() BY r, date) AS place, count(*) OVER (PARTITION BY strategy) * 0.05::DOUBLE AS k FROM series) SELECT strategy, {r6('-sum(r * greatest(0, least(1, k - place + 1))) / any_value(k)', 'cvar')} FROM k GROUP BY strategy")
 def _tail(spark, sf_dir):
     return rounded(cov.tail_mean(mixed(spark, sf_dir)))
 
@@ -260,13 +260,13 @@ def _frontier(spark, sf_dir):
 
 # Backtests: equal weights and inverse variances in SQL, day by day from the same closed form.
 WALK = Config(lookback=252, every=63)
-BACKTEST = RETURNS + f""", dates AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM returns)), rows AS (SELECT * FROM returns JOIN dates USING (date)),
+BACKTEST = RETURNS + f""", dates AS (SELECT date, row_number() OVER (by_date() BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM returns)), rows AS (SELECT * FROM returns JOIN dates USING (date)),
 ks AS (SELECT CAST(k AS INTEGER) AS k, {WALK.lookback} + k * {WALK.every} AS t FROM range(0, 1000) x(k) WHERE {WALK.lookback} + k * {WALK.every} <= (SELECT max(idx) FROM rows)),
 v AS (SELECT k, ticker, var_samp(r) AS var FROM rows JOIN ks ON idx >= t - {WALK.lookback} AND idx < t GROUP BY k, ticker),
 targets AS (SELECT k, 'Equal' AS strategy, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY k) AS weight FROM v UNION ALL SELECT k, 'InverseVariance', ticker, (1 / var) / sum(1 / var) OVER (PARTITION BY k) FROM v),
-held AS (SELECT k, strategy, ticker, date, idx, weight * product(1 + r) OVER (PARTITION BY k, strategy, ticker ORDER BY idx) AS held FROM rows JOIN ks ON idx >= t AND idx < t + {WALK.every} JOIN targets USING (k, ticker)),
+held AS (SELECT k, strategy, ticker, date, idx, weight * product(1 + r) OVER (PARTITION BY k, strategy, ticker by_date() BY idx) AS held FROM rows JOIN ks ON idx >= t AND idx < t + {WALK.every} JOIN targets USING (k, ticker)),
 worth AS (SELECT k, strategy, date, idx, sum(held) AS worth FROM held GROUP BY ALL),
-gross AS (SELECT *, worth / coalesce(lag(worth) OVER (PARTITION BY strategy, k ORDER BY idx), 1) - 1 AS gross FROM worth),
+gross AS (SELECT *, worth / coalesce(lag(worth) OVER (PARTITION BY strategy, k by_date() BY idx), 1) - 1 AS gross FROM worth),
 ends AS (SELECT h.k + 1 AS k, strategy, ticker, held / worth AS before FROM held h JOIN worth USING (k, strategy, date, idx) WHERE idx = {WALK.lookback} + (h.k + 1) * {WALK.every} - 1),
 turnover AS (SELECT k, strategy, sum(abs(weight - coalesce(before, 0))) AS turnover FROM targets LEFT JOIN ends USING (k, strategy, ticker) GROUP BY ALL),
 trades AS (SELECT k, strategy, turnover, turnover * {WALK.cost_bps} / 1e4 AS cost, date FROM turnover JOIN ks USING (k) JOIN dates ON idx = t),
@@ -293,7 +293,7 @@ def _weights(spark, sf_dir):
     return rounded(walked(spark, sf_dir).targets)
 
 
-@query("backtest_curves", BACKTEST + f"SELECT date, strategy, round(ln(product(1 + gross) OVER w), 6) + 0.0 AS gross_log, round(ln(product(1 + r) OVER w), 6) + 0.0 AS log FROM series WINDOW w AS (PARTITION BY strategy ORDER BY date)")
+@query("backtest_curves", BACKTEST + f"SELECT date, strategy, round(ln(product(1 + gross) OVER w), 6) + 0.0 AS gross_log, round(ln(product(1 + r) OVER w), 6) + 0.0 AS log FROM series WINDOW w AS (PARTITION BY strategy by_date() BY date)")
 def _curves(spark, sf_dir):
     return rounded(curves(walked(spark, sf_dir)).select("date", "strategy", F.ln("gross_growth").alias("gross_log"), F.ln("growth").alias("log")))
 
