@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, html, neighbours, quality, secrets, sharding, simhash, substrings
+from . import bpe, chat, decontam, html, neighbours, oracles, quality, secrets, sharding, simhash, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -20,4 +20,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_html_text": html.query,
     "op3_chat_format": chat.ORACLE,
+    "op7_decontaminate": oracles.DECONTAMINATE,
+    "op9_substrings": oracles.SUBSTRINGS,
+    "op10_secret_ledger": oracles.SECRETS,
 }
