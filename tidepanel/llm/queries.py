@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op2_html_text": html.query,
     "op3_chat_format": chat.ORACLE,
     "op7_decontaminate": oracles.DECONTAMINATE,
     "op9_substrings": oracles.SUBSTRINGS,
