@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 
@@ -245,13 +246,14 @@ class Pieces:
         self.ids = self.ids[: int(self.counts.sum())]
 
 
-_CACHE: dict[int, tuple] = {}
+_CACHE: dict[str, tuple] = {}
 
 
-def _once(key: int, make):
-    """What a worker has made from a broadcast, kept for its next task."""
+def _once(key: str, make):
+    """What a worker has made from a broadcast, kept for its next task; of the last two calls only, as one query has two."""
     if key not in _CACHE:
-        _CACHE.clear()
+        while len(_CACHE) > 1:
+            _CACHE.pop(next(iter(_CACHE)))
         _CACHE[key] = make()
     return _CACHE[key]
 
@@ -275,9 +277,10 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str = GPT2_PATTERN,
     spark = df.sparkSession
     small_batches(spark)
     shipped = spark.sparkContext.broadcast(ranks)  # as many entries as the vocabulary has, whatever the corpus
+    call = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, split, known = _once(id(shipped), lambda: (Merges(shipped.value), Splitter(pattern), Pieces()))
+        merges, split, known = _once(call, lambda: (Merges(shipped.value), Splitter(pattern), Pieces()))
         held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -306,6 +309,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
     """``df`` with ``out``, the bytes that ``ids`` stand for; null ids decode to no bytes."""
     spark = df.sparkSession
     shipped = spark.sparkContext.broadcast(ranks)
+    call = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tables():
@@ -315,7 +319,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
             lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
             return np.frombuffer(b"".join(tokens), np.uint8), lengths, np.cumsum(lengths) - lengths
 
-        data, lengths, starts = _once(-1 - id(shipped), tables)
+        data, lengths, starts = _once(call, tables)
         for batch in batches:
             column = batch.column(ids)
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
