@@ -63,6 +63,12 @@ def test_merges_that_come_up_late():
 
 def test_bpe_of_nothing(none):
     assert bpe.decode(bpe.encode(none, RANKS), RANKS).count() == 0
+    assert bpe.round_trip(none, RANKS).count() == 0
+
+
+def test_bpe_round_trip_is_both_in_one(docs):
+    apart = bpe.decode(bpe.encode(docs, RANKS, slice_bytes=50), RANKS)
+    assert counted((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in bpe.round_trip(docs, RANKS).collect()) == counted((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in apart.collect())
 
 
 # 2 HTML

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import list_array, offsets_of, ranges, small_batches
+from .common import list_array, offsets_of, once, ranges, small_batches
 
 #: The pattern that the fast splitter below stands for.
 GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -30,9 +30,9 @@ GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 LETTER, NUMBER, OTHER, WHITE, SPACE = range(5)
 #: Bytes of text whose pieces are encoded together.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 #: Distinct pieces of earlier slices whose ids a worker keeps.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -246,18 +246,6 @@ class Pieces:
         self.ids = self.ids[: int(self.counts.sum())]
 
 
-_CACHE: dict[str, tuple] = {}
-
-
-def _once(key: str, make):
-    """What a worker has made from a broadcast, kept for its next task; of the last two calls only, as one query has two."""
-    if key not in _CACHE:
-        while len(_CACHE) > 1:
-            _CACHE.pop(next(iter(_CACHE)))
-        _CACHE[key] = make()
-    return _CACHE[key]
-
-
 def _append(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     names, columns = batch.schema.names, list(batch.columns)
     if name in names:
@@ -266,21 +254,20 @@ def _append(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([*columns, column], names=[*names, name])
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        return T.StructType([T.StructField(name, kind) if f.name == name else f for f in df.schema])
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+IDS = T.ArrayType(T.IntegerType())
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str = GPT2_PATTERN, text: str = "text", out: str = "ids", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """``df`` with ``out``, the ids of ``text``; a column of that name is replaced."""
-    spark = df.sparkSession
-    small_batches(spark)
-    shipped = spark.sparkContext.broadcast(ranks)  # as many entries as the vocabulary has, whatever the corpus
-    call = uuid.uuid4().hex
+def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    if name in schema.names:
+        return T.StructType([T.StructField(name, kind) if f.name == name else f for f in schema])
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
+def _encoder(shipped, pattern: str, text: str, out: str, slice_bytes: int, call: str):
+    """Adds the ids to Arrow batches, inside a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, split, known = _once(call, lambda: (Merges(shipped.value), Splitter(pattern), Pieces()))
+        merges, split, known = once(call, lambda: (Merges(shipped.value), Splitter(pattern), Pieces()))
         held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -294,32 +281,30 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str = GPT2_PATTERN,
             known.forget()
 
         for batch in batches:
-            rows = [known.number(split(value.as_py() or "")) for value in batch.column(text)]
-            held.append((batch, np.array([x for row in rows for x in row], np.int32), np.fromiter(map(len, rows), np.int64, len(rows))))
+            counts, numbers = [], []
+            for value in batch.column(text):
+                row = known.number(split(value.as_py() or ""))
+                counts.append(len(row))
+                numbers.append(np.array(row, np.int32))
+            held.append((batch, np.concatenate(numbers) if numbers else np.zeros(0, np.int32), np.array(counts, np.int64)))
             size += batch.column(text).nbytes
             if size >= slice_bytes:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    return df.mapInArrow(run, _with(df, out, T.ArrayType(T.IntegerType())))
+    return run
 
 
-def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``, the bytes that ``ids`` stand for; null ids decode to no bytes."""
-    spark = df.sparkSession
-    shipped = spark.sparkContext.broadcast(ranks)
-    call = uuid.uuid4().hex
+def _decoder(shipped, ids: str, out: str):
+    """Adds the bytes to Arrow batches, inside a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tables():
-            tokens = [b""] * (max(shipped.value.values(), default=-1) + 1)
-            for token, rank in shipped.value.items():
-                tokens[rank] = token
-            lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            return np.frombuffer(b"".join(tokens), np.uint8), lengths, np.cumsum(lengths) - lengths
-
-        data, lengths, starts = _once(call, tables)
+        tokens = [b""] * (max(shipped.value.values(), default=-1) + 1)
+        for token, rank in shipped.value.items():
+            tokens[rank] = token
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        data, starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths
         for batch in batches:
             column = batch.column(ids)
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -329,7 +314,28 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
             cuts = offsets_of(n)[offsets_of(rows)].tolist()
             yield _append(batch, out, pa.array([body[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()))
 
-    return df.mapInArrow(run, _with(df, out, T.BinaryType()))
+    return run
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str = GPT2_PATTERN, text: str = "text", out: str = "ids", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """``df`` with ``out``, the ids of ``text``; a column of that name is replaced."""
+    small_batches(df.sparkSession)
+    shipped = df.sparkSession.sparkContext.broadcast(ranks)  # as many entries as the vocabulary has, whatever the corpus
+    return df.mapInArrow(_encoder(shipped, pattern, text, out, slice_bytes, uuid.uuid4().hex), _with(df.schema, out, IDS))
+
+
+def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` with ``out``, the bytes that ``ids`` stand for; null ids decode to no bytes."""
+    shipped = df.sparkSession.sparkContext.broadcast(ranks)
+    return df.mapInArrow(_decoder(shipped, ids, out), _with(df.schema, out, T.BinaryType()))
+
+
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str = GPT2_PATTERN, text: str = "text", ids: str = "ids", out: str = "decoded", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """``decode`` of ``encode`` in one pass, so that a task needs one Python worker and the ids cross to it once."""
+    small_batches(df.sparkSession)
+    shipped = df.sparkSession.sparkContext.broadcast(ranks)
+    there, back = _encoder(shipped, pattern, text, ids, slice_bytes, uuid.uuid4().hex), _decoder(shipped, ids, out)
+    return df.mapInArrow(lambda batches: back(there(batches)), _with(_with(df.schema, ids, IDS), out, T.BinaryType()))
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -345,5 +351,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    return digests(decode(ids, ranks))
+    return digests(round_trip(docs, ranks, public_tokenizers.PATTERN))

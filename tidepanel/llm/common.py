@@ -64,3 +64,15 @@ def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of finished jobs, which Spark keeps until the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+_KEPT: dict[str, object] = {}
+
+
+def once(call: str, make):
+    """What a Python worker has made for one call of an operator, kept for its next task. A worker keeps that of one call
+    only: it serves all stages of an application, and their memory would add up."""
+    if call not in _KEPT:
+        _KEPT.clear()
+        _KEPT[call] = make()
+    return _KEPT[call]

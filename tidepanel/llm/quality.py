@@ -13,6 +13,7 @@ the score is 0.5. Rows, repeated ones too, come out one for one; an empty table
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import small_batches, table
+from .common import once, small_batches, table
 
 WORDS = re.compile(r"\w+|[^\w\s]+")
 REPEATED = np.uint64(0x5BD1E9955BD1E995)
@@ -128,11 +129,12 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text", out: str = "sc
     spark = df.sparkSession
     small_batches(spark)
     shipped = spark.sparkContext.broadcast(weights)
+    call = uuid.uuid4().hex
     kept = [c for c in df.columns if c != out and not (drop_text and c == text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shipped.value
-        features = Features((len(w) - 1).bit_length() - 1)
+        features = once(call, lambda: Features((len(w) - 1).bit_length() - 1))
         for batch in batches:
             dots = np.empty(batch.num_rows)
             for i, value in enumerate(batch.column(text)):
