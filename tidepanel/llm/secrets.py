@@ -48,6 +48,12 @@ RULES = (
     Rule("private_key", 1, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", 0, 1, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
 )
 BASE = ("assign", "access", "hex")
+#: A private key is found by its marker. Its block goes on to the end marker or, where that is missing, over the lines of
+#: base64, whole or with escaped line breaks, that come after it and its headers: up to the first other sign, or a word
+#: that is short and not a line of its own.
+KEY_END = r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+KEY_HEAD = r"\A\s*(?:(?:Proc-Type|DEK-Info):[^\n]*\s+){0,2}"
+KEY_STOP = r"(?m)[^\sA-Za-z0-9+/=\\]|(?<!\S)(?![A-Za-z0-9+/\\]{24}|(?<=\n[ \t]{0,8})[A-Za-z0-9+/]+={0,2}[ \t\r]*$)\S"
 SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
 
@@ -111,8 +117,20 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
 
 
+def key_rest(text: Column, end: Column) -> Column:
+    """How many characters a private key goes on after its marker, which ends at ``end``."""
+    body = F.substring_index(F.substr(text, end + 1), "-----BEGIN ", 1)
+    closed = F.split(body, KEY_END, 2)
+    head = F.regexp_extract(body, KEY_HEAD, 0)
+    lines = F.rtrim(F.concat(head, F.split(F.substr(body, F.length(head) + 1), KEY_STOP, 2)[0]), F.lit(" \t\r\n"))
+    return F.when(F.size(closed) > 1, F.length(closed[0]) + F.length(F.regexp_extract(body, KEY_END, 0))).otherwise(F.length(lines))
+
+
 def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
-    """``text`` with each stretch that findings cover, overlapping ones together, replaced by ``mark``."""
+    """``text`` with each stretch that findings cover, overlapping ones together, replaced by ``mark``. Of a private key
+    the whole block is replaced."""
+    whole = lambda f: F.when(f["kind"] == "private_key", f["end"] + key_rest(text, f["end"])).otherwise(f["end"])
+    found = F.transform(found, lambda f: F.struct(f["start"].alias("start"), whole(f).alias("end")))
 
     def grown(acc: Column, f: Column) -> Column:
         fresh = F.when(f["start"] >= acc["at"], F.concat(F.substr(text, acc["at"] + 1, F.greatest(f["start"] - acc["at"], F.lit(0))), F.lit(mark))).otherwise(F.lit(""))
