@@ -210,6 +210,56 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(df).where("doc_id IS NOT NULL").collect()) == [2, 3, 8]
 
 
+def jaccard(a, b, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(text, rng, words):
+    w = text.split()
+    at = rng.randrange(len(w) - words)
+    return " ".join([*w[:at], *(f"e{rng.randrange(10**6)}" for _ in range(words)), *w[at + words :]])
+
+
+def greedy(texts, low):
+    """The ids that stay: by component, each in turn unless it is near to one that stays."""
+    kept = []
+    for i in sorted(texts):
+        if all(low[i] != low[j] or texts[i] != texts[j] and jaccard(texts[i], texts[j]) < 0.8 for j in kept):
+            kept.append(i)
+    return kept
+
+
+def test_one_of_each_leaves_no_copies_far_from_the_least_id(spark):
+    import random
+
+    rng, text = random.Random(5), " ".join(f"w{i}" for i in range(300))
+    bits = slow_fingerprint(text)
+    far = next(t for t in (edited(text, rng, 40) for _ in range(1000)) if bin(bits ^ slow_fingerprint(t)).count("1") <= 6)
+    near_far = next(t for t in (edited(far, rng, 3) for _ in range(1000)) if bin(slow_fingerprint(far) ^ slow_fingerprint(t)).count("1") <= 6)
+    assert jaccard(text, far) < 0.8 <= jaccard(far, near_far)
+    df = spark.createDataFrame([(1, text), (2, far), (3, far), (4, near_far), (5, near_far), (6, text)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [1, 2]
+
+
+def test_one_of_each_takes_large_components_in_rounds_and_parts(spark, monkeypatch):
+    import random
+
+    rng, text = random.Random(6), " ".join(f"w{i}" for i in range(300))
+    texts = {}
+    for i in range(90):
+        texts[i] = edited(text if i % 3 else rng.choice([*texts.values(), text]), rng, rng.choice([2, 20, 40]))
+    texts |= {100 + i: texts[i] for i in range(0, 90, 7)}
+    low = closest({i: slow_fingerprint(t) for i, t in texts.items()}, 8)
+    wanted = greedy(texts, low)
+    assert max(sum(low[i] == c for i in wanted) for c in wanted) > 6  # as many stay of one component
+    monkeypatch.setattr(simhash, "HEADS", 2)
+    monkeypatch.setattr(simhash, "MOST_HEADS", 4)
+    monkeypatch.setattr(simhash, "PART_BYTES", 20_000)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.one_of_each(df, distance=8).collect()) == wanted
+
+
 # 7 Decontamination
 
 

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .common import ranges, release, small_batches, stored, table
 from .components import components
@@ -31,23 +31,32 @@ from .components import components
 SEED = 42
 FANOUT = 8
 GROUP_ROWS = 65_536
+#: How many rows of a component a round settles at first and at most, and the text that a part of it holds.
+HEADS, MOST_HEADS, PART_BYTES = 32, 256, 2_000_000
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The fingerprint, as a signed number of 64 bits."""
+def hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of the text's word shingles, in lower case A-Z, in turn; nothing for a text without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(found))
     digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(64, np.int64), len(found) - k + 1
+    n = len(found) - k + 1
     for at in range(0, n, 65_536):
         some = zip(starts[at : min(n, at + 65_536)].tolist(), ends[at + k - 1 : at + 65_536 + k - 1].tolist())
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in some], np.uint64)
-        total += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in some], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The fingerprint, as a signed number of 64 bits."""
+    total, n = np.zeros(64, np.int64), 0
+    for some in hashes(text, shingle):
+        total += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(some)
     return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
 
 
@@ -190,46 +199,92 @@ def links(entries: DataFrame, distance: int = 2, agree: int = 1, group_rows: int
     return dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2, agree: int = 1) -> DataFrame:
-    """``key``, ``fingerprint`` and ``component_id``, the least key that a row's fingerprint reaches over links."""
-    marked = stored(fingerprints(df.select(F.col(key).alias(key), F.col(text).alias("text")), shingle=shingle, drop_text=True), "fingerprints")
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2, agree: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``fingerprint`` and ``component_id``, the least key that a row's fingerprint reaches over links; and the
+    columns ``keep``."""
+    marked = stored(fingerprints(df.select(F.col(key).alias(key), F.col(text).alias("text"), *keep), shingle=shingle, drop_text=True), "fingerprints")
     entries = marked.groupBy("fingerprint").agg(F.min(key).alias("id"))
     found = components(links(entries.where(F.col("id").isNotNull()), distance, agree))
     labels = entries.join(found, entries["id"] == found["node"], "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
-    return marked.join(stored(labels, "labels"), "fingerprint", "left").select(key, "fingerprint", "component_id")
+    return marked.join(stored(labels, "labels"), "fingerprint", "left").select(key, "fingerprint", "component_id", *keep)
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes(text, shingle)]))
 
 
-def similarity(left: str | None, right: str | None, shingle: int) -> float:
-    """The Jaccard similarity of two texts' word shingles, in lower case A-Z; 1 for two texts without words."""
-    sets = []
-    for text in (left, right):
-        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        sets.append({tuple(found[i : i + shingle]) for i in range(max(1, len(found) - shingle + 1) if found else 0)})
-    both = len(sets[0] | sets[1])
-    return len(sets[0] & sets[1]) / both if both else 1.0
+def similar(left: np.ndarray, right: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of ``least`` or more; that of two empty ones is 1."""
+    small, large = sorted((left, right), key=len)
+    if len(small) < least * len(large):
+        return False
+    if not len(small):
+        return True  # both are empty
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return both >= least * (len(small) + len(large) - both)
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 8) -> DataFrame:
-    """``df`` without near-duplicates: of the rows whose fingerprints are linked within ``distance`` bits, the one with
-    the least key stays, and so do those whose ``shingle``-word shingles are less than ``least`` similar to its own.
-    Rows without a key stay."""
-    found = near_duplicates(df, key, text, distance=distance, agree=2).where(F.col(key) != F.col("component_id"))
-    found = stored(found.select(F.col(key).alias("k"), "component_id"), "members")
+    """``df`` without near-duplicates: of equal texts the least key stays. Texts whose fingerprints are linked within
+    ``distance`` bits are then taken by their keys in turn, and one stays unless its ``shingle``-word shingles are
+    ``least`` similar or more to those of one that stays. Rows without a key stay.
+
+    Each round settles the first ``HEADS`` of each component, or more in later rounds, and what is near to those that
+    stay; a component with many rows is dealt in parts, each with these heads."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"), digest.alias("digest"))
+    found = near_duplicates(texts, "k", "text", distance=distance, agree=2, keep=("digest",)).select("k", "digest", "component_id")
+    found = stored(found, "found")
+    linked = found.where(F.col("k") != F.col("component_id")).select("component_id").distinct()
+    found = stored(found.join(linked, "component_id", "left_semi"), "members")
     release(df.sparkSession)
-    texts = df.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    members = texts.join(found, "k")
-    heads = texts.join(found.select(F.col("component_id").alias("k")).distinct(), "k").dropDuplicates(["k"]).select(F.col("k").alias("component_id"), F.col("text").alias("head"))
-    heads = stored(heads, "heads")  # read anew, the join below can be split where a component is hot
+    firsts = stored(found.groupBy("digest").agg(F.min("k").alias("k"), F.min("component_id").alias("component_id")), "firsts")
+    left = stored(firsts.join(texts, ["k", "digest"]).select("component_id", "k", "digest", "text").dropDuplicates(["k", "digest"]), "left")
+    kind = T.StructType([*(left.schema[c] for c in ("k", "digest")), T.StructField("near", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, []
         for batch in batches:
-            near = [similarity(a.as_py(), b.as_py(), shingle) >= least for a, b in zip(batch.column("text"), batch.column("head"))]
-            yield pa.RecordBatch.from_arrays([batch.column("k").filter(pa.array(near, pa.bool_()))], names=["k"])
-
-    pairs = members.join(heads, "component_id").select("k", "text", "head")
-    gone = stored(pairs.mapInArrow(run, T.StructType([T.StructField("k", found.schema["k"].dataType)])).distinct(), "gone")
+            rows, near = [], []
+            fields = [batch.column(c).to_pylist() for c in ("component_id", "part", "head")]
+            for i, (component, part, head) in enumerate(zip(*fields)):
+                if group != (component, part):
+                    group, kept = (component, part), []
+                own = shingles(batch.column("text")[i].as_py(), shingle)
+                gone = any(similar(own, other, least) for other in kept)
+                if head and not gone:
+                    kept.append(own)
+                if gone and not head or head and part == 0:
+                    rows.append(i)
+                    near.append(gone)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("k", "digest")), pa.array(near, pa.bool_())], names=kind.names)
+
+    heads, near = HEADS, None
+    while True:
+        size = F.greatest(F.count("*") / (8 * heads), F.sum(F.octet_length(F.coalesce("text", F.lit("")))) / PART_BYTES)
+        # A row that is alone has been held against all that stay.
+        sizes = stored(left.groupBy("component_id").agg(F.count("*").alias("n"), F.ceil(size).cast("int").alias("parts")).where("n > 1"), "sizes")
+        first = Window.partitionBy("component_id").orderBy("k", "digest")
+        ahead = left.select("component_id", "k", "digest").withColumn("place", F.row_number().over(first)).where(F.col("place") <= heads).select("k", "digest", F.lit(True).alias("head"))
+        dealt = left.join(sizes.drop("n"), "component_id").join(stored(ahead, "ahead"), ["k", "digest"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
+        part = F.when(F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")))
+        dealt = dealt.withColumn("part", F.explode(part)).select("component_id", "part", "head", "k", "digest", "text")
+        dealt = dealt.repartition("component_id", "part").sortWithinPartitions("component_id", "part", F.col("head").desc(), "k", "digest")
+        settled = stored(dealt.mapInArrow(run, kind), "settled")
+        gone = settled.where("near").select("k", "digest")
+        near = gone if near is None else near.unionByName(gone)
+        release(df.sparkSession)
+        large = sizes.where(F.col("n") > heads + 1).select("component_id")
+        if large.isEmpty():
+            break
+        left = stored(left.join(large, "component_id", "left_semi").join(settled.select("k", "digest"), ["k", "digest"], "left_anti"), "left")
+        heads = min(2 * heads, MOST_HEADS)
+    fates = stored(firsts.select("digest", F.col("k").alias("first")).join(near.select("digest", F.lit(True).alias("near")), "digest", "left"), "fates")
+    gone = found.join(fates, "digest").where((F.col("k") != F.col("first")) | F.col("near")).select(F.col("k").alias("__k"), F.col("digest").alias("__digest")).distinct()
+    gone = stored(gone, "gone")
     release(df.sparkSession)
-    return df.join(gone, df[key] == gone["k"], "left_anti")
+    return df.join(gone, (df[key] == gone["__k"]) & (digest == gone["__digest"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
