@@ -260,6 +260,24 @@ def test_one_of_each_takes_large_components_in_rounds_and_parts(spark, monkeypat
     assert sorted(r.doc_id for r in simhash.one_of_each(df, distance=8).collect()) == wanted
 
 
+def test_one_of_each_finds_most_of_what_brute_force_finds(spark):
+    import random
+
+    rng, texts = random.Random(7), {}
+    for i in range(0, 400, 2):
+        texts[i] = other = " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
+        for _ in range(rng.randint(1, 4)):
+            other = edited(other, rng, rng.choice([1, 1, 4, 12]))
+        texts[i + 1] = other
+    near = {(i, i + 1) for i in range(0, 400, 2) if jaccard(texts[i], texts[i + 1]) >= 0.8}  # no others share five words
+    assert len(near) > 80
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    gone = {(a, b) for a, b in near if not {a, b} <= kept}
+    assert kept == set(texts) - {b for _, b in gone}
+    assert len(gone) >= 0.95 * len(near), f"recall {len(gone) / len(near)}"
+
+
 # 7 Decontamination
 
 

@@ -225,7 +225,7 @@ def similar(left: np.ndarray, right: np.ndarray, least: float) -> bool:
     return both >= least * (len(small) + len(large) - both)
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 8) -> DataFrame:
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 11, agree: int = 2) -> DataFrame:
     """``df`` without near-duplicates: of equal texts the least key stays. Texts whose fingerprints are linked within
     ``distance`` bits are then taken by their keys in turn, and one stays unless its ``shingle``-word shingles are
     ``least`` similar or more to those of one that stays. Rows without a key stay.
@@ -234,7 +234,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     stay; a component with many rows is dealt in parts, each with these heads."""
     digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"), digest.alias("digest"))
-    found = near_duplicates(texts, "k", "text", distance=distance, agree=2, keep=("digest",)).select("k", "digest", "component_id")
+    found = near_duplicates(texts, "k", "text", distance=distance, agree=agree, keep=("digest",)).select("k", "digest", "component_id")
     found = stored(found, "found")
     linked = found.where(F.col("k") != F.col("component_id")).select("component_id").distinct()
     found = stored(found.join(linked, "component_id", "left_semi"), "members")
