@@ -3,40 +3,30 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..shared import drop, shared_dir, stored
+
+__all__ = ["drop", "fresh_name", "list_array", "numbered", "offsets_of", "once", "ranges", "release", "shared_dir", "small_batches", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
-
-    A local master without that setting gets a temporary folder; a cluster without it is refused, as executors
-    would write where others can't read.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="tidepanel-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it as long as ``df`` has such a column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, name: str, *more: Column) -> DataFrame:
+    """``df`` stored with a number of its own for each row, whatever its columns hold, and with the columns ``more``."""
+    return stored(df.select("*", *more, F.monotonically_increasing_id().alias(name)), "rows")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:

@@ -1,38 +1,40 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``build_index`` deals the training texts into blocks of whole documents and stores, for each block, the postings of its
-terms: all positions of a term in the block, ascending, delta-coded. A block's documents follow each other with a gap
-between them, so that a list of positions never runs over from one to the next. ``search`` reads the postings of the
-terms that the test items hold, takes for each window of an item the rarest of its terms in the block, and intersects
-the lists, each moved by its term's offset, from the rarest to the most frequent. With ``slop`` a term may stand that
-many places off, which gives proximity matches; with 0 matches are exact phrases.
+``build_index`` deals the training texts into blocks of whole documents and stores, for each block, the postings of all
+its terms: the positions of a term in the block, ascending, delta-coded. A block's documents follow each other with a gap
+between them, so that a list of positions never runs over from one to the next. The index serves any test items.
 
-Blocks are bounded in bytes (a longer document is a block of its own) and all work on a block is one small task, so a
-passage that a third of the documents share costs each of them its own postings and no more. What is shipped to the
-tasks are test items, in slices of bounded size, and never anything of the training texts.
+``search`` turns the items into a table of distinct windows, counts their terms over the whole index, and joins each
+window to the blocks that hold its rarest term; only there the lists of its terms are intersected, each moved by its
+term's offset, from the rarest in the block to the most frequent. With ``slop`` a term may stand that many places off,
+which gives proximity matches; with 0 matches are exact phrases.
+
+Blocks are bounded in bytes and rows (a longer document is a block of its own) and all work on a block is one small task,
+so a passage that a third of the documents share costs each of them its own postings and no more. Neither texts nor items
+pass through the driver, and nothing is broadcast but what Spark finds small enough itself.
 
 Words are lower-cased A-Z, runs of ASCII letters, digits and non-ASCII characters. Null and empty texts have no words
-and are not contaminated; items without words have no windows. Items that repeat, or share an id, count as one id.
-Documents, repeated ones too, come out one for one; an empty table gives no rows.
+and are not contaminated; items without words have no windows. Items that repeat, or share an id, count as one id; the
+windows of items without an id are found, but nothing is listed for them. Documents come out one for one, repeated ones
+and those without an id too, with their key; texts of any length are read whole; an empty table gives no rows, and one
+without items no hits. Columns besides key and text are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import ranges, small_batches, stored, table
+from .common import drop, ranges, small_batches, stored, table
 
 WINDOW = 10
-#: Bytes of text whose postings are one block.
-BLOCK_BYTES = 8 << 20
-#: Windows that are shipped to the tasks at once, and terms up to which the index is built for them alone.
-SLICE_WINDOWS, MOST_TERMS = 200_000, 200_000
+#: Bytes of text, and rows, whose postings are one block.
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 65_536
 
 #: A-Z to a-z, and every other ASCII character that is no letter or digit to a space.
 _WORDY = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -42,62 +44,52 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDY).split()
 
 
-def packed(positions: np.ndarray) -> bytes:
-    return np.diff(positions, prepend=0).astype(np.uint32).tobytes()
-
-
 def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.uint32).astype(np.int64))
 
 
+def binaries(data: bytes, ends: np.ndarray) -> pa.Array:
+    """Slices of ``data``, one after the other, as an Arrow column."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
+
+
 INDEX = T.StructType([
     T.StructField("block", T.StringType()), T.StructField("term", T.BinaryType()), T.StructField("postings", T.BinaryType()),
     T.StructField("row", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()),
 ])
 
 
-def build_index(docs: DataFrame, terms: set[bytes] | None = None, key: str = "doc_id", text: str = "text", gap: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The stored index: a row for each term of a block, with its postings, and a row for each document of a block, with
-    its key, its number in the block, the position of its first word and its number of words. With ``terms``, of which
-    there are few, only their postings are kept."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shipped = spark.sparkContext.broadcast(None if terms is None else dict(zip(sorted(terms), range(len(terms)))))
+    its key, its number in the block, the position of its first word and its number of words."""
+    small_batches(docs.sparkSession)
     schema = T.StructType([*INDEX.fields, T.StructField("key", docs.schema[key].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, part = 0, TaskContext.get().partitionId()
-        kept = shipped.value
         key_type = None
 
         def block(rows: list, texts: list) -> Iterator[pa.RecordBatch]:
             nonlocal number
             name = f"{part}-{number}"
             number += 1
-            known = dict(kept) if kept is not None else {}
-            limit = len(known) if kept is not None else 1 << 62
+            known: dict[bytes, int] = {}
             ids, counts = [], np.empty(len(texts), np.int64)
             for i, value in enumerate(texts):
                 found = words(value)
                 counts[i] = len(found)
-                if kept is not None:
-                    ids.append(np.array([known.get(w, limit) for w in found], np.int32))
-                else:
-                    ids.append(np.array([known.setdefault(w, len(known)) for w in found], np.int32))
+                ids.append(np.array([known.setdefault(w, len(known)) for w in found], np.int32))
             starts = np.cumsum(counts + gap) - (counts + gap)
             term = np.concatenate(ids)
-            at = ranges(starts, counts)
-            if kept is not None:
-                some = term < limit
-                term, at = term[some], at[some]
             order = np.argsort(term, kind="stable")
-            term, at = term[order], at[order]
-            cuts = np.flatnonzero(np.diff(term, prepend=-1)) if len(term) else np.zeros(0, np.int64)
-            names = list(known)
-            lists = [packed(at[a:b]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(term)])]
-            n = len(cuts)
+            at = ranges(starts, counts)[order]
+            ends = np.cumsum(np.bincount(term, minlength=len(known)))
+            steps = np.diff(at, prepend=0)
+            steps[ends[:-1]] = at[ends[:-1]]  # a list begins with its first position
+            n = len(known)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([names[t] for t in term[cuts].tolist()], pa.binary()), pa.array(lists, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, key_type)], names=schema.names)
+                terms = pa.array(list(known), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), terms, binaries(steps.astype(np.uint32).tobytes(), ends * 4), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, key_type)], names=schema.names)
             n = len(texts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(starts), pa.array(counts), pa.array(rows, key_type)], names=schema.names)
 
@@ -109,23 +101,29 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, key: str = "do
                 rows.append(k)
                 texts.append(value)
                 size += len(value or "")
-                if size >= block_bytes:
+                if size >= block_bytes or len(rows) == BLOCK_ROWS:
                     yield from block(rows, texts)
                     rows, texts, size = [], [], 0
         if texts:
             yield from block(rows, texts)
 
-    return stored(docs.select(key, text).mapInArrow(run, schema), "postings")
+    return stored(docs.select(F.col(key), F.col(text)).mapInArrow(run, schema), "postings")
 
 
-def windows(items: DataFrame, key: str = "item_id", text: str = "text", size: int = WINDOW) -> list[tuple[tuple[bytes, ...], list]]:
-    """The distinct windows of the test items, each with the ids of its items. Test items are the given query set."""
-    out: dict[tuple[bytes, ...], set] = {}
-    for row in items.select(key, text).toLocalIterator():
-        w = words(row[1])
-        for i in range(max(1, len(w) - size + 1) if w else 0):
-            out.setdefault(tuple(w[i : i + size]), set()).add(row[0])
-    return [(w, sorted(ids, key=str)) for w, ids in sorted(out.items())]
+def windows(items: DataFrame, key: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+    """``window``, a digest, ``words`` and ``item``, the id as a string: a row for each distinct window of each item. An
+    item of fewer words than a window is one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, value in zip(batch.column("item").to_pylist(), batch.column("text")):
+                w = words(value.as_py())
+                found = dict.fromkeys(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1) if w else 0))
+                digests = [hashlib.sha256(b" ".join(x)).digest() for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(map(list, found), pa.list_(pa.binary())), pa.array([item] * len(digests), pa.string())], names=["window", "words", "item"])
+
+    some = items.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text"))
+    return some.mapInArrow(run, "window binary, words array<binary>, item string").distinct()
 
 
 def near(lists: list[tuple[int, np.ndarray]], slop: int) -> np.ndarray:
@@ -144,61 +142,63 @@ def near(lists: list[tuple[int, np.ndarray]], slop: int) -> np.ndarray:
     return starts
 
 
-def search(index: DataFrame, phrases: list[tuple[tuple[bytes, ...], list]], slop: int = 0) -> DataFrame:
+def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     """A row for each document of the index: ``key``, ``n_words``, ``hits``, the ranges of words inside any match, from 0,
-    end exclusive, in order and apart, and ``items``, the sorted ids, as strings, of the items that match. Proximity
-    matches cover the places of the phrase itself. More phrases than one slice holds take a pass for each slice."""
-    spark = index.sparkSession
-    spans = "array<struct<start:bigint,end:bigint>>"
+    end exclusive, in order and apart, and ``items``, the sorted ids of the items that match. Proximity matches cover the
+    places of the phrase itself. ``phrases`` is a table as ``windows`` makes it."""
+    phrases = stored(phrases, "windows")
+    distinct = phrases.groupBy("window").agg(F.any_value("words").alias("words"))
+    placed = distinct.select("window", F.explode("words").alias("term"))
+    terms = placed.select("term").distinct()
+    # The part of the index that these items can meet.
+    lists = stored(index.where("term IS NOT NULL").select("block", "term", "postings").join(terms, "term", "left_semi"), "lists")
+    counts = lists.groupBy("term").agg(F.sum(F.octet_length("postings")).alias("bytes"))
+    # A window with a term that the corpus lacks occurs nowhere.
+    rarest = placed.join(counts, "term", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("bytes", F.lit(0)).alias("bytes"), "term")).alias("rarest"))
+    rarest = rarest.where("rarest.bytes > 0").select("window", F.col("rarest.term").alias("term"))
+    tried = lists.select(F.col("block").alias("within"), "term").join(rarest, "term").join(distinct, "window").select("within", "window", "words")
+    documents = index.where("row IS NOT NULL").select("block", F.lit(None).cast("binary").alias("term"), F.lit(None).cast("binary").alias("postings"), "row", "start", "n_words", "key")
+    nothing = [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in ("row", "start", "n_words", "key")]
+    blocks = lists.select("block", "term", "postings", *nothing).unionByName(documents)
     out = T.StructType([T.StructField("block", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("key", index.schema["key"].dataType), T.StructField("n_words", T.LongType())])
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    out = out.add("hits", T.ArrayType(span)).add("items", T.ArrayType(T.StringType()))
-
-    def one(part: list) -> DataFrame:
-        terms = sorted({w for phrase, _ in part for w in phrase})
-        number = {w: i for i, w in enumerate(terms)}
-        coded = [tuple(number[w] for w in phrase) for phrase, _ in part]
-        shipped = spark.sparkContext.broadcast((number, [(phrase, frozenset(phrase), ids) for phrase, (_, ids) in zip(coded, part)]))
-
-        def match(block: pd.DataFrame) -> pd.DataFrame:
-            number, part = shipped.value
-            docs = block[block["term"].isna()].sort_values("row")
-            lists = {number[t]: unpacked(p) for t, p in zip(block["term"], block["postings"]) if t is not None and t in number}
-            present = lists.keys()
-            starts, counts = docs["start"].to_numpy(np.int64), docs["n_words"].to_numpy(np.int64)
-            found: dict[int, list[tuple[int, int]]] = {}
-            items: dict[int, set] = {}
-            for phrase, needed, ids in part:
-                if not needed <= present:
-                    continue
-                at = near(sorted(((i, lists[t]) for i, t in enumerate(phrase)), key=lambda x: (len(x[1]), x[0])), slop)
-                if not len(at):
-                    continue
-                row = np.searchsorted(starts, at, side="right") - 1
-                ends = np.minimum(at + len(phrase), starts[row] + counts[row])
-                for r, a, b in zip(row.tolist(), (np.maximum(at, starts[row]) - starts[row]).tolist(), (ends - starts[row]).tolist()):
-                    if a < b:
-                        found.setdefault(r, []).append((a, b))
-                        items.setdefault(r, set()).update(ids)
-            hits = [[{"start": a, "end": b} for a, b in merged(found.get(r, []))] for r in range(len(docs))]
-            return pd.DataFrame({"block": docs["block"], "row": docs["row"], "key": docs["key"], "n_words": counts, "hits": hits, "items": [sorted(map(str, items.get(r, ()))) for r in range(len(docs))]})
-
-        return index.groupBy("block").applyInPandas(match, out)
-
-    parts = [one(phrases[i : i + SLICE_WINDOWS]) for i in range(0, len(phrases), SLICE_WINDOWS)] or [one([])]
-    if len(parts) == 1:
-        return parts[0].select("key", "n_words", "hits", "items")
-    all_of = parts[0]
-    for part in parts[1:]:
-        all_of = all_of.unionByName(part)
-    none = F.array().cast(spans)
-    # Ranges in order: one that begins inside the last one widens it.
-    joined = F.aggregate(
-        F.sort_array(F.flatten(F.collect_list("hits"))),
-        none,
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return all_of.groupBy("block", "row").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), joined.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("block", "row")
+    out = out.add("hits", T.ArrayType(span)).add("windows", T.ArrayType(T.BinaryType()))
+
+    def match(block: pa.Table, tried: pa.Table) -> pa.Table:
+        some = block.column("term").is_valid()
+        docs = block.filter(block.column("term").is_null()).sort_by("row")
+        own = block.filter(some)
+        at_term = dict(zip(own.column("term").to_pylist(), own.column("postings")))
+        starts, counts = (docs.column(c).to_numpy() for c in ("start", "n_words"))
+        found: dict[int, list[tuple[int, int]]] = {}
+        met: dict[int, list[bytes]] = {}
+        read: dict[bytes, np.ndarray] = {}
+        for window, phrase in zip(tried.column("window").to_pylist(), tried.column("words").to_pylist()):
+            if not all(t in at_term for t in phrase):
+                continue
+            for t in phrase:
+                if t not in read:
+                    read[t] = unpacked(at_term[t].as_py())
+            at = near(sorted(((i, read[t]) for i, t in enumerate(phrase)), key=lambda x: (len(x[1]), x[0])), slop)
+            if not len(at):
+                continue
+            row = np.searchsorted(starts, at, side="right") - 1
+            ends = np.minimum(at + len(phrase), starts[row] + counts[row])
+            for r, a, b in zip(row.tolist(), (np.maximum(at, starts[row]) - starts[row]).tolist(), (ends - starts[row]).tolist()):
+                if a < b:
+                    found.setdefault(r, []).append((a, b))
+                    if window not in met.setdefault(r, [])[-1:]:
+                        met[r].append(window)
+        n = docs.num_rows
+        hits = [[{"start": a, "end": b} for a, b in merged(found.get(r, []))] for r in range(n)]
+        kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.table([docs.column("block"), docs.column("row"), docs.column("key"), docs.column("n_words"), pa.array(hits, kinds), pa.array([met.get(r, []) for r in range(n)], pa.list_(pa.binary()))], names=out.names)
+
+    matched = stored(blocks.groupBy("block").cogroup(tried.groupBy("within")).applyInArrow(match, out), "matched")
+    drop(lists)
+    items = matched.select("block", "row", F.explode("windows").alias("window")).join(phrases.select("window", "item"), "window")
+    items = items.groupBy("block", "row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return matched.join(items, ["block", "row"], "left").select("key", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,10 +213,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = WINDOW, slop: int = 0) -> DataFrame:
     """Index and search in one: ``key``, ``n_words``, ``hits`` and ``items`` of each document."""
-    phrases = windows(items, item_key, item_text, size)
-    terms = {w for phrase, _ in phrases for w in phrase}
-    index = build_index(docs, terms if len(terms) <= MOST_TERMS else None, key, text, gap=size + slop)
-    return search(index, phrases, slop)
+    index = build_index(docs, key, text, gap=size + slop)
+    out = search(index, windows(items, item_key, item_text, size), slop)
+    drop(index)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

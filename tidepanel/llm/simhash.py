@@ -2,17 +2,22 @@
 
 ``fingerprints`` gives each text 64 bits from its word shingles. Equal fingerprints fall together before anything else,
 so groups of copies cost one entry each. Fingerprints that differ in ``distance`` bits or fewer agree on at least one
-of ``distance + 1`` blocks of bits (or two of ``distance + 2``, and so on); each is dealt once for each, by its bits. Within such a group
-the fingerprints are sorted by their Gray rank, so that neighbours share most bits, and indexed bottom-up: a node holds
-the bits that all entries below it share, and of these only the ones that its parent lacks are compared, on top of the
-differences counted so far; past ``distance`` the whole node is left out. A group above ``group_rows`` entries is split:
-each part is indexed in a task of its own and searched with all entries of the group.
+of ``distance + 1`` blocks of bits (or two of ``distance + 2``, and so on); each is dealt once for each, by its bits.
+Within such a bucket the fingerprints are sorted by their Gray rank, so that neighbours share most bits, and indexed
+bottom-up: a node holds the bits that all entries below it share, and of these only the ones that its parent lacks are
+compared, on top of the differences counted so far; past ``distance`` the whole node is left out, and where even the bits
+that its entries don't share can't lead past it, all of it is taken at once. A bucket above ``group_rows`` entries is
+dealt in parts: a part is indexed in a task of its own, past which the bucket's fingerprints are streamed.
 
 A task passes on a spanning forest of the links it found, not the pairs; ``components`` joins the forests.
 
+``one_of_each`` looks for texts that are much less alike, and so takes longer fingerprints of ``WIDE`` bits: each of
+``TABLES`` buckets is named by ``KEY_BITS`` of them, and in a bucket the same index compares the first 128 bits.
+
 Null texts count as empty; a text without words has fingerprint 0 and links like any other. A text with fewer words than
-a shingle is one shingle. Rows, repeated ones too, come out one for one. A row without an id gets a fingerprint, takes
-the component of the others with that fingerprint and no part in links of its own. An empty table gives no rows.
+a shingle is one shingle; texts of any length are read whole, some 65,536 shingles at a time. Rows, repeated ones too,
+come out one for one. A row without an id gets a fingerprint, takes the component of the others with that fingerprint and
+no part in links of its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +30,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import ranges, release, small_batches, stored, table
+from .common import drop, fresh_name, list_array, numbered, ranges, release, small_batches, stored, table
 from .components import components
 
 SEED = 42
 FANOUT = 8
 GROUP_ROWS = 65_536
+#: Pairs of fingerprints that a search looks at together, at most.
+PAIRS = 20_000_000
+#: Bits of a long fingerprint, the buckets that it is dealt to, and the bits of it that name one.
+WIDE, TABLES, KEY_BITS = 512, 64, 24
 #: How many rows of a component a round settles at first and at most, and the text that a part of it holds.
 HEADS, MOST_HEADS, PART_BYTES = 32, 256, 2_000_000
+#: What tells the words of a long fingerprint apart.
+STEPS, MIX = np.arange(WIDE // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -51,13 +62,20 @@ def hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in some], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The fingerprint, as a signed number of 64 bits."""
-    total, n = np.zeros(64, np.int64), 0
+def majority(text: str | None, shingle: int, width: int = 64) -> np.ndarray:
+    """The fingerprint as numbers of 64 bits: the first from the shingles' hashes, the others from what is mixed of them."""
+    total, n = np.zeros(width, np.int64), 0
     for some in hashes(text, shingle):
-        total += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        mixed = np.empty((len(some), width // 64), "<u8")
+        for i in range(width // 64):
+            x = some + STEPS[i]
+            mixed[:, i] = some if not i else (x ^ x >> np.uint64(31)) * MIX
+        for at in range(0, len(some), 255 * 64):  # bytes hold sums of 255 ones
+            bits = np.unpackbits(mixed[at : at + 255 * 64].view(np.uint8), axis=1, bitorder="little")
+            for k in range(0, len(bits), 255):
+                total += bits[k : k + 255].sum(0, dtype=np.uint8)
         n += len(some)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
+    return np.packbits(total * 2 > n, bitorder="little").view("<i8")
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 3, drop_text: bool = False) -> DataFrame:
@@ -67,7 +85,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = pa.array([fingerprint(x.as_py(), shingle) for x in batch.column(text)], pa.int64())
+            bits = pa.array([majority(x.as_py(), shingle)[0] for x in batch.column(text)], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), bits], names=[*kept, out])
 
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.LongType())]))
@@ -82,46 +100,58 @@ def gray_rank(bits: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Indexes over many groups at once. ``bits`` are in order of group, then Gray rank; ``group`` counts up from 0."""
+    """Indexes over many groups at once. ``bits``, a row of 64-bit numbers for each entry, are in order of group, then
+    Gray rank; ``group`` counts up from 0."""
 
-    def __init__(self, bits: np.ndarray, group: np.ndarray, fanout: int = FANOUT):
-        self.levels = []  # from the entries up: patterns, bits to compare, first child and number of children
+    def __init__(self, bits: np.ndarray, group: np.ndarray, distance: int, fanout: int = FANOUT):
+        self.distance = distance
+        self.levels = []  # from the entries up: patterns, shared bits, first child, number of children, first entry, loose bits
         every, some, owner = bits, bits, group
-        first, count = np.arange(len(bits)), np.ones(len(bits), np.int64)
-        shared = []
+        first, count, entry = np.arange(len(bits)), np.ones(len(bits), np.int64), np.arange(len(bits))
+        tied = np.zeros(len(bits), bool)  # to the entry before, in one node whose entries are all within the distance
         while True:
-            self.levels.append((every, first, count))
-            shared.append(~(every ^ some))
+            shared = ~(every ^ some)
+            loose = np.bitwise_count(~shared).sum(1, dtype=np.int64)
+            self.levels.append((every, shared, first, count, entry, loose))
+            narrow = np.flatnonzero(loose <= distance)
+            ends = np.append(entry[1:], len(bits))
+            tied[ranges(entry[narrow] + 1, ends[narrow] - entry[narrow] - 1)] = True
             sizes = np.bincount(owner)
             if sizes.max(initial=0) <= 1:
                 break
             place = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
             first = np.flatnonzero(place % fanout == 0)
             count = np.diff(np.append(first, len(owner)))
+            entry = entry[first]
             every, some, owner = np.bitwise_and.reduceat(every, first), np.bitwise_or.reduceat(some, first), owner[first]
-        self.shared = shared
+        self.tied = np.flatnonzero(tied)
         self.roots = np.full(int(group[-1]) + 1 if len(group) else 0, -1)
         self.roots[owner] = np.arange(len(owner))
 
-    def search(self, queries: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a query's number and an entry's number, within ``distance`` bits and of the same group."""
-        every, first, count = self.levels[-1]
-        q = np.flatnonzero(group >= 0)
-        node = self.roots[group[q]]
-        differ = np.bitwise_count((queries[q] ^ every[node]) & self.shared[-1][node]).astype(np.int64)
-        for depth in range(len(self.levels) - 1, 0, -1):
-            ok = differ <= distance
+    def search(self, queries: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query's number and an entry's number, within the distance and of the same group. Of a node that is
+        within it as a whole the first entry is told; the others are ``tied`` to it."""
+        every, shared, *_ = self.levels[-1]
+        q = np.arange(len(group))
+        node = self.roots[group]
+        differ = np.bitwise_count((queries[q] ^ every[node]) & shared[node]).sum(1, dtype=np.int64)
+        found = [], []
+        for depth in range(len(self.levels) - 1, -1, -1):
+            _, above, first, count, entry, loose = self.levels[depth]
+            whole = differ + loose[node] <= self.distance
+            found[0].append(q[whole])
+            found[1].append(entry[node[whole]])
+            ok = ~whole & (differ <= self.distance)
             q, node, differ = q[ok], node[ok], differ[ok]
-            _, first, count = self.levels[depth]
-            below, above = self.levels[depth - 1][0], self.shared[depth]
+            if not depth or not len(q):
+                break
+            below, settled, *_ = self.levels[depth - 1]
             child = ranges(first[node], count[node])
-            parent = np.repeat(node, count[node])
-            q, differ = np.repeat(q, count[node]), np.repeat(differ, count[node])
+            parent, q, differ = np.repeat(node, count[node]), np.repeat(q, count[node]), np.repeat(differ, count[node])
             # Only the bits that the node above didn't settle.
-            differ = differ + np.bitwise_count((queries[q] ^ below[child]) & self.shared[depth - 1][child] & ~above[parent])
+            differ = differ + np.bitwise_count((queries[q] ^ below[child]) & settled[child] & ~above[parent]).sum(1, dtype=np.int64)
             node = child
-        ok = differ <= distance
-        return q[ok], node[ok]
+        return np.concatenate(found[0]), np.concatenate(found[1])
 
 
 def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,76 +167,130 @@ def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def links(entries: DataFrame, distance: int = 2, agree: int = 1, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links ``a``, ``b`` that join the ids of all fingerprints within ``distance`` bits of each other.
+def _in_order(bits: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return np.lexsort((*(gray_rank(bits[:, i]) for i in range(bits.shape[1] - 1, -1, -1)), number))
+
+
+def _blocks(cost: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of queries that each look at no more than so many pairs, or are one query."""
+    at, upto = 0, np.cumsum(cost)
+    while at < len(cost):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        yield at, end
+        at = end
+
 
-    ``entries`` has a row ``fingerprint``, ``id`` for each distinct fingerprint. Of ``distance + agree`` blocks of bits
-    such fingerprints share ``agree`` or more, so each choice of that many blocks deals all fingerprints once.
+def links(dealt: DataFrame, words: list[str], distance: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links ``a``, ``b`` that join the ids of all fingerprints within ``distance`` bits of each other in one bucket.
+
+    ``dealt`` has ``tab`` and ``bits``, which name a bucket, ``id``, and the columns ``words`` of the fingerprint.
     """
-    blocks = distance + agree
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in some) for some in combinations(range(blocks), agree)]
-    keys = F.array(*(F.col("fingerprint").bitwiseAND(m - (1 << 64) if m >> 63 else m) for m in masks))
-    dealt = entries.select("fingerprint", "id", F.posexplode(keys).alias("block", "bits"))
-    # Groups too large for one task: part p is indexed by itself and searched with the whole group.
-    large = dealt.groupBy("block", "bits").count().where(F.col("count") > group_rows).select("block", "bits", F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
-    dealt = dealt.join(large, ["block", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    home = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
-    dealt = dealt.withColumn("home", home).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("fingerprint", "id", F.struct("block", "bits", "part").alias("group"), (F.col("home") == F.col("part")).alias("indexed"))
-    dealt = dealt.repartition("group").sortWithinPartitions("group")
+    kind = dealt.schema["id"].dataType
+    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    # Buckets too large for one task; partial counts are made before they are shuffled.
+    large = dealt.groupBy("tab", "bits").count().where(F.col("count") > group_rows)
+    large = stored(large.select("tab", "bits", F.ceil(F.col("count") / group_rows).cast("int").alias("parts")), "large")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
+        return [rows.column(c).to_numpy() for c in names]
+
+    def patterns(rows: pa.Table) -> np.ndarray:
+        return np.stack(columns(rows, *words), axis=1).view(np.uint64)
+
+    def told(label: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        tied = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[label[tied]])], names=["a", "b"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            new = pa.Table.from_batches([batch])
+            rest = new if rest is None else pa.concat_tables([rest, new])
             if rest.num_rows < group_rows:
                 continue
-            group = rest.column("group").combine_chunks()
-            last = group[len(group) - 1].as_py()
-            same = np.logical_and.reduce([group.field(k).to_numpy() == last[k] for k in ("block", "bits", "part")])
-            whole = int(np.argmax(same))  # the last group may go on in the next batch
-            if whole:
-                yield joined(rest.slice(0, whole))
-                rest = rest.slice(whole)
+            tab, bits = columns(rest, "tab", "bits")
+            begins = int(np.argmax((tab == tab[-1]) & (bits == bits[-1])))  # the last bucket may go on in the next batch
+            if begins:
+                yield joined(rest.slice(0, begins))
+                rest = rest.slice(begins)
         if rest is not None:
             yield joined(rest)
 
     def joined(rows: pa.Table) -> pa.RecordBatch:
-        group = rows.column("group").combine_chunks()
-        fields = [group.field(k).to_numpy().astype(np.int64) for k in ("block", "bits", "part")]
-        number = np.cumsum(np.concatenate([[False], np.logical_or.reduce([f[1:] != f[:-1] for f in fields])])) if len(group) else np.zeros(0, np.int64)
-        bits = rows.column("fingerprint").to_numpy().view(np.uint64)
-        ids, indexed = rows.column("id").to_numpy(), rows.column("indexed").to_numpy(zero_copy_only=False)
-        sizes = np.bincount(number)
-        some = sizes[number] > 1
-        bits, ids, indexed, number = bits[some], ids[some], indexed[some], number[some]
-        order = np.lexsort((gray_rank(bits), number))
-        bits, ids, indexed, number = bits[order], ids[order], indexed[order], np.unique(number[order], return_inverse=True)[1]
+        tab, bucket, ids = columns(rows, "tab", "bits", "id")
+        bits = patterns(rows)
+        number = np.cumsum(np.concatenate([[False], (tab[1:] != tab[:-1]) | (bucket[1:] != bucket[:-1])]))
+        some = np.bincount(number)[number] > 1
+        bits, ids, number = bits[some], ids[some], np.unique(number[some], return_inverse=True)[1]
+        order = _in_order(bits, number)
+        bits, ids, number = bits[order], ids[order], number[order]
         label = np.arange(len(bits))
-        entry = np.flatnonzero(indexed)
-        if len(entry):
-            index = GrayIndex(bits[entry], number[entry])
-            with_root = np.where(number < len(index.roots), number, 0)
-            with_root = np.where((number < len(index.roots)) & (index.roots[with_root] >= 0), number, -1)
-            for at in range(0, len(bits), 8192):
-                q, e = index.search(bits[at : at + 8192], with_root[at : at + 8192], distance)
-                label = forest(label, q + at, entry[e])
-        tied = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[label[tied]])], names=["a", "b"])
-
-    kind = entries.schema["id"].dataType
-    return dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+        if len(bits):
+            index = GrayIndex(bits, number, distance)
+            label = forest(label, index.tied, index.tied - 1)
+            for a, b in _blocks(np.bincount(number)[number]):
+                q, e = index.search(bits[a:b], number[a:b])
+                label = forest(label, q + a, e)
+        return told(label, ids)
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each part the entries come first, then all fingerprints of the bucket."""
+        part, own, index = None, [], None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            keys = columns(rows, "tab", "bits", "part", "asks")
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.num_rows]):
+                *name, asks = (k[a] for k in keys)
+                if name != part:
+                    part, own, index = name, [], None
+                if not asks:
+                    own.append(rows.slice(a, b - a))
+                    continue
+                if index is None:
+                    held = pa.concat_tables(own)
+                    bits, ids = patterns(held), held.column("id").to_numpy()
+                    order = _in_order(bits, np.zeros(len(bits), np.int64))
+                    ids = ids[order]
+                    index = GrayIndex(bits[order], np.zeros(len(bits), np.int64), distance)
+                    yield told(forest(np.arange(len(ids)), index.tied, index.tied - 1), ids)
+                some = rows.slice(a, b - a)
+                asking, both = patterns(some), np.concatenate([ids, some.column("id").to_numpy()])
+                label = np.arange(len(both))
+                for x, y in _blocks(np.full(len(asking), len(ids))):
+                    q, e = index.search(asking[x:y], np.zeros(y - x, np.int64))
+                    label = forest(label, q + x + len(ids), e)
+                yield told(label, both)
+
+    if large.isEmpty():
+        drop(large)
+        return dealt.repartition("tab", "bits").sortWithinPartitions("tab", "bits").mapInArrow(whole, out)
+    small = dealt.join(large, ["tab", "bits"], "left_anti").repartition("tab", "bits").sortWithinPartitions("tab", "bits").mapInArrow(whole, out)
+    split = dealt.join(large, ["tab", "bits"])
+    home = F.pmod(F.xxhash64(*words, "id"), F.col("parts")).cast("int")
+    entries = split.withColumns({"part": home, "asks": F.lit(0)})
+    asking = split.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "asks": F.lit(1)})
+    both = entries.unionByName(asking).drop("parts").repartition("tab", "bits", "part").sortWithinPartitions("tab", "bits", "part", "asks")
+    return small.unionByName(both.mapInArrow(streamed, out))
+
+
+def blocks(entries: DataFrame, distance: int, agree: int = 1) -> DataFrame:
+    """Deals each row ``fingerprint``, ``id`` once for each choice of ``agree`` of ``distance + agree`` blocks of bits:
+    fingerprints within the distance share one choice at least."""
+    n = distance + agree
+    cuts = [64 * i // n for i in range(n + 1)]
+    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in some) for some in combinations(range(n), agree)]
+    keys = F.array(*(F.col("fingerprint").bitwiseAND(m - (1 << 64) if m >> 63 else m) for m in masks))
+    return entries.select("fingerprint", "id", F.posexplode(keys).alias("tab", "bits"))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2, agree: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, ``fingerprint`` and ``component_id``, the least key that a row's fingerprint reaches over links; and the
-    columns ``keep``."""
-    marked = stored(fingerprints(df.select(F.col(key).alias(key), F.col(text).alias("text"), *keep), shingle=shingle, drop_text=True), "fingerprints")
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2, agree: int = 1) -> DataFrame:
+    """``key``, ``fingerprint`` and ``component_id``, the least key that a row's fingerprint reaches over links."""
+    marked = stored(fingerprints(df.select(F.col(key).alias(key), F.col(text).alias("text")), shingle=shingle, drop_text=True), "fingerprints")
     entries = marked.groupBy("fingerprint").agg(F.min(key).alias("id"))
-    found = components(links(entries.where(F.col("id").isNotNull()), distance, agree))
+    found = components(links(blocks(entries.where(F.col("id").isNotNull()), distance, agree), ["fingerprint"], distance))
     labels = entries.join(found, entries["id"] == found["node"], "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
-    return marked.join(stored(labels, "labels"), "fingerprint", "left").select(key, "fingerprint", "component_id", *keep)
+    return marked.join(stored(labels, "labels"), "fingerprint", "left").select(key, "fingerprint", "component_id")
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -225,30 +309,53 @@ def similar(left: np.ndarray, right: np.ndarray, least: float) -> bool:
     return both >= least * (len(small) + len(large) - both)
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 11, agree: int = 2) -> DataFrame:
-    """``df`` without near-duplicates: of equal texts the least key stays. Texts whose fingerprints are linked within
-    ``distance`` bits are then taken by their keys in turn, and one stays unless its ``shingle``-word shingles are
-    ``least`` similar or more to those of one that stays. Rows without a key stay.
+def _wide(texts: DataFrame, shingle: int) -> DataFrame:
+    """``id``, two words ``fingerprint`` and ``more`` of the long fingerprint, and ``keys``, the bits that name its buckets."""
+    small_batches(texts.sparkSession)
+    places = np.stack([np.random.default_rng([SEED, t]).choice(WIDE, KEY_BITS, replace=False) for t in range(TABLES)])
 
-    Each round settles the first ``HEADS`` of each component, or more in later rounds, and what is near to those that
-    stay; a component with many rows is dealt in parts, each with these heads."""
-    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"), digest.alias("digest"))
-    found = near_duplicates(texts, "k", "text", distance=distance, agree=agree, keep=("digest",)).select("k", "digest", "component_id")
-    found = stored(found, "found")
-    linked = found.where(F.col("k") != F.col("component_id")).select("component_id").distinct()
-    found = stored(found.join(linked, "component_id", "left_semi"), "members")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.array([majority(x.as_py(), shingle, WIDE) for x in batch.column("text")], "<i8").reshape(-1, WIDE // 64)
+            bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+            keys = (bits[:, places].astype(np.int32) << np.arange(KEY_BITS, dtype=np.int32)).sum(2, dtype=np.int32)
+            lists = list_array(keys.ravel(), np.arange(len(words) + 1) * TABLES, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words[:, 0]), pa.array(words[:, 1]), lists], names=["id", "fingerprint", "more", "keys"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, fingerprint long, more long, keys array<int>")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 26) -> DataFrame:
+    """``df`` without near-duplicates. Of equal texts the row with the least key stays, whatever else the rows hold; rows
+    without a key come last, and of equal keys any one is the least. The texts left that long fingerprints of three-word
+    shingles link, within ``distance`` of 128 bits, are then taken in that order by component, and one stays unless its
+    ``shingle``-word shingles are ``least`` similar or more to those of one that stays.
+
+    Rows are told apart by a number of their own, so rows that share an id or have none stay or go each for itself. Null
+    and empty texts are equal. An empty table gives no rows, and columns of any name are kept. Each round settles the
+    first ``HEADS`` of each component, or more in later rounds, and what is near to those that stay; a component with
+    many rows is dealt in parts, each with these heads."""
+    row, digest = fresh_name(df, "row_number"), fresh_name(df, "digest")
+    rows = numbered(df, row, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias(digest))
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col(row).alias("id"))
+    firsts = rows.select(place.alias("place"), F.col(digest).alias("digest")).groupBy("digest").agg(F.min("place").alias("place")).select("place.*")
+    firsts = stored(firsts, "firsts")
+    texts = rows.select(F.col(row).alias("id"), F.col(text).alias("text")).join(firsts, "id")
+    wide = stored(_wide(texts, 3), "fingerprints")
+    dealt = wide.select("id", "fingerprint", "more", F.posexplode("keys").alias("tab", "bits"))
+    found = stored(components(links(dealt, ["fingerprint", "more"], distance)), "members")
+    drop(wide)
     release(df.sparkSession)
-    firsts = stored(found.groupBy("digest").agg(F.min("k").alias("k"), F.min("component_id").alias("component_id")), "firsts")
-    left = stored(firsts.join(texts, ["k", "digest"]).select("component_id", "k", "digest", "text").dropDuplicates(["k", "digest"]), "left")
-    kind = T.StructType([*(left.schema[c] for c in ("k", "digest")), T.StructField("near", T.BooleanType())])
+    found = found.select(F.col("node").alias("id"), F.col("component").alias("component_id"))
+    left = stored(texts.join(found, "id"), "left")
+    kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("near", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, kept = None, []
         for batch in batches:
-            rows, near = [], []
-            fields = [batch.column(c).to_pylist() for c in ("component_id", "part", "head")]
-            for i, (component, part, head) in enumerate(zip(*fields)):
+            ids, near = [], []
+            fields = [batch.column(c).to_pylist() for c in ("component_id", "part", "head", "id")]
+            for i, (component, part, head, number) in enumerate(zip(*fields)):
                 if group != (component, part):
                     group, kept = (component, part), []
                 own = shingles(batch.column("text")[i].as_py(), shingle)
@@ -256,35 +363,35 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
                 if head and not gone:
                     kept.append(own)
                 if gone and not head or head and part == 0:
-                    rows.append(i)
+                    ids.append(number)
                     near.append(gone)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("k", "digest")), pa.array(near, pa.bool_())], names=kind.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, pa.bool_())], names=kind.names)
 
     heads, near = HEADS, None
     while True:
         size = F.greatest(F.count("*") / (8 * heads), F.sum(F.octet_length(F.coalesce("text", F.lit("")))) / PART_BYTES)
         # A row that is alone has been held against all that stay.
         sizes = stored(left.groupBy("component_id").agg(F.count("*").alias("n"), F.ceil(size).cast("int").alias("parts")).where("n > 1"), "sizes")
-        first = Window.partitionBy("component_id").orderBy("k", "digest")
-        ahead = left.select("component_id", "k", "digest").withColumn("place", F.row_number().over(first)).where(F.col("place") <= heads).select("k", "digest", F.lit(True).alias("head"))
-        dealt = left.join(sizes.drop("n"), "component_id").join(stored(ahead, "ahead"), ["k", "digest"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
-        part = F.when(F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")))
-        dealt = dealt.withColumn("part", F.explode(part)).select("component_id", "part", "head", "k", "digest", "text")
-        dealt = dealt.repartition("component_id", "part").sortWithinPartitions("component_id", "part", F.col("head").desc(), "k", "digest")
+        first = Window.partitionBy("component_id").orderBy("none", "k", "id")
+        ahead = left.select("component_id", "none", "k", "id").withColumn("place", F.row_number().over(first)).where(F.col("place") <= heads).select("id", F.lit(True).alias("head"))
+        dealt = left.join(sizes.drop("n"), "component_id").join(stored(ahead, "ahead"), "id", "left").withColumn("head", F.coalesce("head", F.lit(False)))
+        part = F.when(F.col("head"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+        dealt = dealt.withColumn("part", F.explode(part)).select("component_id", "part", "head", "none", "k", "id", "text")
+        dealt = dealt.repartition("component_id", "part").sortWithinPartitions("component_id", "part", F.col("head").desc(), "none", "k", "id")
         settled = stored(dealt.mapInArrow(run, kind), "settled")
-        gone = settled.where("near").select("k", "digest")
+        gone = settled.where("near").select("id")
         near = gone if near is None else near.unionByName(gone)
         release(df.sparkSession)
         large = sizes.where(F.col("n") > heads + 1).select("component_id")
         if large.isEmpty():
             break
-        left = stored(left.join(large, "component_id", "left_semi").join(settled.select("k", "digest"), ["k", "digest"], "left_anti"), "left")
+        before, left = left, stored(left.join(large, "component_id", "left_semi").join(settled.select("id"), "id", "left_anti"), "left")
+        drop(before)
         heads = min(2 * heads, MOST_HEADS)
-    fates = stored(firsts.select("digest", F.col("k").alias("first")).join(near.select("digest", F.lit(True).alias("near")), "digest", "left"), "fates")
-    gone = found.join(fates, "digest").where((F.col("k") != F.col("first")) | F.col("near")).select(F.col("k").alias("__k"), F.col("digest").alias("__digest")).distinct()
-    gone = stored(gone, "gone")
+    drop(left)
+    stay = stored(firsts.select("id").join(near, "id", "left_anti").withColumnRenamed("id", fresh_name(rows, "stays")), "stay")
     release(df.sparkSession)
-    return df.join(gone, (df[key] == gone["__k"]) & (digest == gone["__digest"]), "left_anti")
+    return rows.join(stay, F.col(row) == stay[stay.columns[0]], "left_semi").select(df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
