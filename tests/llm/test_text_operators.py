@@ -405,6 +405,11 @@ def test_secrets_and_the_ledger(spark, docs, none, tmp_path):
     newer = tuple(secrets.Rule(r.kind, r.version + (r.kind == "hex"), r.pattern, r.group, r.least, r.hint) for r in secrets.RULES)
     assert read(secrets.scan(docs, ledger, newer)) == wanted  # only the changed rule runs again
     assert {tuple(r.rules) for r in spark.read.parquet(ledger).collect()} >= {("hex@2",)}
+    batch = spark.createDataFrame(spark.read.parquet(ledger).collect(), secrets.LEDGER)
+    batch.write.mode("append").parquet(ledger)  # as if two scans had run at once
+    assert read(secrets.scan(docs, ledger)) == wanted
+    clashing = secrets.scan(docs.withColumn("found", F.lit(1)), ledger, keep=("doc_id", "found"), blob="b", out="f")
+    assert clashing.columns == ["doc_id", "found", "b", "f"] and clashing.count() == len(TEXTS)
     assert secrets.scan(none, str(tmp_path / "other")).count() == 0
 
 

@@ -2,14 +2,17 @@
 
 A text is content-addressed by its SHA-256, so all rows and versions that hold the same text are one blob. The ledger is
 a folder of Parquet batches that says, for each blob, which rules in which versions have been run on it and what they
-found. ``scan`` runs only pairs of blob and rule version that the ledger lacks, appends them as a new batch, and joins
-the findings back to every row of the input.
+found. ``scan`` compares digests with the ledger, runs only the pairs of blob and rule version that it lacks, appends
+them as a new batch, and joins the findings back to every row of the input. So where the ledger knows most of the blobs
+their texts are not shuffled. A batch that was appended twice, or by two scans at once, says the same twice and counts
+once.
 
 Positions are code points from 0, end exclusive. Spark has no function for the positions of all matches, so they are
 summed from the lengths of the pieces between matches and of the matches themselves, in order.
 
-Null texts count as empty. Each row of the input, repeated or not, comes out once with its findings, which may be none;
-an empty table gives no rows. Of the other columns those asked for are kept.
+Null texts count as empty; texts of any length are read whole. Each row of the input, repeated or not, with an id or
+without, comes out once with its findings, which may be none; an empty table gives no rows. Of the other columns those
+asked for are kept; the names of the two new ones can be chosen where they clash.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import shared_dir, table
+from .common import drop, release, shared_dir, stored, table
 
 
 @dataclass(frozen=True)
@@ -55,62 +58,68 @@ KEY_END = r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
 KEY_HEAD = r"\A\s*(?:(?:Proc-Type|DEK-Info):[^\n]*\s+){0,2}"
 KEY_STOP = r"(?m)[^\sA-Za-z0-9+/=\\]|(?<!\S)(?![A-Za-z0-9+/\\]{24}|(?<=\n[ \t]{0,8})[A-Za-z0-9+/]+={0,2}[ \t\r]*$)\S"
 SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
+LEDGER = "blob_id binary, rules array<string>, found array<struct<start:int,rule:string,end:int>>"
 
 
-def spans(text: Column, rule: Rule, number: int) -> Column:
+def spans(text: Column, rule: Rule) -> Column:
     """The findings of one rule in ``text``."""
     parts = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("between"),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("match"),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("value"),
     )
+    kind = "array<struct<start:int,rule:string,end:int>>"
 
     def grown(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["between"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        found = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), F.lit(rule.kind).alias("kind"))).cast(SPANS)
+        found = F.array(F.struct(start.alias("start"), F.lit(rule.name).alias("rule"), end.alias("end"))).cast(kind)
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= rule.least, F.concat(acc["found"], found)).otherwise(acc["found"]).alias("found"))
 
-    none = F.array().cast(SPANS)
+    none = F.array().cast(kind)
     walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), grown)["found"]
     return F.when(text.rlike(rule.hint), walked).otherwise(none)
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.schema(f"blob_id binary, rules array<string>, found {SPANS}").parquet(path)
+        return spark.read.schema(LEDGER).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 
 
-def scan(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns ``keep`` of each row with ``blob_id`` and ``found``, all findings in order; adds to the ledger what it
-    lacks. A column of one of these two names gives way."""
+def scan(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",), text: str = "text", blob: str = "blob_id", out: str = "found") -> DataFrame:
+    """The columns ``keep`` of each row with ``blob``, the digest of its text, and ``out``, all findings in order; adds to
+    the ledger what it lacks. A kept column of one of these two names gives way."""
     spark = df.sparkSession
-    keep = [c for c in keep if c not in ("blob_id", "found")]
+    keep = [c for c in keep if c not in (blob, out)]
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(*keep, F.unhex(F.sha2(body, 256)).alias("blob_id"))
-    blobs = df.select(F.unhex(F.sha2(body, 256)).alias("blob_id"), body.alias("text")).groupBy("blob_id").agg(F.first("text").alias("text"))
+    digest = F.unhex(F.sha2(body, 256)).alias("blob_id")
+    blobs = df.select(digest, body.alias("text"))
     wanted = F.array(*(F.lit(r.name) for r in rules))
     known = _ledger(spark, ledger)
+    unseen = None
     if known is None:
-        todo = blobs.withColumn("rules", wanted)
+        todo = blobs.groupBy("blob_id").agg(F.first("text").alias("text")).withColumn("rules", wanted)
     else:
         done = known.select("blob_id", F.explode("rules").alias("rule")).where(F.col("rule").isin([r.name for r in rules])).groupBy("blob_id").agg(F.collect_set("rule").alias("done"))
-        todo = blobs.join(done, "blob_id", "left").withColumn("rules", F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))).where(F.size("rules") > 0)
-    found = [F.when(F.array_contains("rules", r.name), spans(F.col("text"), r, i)).otherwise(F.array().cast(SPANS)) for i, r in enumerate(rules)]
-    todo.select("blob_id", "rules", F.concat(*found).alias("found")).write.mode("append").option("compression", "zstd").parquet(ledger)
-
-    # Only findings of the rules at hand, one row for each blob: earlier batches may have run other versions.
-    now = _ledger(spark, ledger).select("blob_id", "rules", "found")
-    ours = F.array_intersect("rules", wanted)
-    of_ours = F.filter("found", lambda f: F.array_contains(F.transform(ours, lambda r: F.substring_index(r, "@", 1)), f["kind"]))
-    if known is not None:
-        now = now.where(F.size(ours) > 0).select("blob_id", of_ours.alias("found")).groupBy("blob_id").agg(F.flatten(F.collect_list("found")).alias("found"))
-    findings = now.select("blob_id", F.sort_array("found").alias("found")).where(F.size("found") > 0)
-    return rows.join(findings, "blob_id", "left").select(*keep, "blob_id", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
+        left = F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))
+        unseen = stored(df.select(digest).distinct().join(done, "blob_id", "left").select("blob_id", left.alias("rules")).where(F.size("rules") > 0), "unseen")
+        todo = blobs.join(unseen, "blob_id").groupBy("blob_id").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
+    found = [F.when(F.array_contains("rules", r.name), spans(F.col("text"), r)) for r in rules]
+    found = F.flatten(F.filter(F.array(*found), lambda f: f.isNotNull()))
+    todo.select("blob_id", "rules", found.alias("found")).write.mode("append").option("compression", "zstd").parquet(ledger)
+    if unseen is not None:
+        drop(unseen)
+
+    # Only findings of the rules at hand: earlier batches may have run other versions.
+    ours = F.filter("found", lambda f: F.array_contains(wanted, f["rule"]))
+    told = F.transform(F.array_distinct(F.flatten(F.collect_list("found"))), lambda f: F.struct(f["start"].alias("start"), (F.array_position(wanted, f["rule"]) - 1).cast("int").alias("kind_no"), f["end"].alias("end"), F.substring_index(f["rule"], "@", 1).alias("kind")))
+    findings = _ledger(spark, ledger).select(F.col("blob_id").alias(blob), ours.alias("found")).where(F.size("found") > 0).groupBy(blob).agg(F.sort_array(told).alias(out))
+    rows = df.select(*(F.col(c) for c in keep), digest.alias(blob))
+    return rows.join(findings, blob, "left").select(*keep, blob, F.coalesce(F.col(out), F.array().cast(SPANS)).alias(out))
 
 
 def joined(found: Column) -> Column:
@@ -141,8 +150,12 @@ def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans against one ledger: the rules of the base, then all rules, of which only the others have yet to run."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = scan(docs, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    ledger = f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    scan(docs, ledger, tuple(r for r in RULES if r.kind in BASE))
+    release(spark)
+    out = scan(docs, ledger)
     count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long")
     base = F.filter("found", lambda f: f["kind"].isin(*BASE))
     return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
