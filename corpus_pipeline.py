@@ -14,36 +14,51 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.llm import bpe, decontam, quality, secrets, simhash
-from tidepanel.llm.common import shared_dir, stored, table
+from tidepanel.llm.common import fresh_name, numbered, shared_dir, stored, table
 
 #: SQL can express neither the classifier nor the merges.
 ORACLE_SQL = None
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier scores below the threshold go; a score on the threshold stays. Each row is scored by its
+    text alone, so equal texts share their fate, whatever their ids; null and empty texts have the base rate's score.
+    Ids that are null or repeat are never learnt from more than once. All columns are kept; no rows give none."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
-    scored = quality.score(docs, weights, out="__score")
-    return scored.where(F.col("__score") >= quality.THRESHOLD).select(docs.columns)
+    score = fresh_name(docs, "score")
+    return quality.score(docs, weights, out=score).where(F.col(score) >= quality.THRESHOLD).select(docs.columns)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts and of groups of near-duplicates the row with the least id stays, rows without an id after all
+    others; null and empty texts are equal. Rows are told apart by a number of their own, so what shares an id or has none
+    stays or goes each for itself. All columns are kept; no rows give none."""
     return simhash.one_of_each(docs)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaked = stored(found.where(F.size("hits") > 0).select(F.col("key").alias("leaked")).distinct(), "leaked")
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked"]), "left_anti")
+    """Rows whose text holds a window of a benchmark item go, and no others: rows are told apart by a number of their own,
+    not by their ids. Null and empty texts stay. All columns are kept; no rows give none."""
+    row = fresh_name(docs, "row_number")
+    rows = numbered(docs, row)
+    found = decontam.contamination(rows, table(spark, sf_dir, "benchmark"), key=row)
+    leaked = stored(found.where(F.size("hits") > 0).select(F.col("key").alias(row)), "leaked")
+    return rows.join(leaked, row, "left_anti").select(docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan(docs, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}", keep=tuple(docs.columns))
-    text = secrets.redacted(F.col("text"), F.col("found"))
-    out = found.withColumn("n_chars", F.when(F.size("found") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
+    """Every row stays, repeated ones and those without an id too; of a text with findings these are replaced by a mark,
+    a private key as a whole, and ``n_chars`` is counted again. Null texts stay null. All columns are kept."""
+    blob, found = fresh_name(docs, "blob_id"), fresh_name(docs, "found")
+    out = secrets.scan(docs, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}", keep=tuple(docs.columns), blob=blob, out=found)
+    text = secrets.redacted(F.col("text"), F.col(found))
+    out = out.withColumn("n_chars", F.when(F.size(found) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
     return out.withColumn("text", text).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``lang``, ``source``, ``n_tokens``, ``ids`` and ``round_trip``, whether the ids decode to the text, of
+    each row, repeated ones and those without an id too. Null and empty texts have no ids; other columns are left out."""
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
