@@ -374,6 +374,7 @@ def test_substrings(spark, docs, none, window):
         at, a = random.randint(0, len(w)), random.randrange(40)
         more.append((i, " ".join(w[:at] + passage[a : a + random.randint(5, 40)] + w[at:])))
     more += [(21, " ".join(passage)), (7, more[3][1])]  # an id with two texts, and a copy that comes first
+    more += [(None, " ".join(passage)), (None, more[5][1]), (None, more[5][1]), (30, more[10][1])]
     both = docs.select("doc_id", "text", F.lit(1).alias("hash")).unionByName(spark.createDataFrame([(*r, 1) for r in more], "doc_id long, text string, hash int"))
     got = substrings.deduplicate(both, window=window).collect()
     assert counted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == slow_substrings([*TEXTS, *more], window)

@@ -3,17 +3,19 @@
 Windows of words that occur in two documents at one length are the only candidates at twice that length, up to the
 length that counts: of 13 words, after 7. A window of the first length is looked at only where its hash is the least
 among those inside a window of the second length; equal windows choose alike, so a second-length window is a candidate
-just where the one it chose is repeated. Each level is a table in the shared folder: hashes with the ids of the first
-and last document they are in, aggregated before they are shuffled, joined back to the documents as lists of hashes.
-Levels end when the last length is done or no candidate is left.
-
-A word is removed if a window that covers it, and is repeated, starts in a document with a smaller id. Windows count as
-equal by 96 bits of hash. Exact copies of a text are told by SHA-256 and left out of the levels after the first: all
-words of the ones behind the first are removed, if they make a window.
-
-Words are runs of anything but ASCII white space. Null texts have no words; texts shorter than a window keep all. Rows
-without an id come after all others and not one after another. Rows that share an id don't remove each other's words.
-Each row comes out once; an empty table gives no rows; other columns are left out.
+just where the one it chose is repeated. Each level is a table in the shared folder: hashes with the text they are in,
+aggregated before they are shuffled, joined back to the texts as lists of hashes. Levels end when the last length is done
+or no candidate is left.
+
+A word is removed if a window that covers it, and is repeated, starts in a document with a smaller id. All levels work on
+distinct texts, told apart by SHA-256, each with the least id that it has: what is removed of the row with that id depends
+on the ids of other texts, and rows of the same text with larger ids lose every word that is in a window. So a list of
+hashes is never longer than one text, however many rows share it, its id, or lack an id. Windows count as equal by 96
+bits of hash.
+
+Words are runs of anything but ASCII white space. Null texts have no words; texts shorter than a window keep all; texts
+of any length are read whole. Rows without an id come after all others and not one after another. Rows that share an id
+don't remove each other's words. Each row comes out once; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -26,12 +28,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import release, small_batches, stored, table
+from .common import drop, release, small_batches, stored, table
 
 WINDOW = 13
 LAST = (1 << 63) - 1
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
-ANCHOR_BITS = 40
 
 
 def words(text: str | None) -> list[bytes]:
@@ -78,7 +79,7 @@ def chosen(word: np.ndarray, length: int, longer: int) -> np.ndarray:
     out = hashes[:n].copy()
     for i in range(1, longer - length + 1):
         np.minimum(out, hashes[i : i + n], out=out)
-    return (out >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
+    return out.view(np.int64)
 
 
 def lengths(window: int) -> list[int]:
@@ -89,25 +90,22 @@ def lengths(window: int) -> list[int]:
     return out if len(out) > 1 else [max(1, (window + 1) // 2), window]
 
 
-def _first_level(docs: DataFrame, short: int, longer: int) -> DataFrame:
-    """``id``, ``hash``: the chosen windows of each document, once each; and its ``digest`` once, with no hash."""
+def _first_level(texts: DataFrame, short: int, longer: int) -> DataFrame:
+    """``t``, ``first``, ``hash``: the chosen windows of each text, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            ids, texts = batch.column("id").to_numpy(), batch.column("text")
-            lists = [np.unique(chosen(hashes(words(x.as_py())), short, longer)) for x in texts]
+            lists = [np.unique(chosen(hashes(words(x.as_py())), short, longer)) for x in batch.column("text")]
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            n = int(counts.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)), pa.nulls(n, pa.binary())], names=["id", "hash", "digest"])
-            digests = [hashlib.sha256((x.as_py() or "").encode("utf-8", "surrogatepass")).digest() for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(digests, pa.binary())], names=["id", "hash", "digest"])
+            t, first = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("t", "first"))
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(first), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], names=["t", "first", "hash"])
 
-    return docs.mapInArrow(run, "id long, hash long, digest binary")
+    return texts.select("t", "first", "text").mapInArrow(run, "t long, first long, hash long")
 
 
 def _next_level(candidates: DataFrame, shorter: int, length: int, sampled: bool) -> DataFrame:
-    """``hash``, ``check``, ``id``: windows of ``length`` words, once a document, whose shorter windows are repeated."""
+    """``t``, ``first``, ``hash``, ``check``: windows of ``length`` words, once a text, whose shorter windows are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -128,23 +126,22 @@ def _next_level(candidates: DataFrame, shorter: int, length: int, sampled: bool)
                 out[0].append(full)
                 out[1].append((check >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 counts.append(len(full))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array(np.repeat(batch.column("id").to_numpy(), counts))], names=["hash", "check", "id"])
+            t, first = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("t", "first"))
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(first), pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1]))], names=["t", "first", "hash", "check"])
 
-    return candidates.select("id", "text", "hashes").mapInArrow(run, "hash long, check int, id long")
+    return candidates.select("t", "first", "text", "hashes").mapInArrow(run, "t long, first long, hash long, check int")
 
 
-def _cut(rows: DataFrame, window: int, kept: str, digest: bool) -> DataFrame:
+def _cut(texts: DataFrame, window: int, kept: str, digest: bool) -> DataFrame:
     """Removes what the windows listed in ``hashes`` cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            total, gone, left, digests = [], [], [], []
+            total, gone, left = [], [], []
             for text, listed in zip(batch.column("text"), batch.column("hashes")):
-                value = text.as_py() or ""
-                found = words(value)
+                found = words(text.as_py())
                 n = len(found)
-                digests.append(hashlib.sha256(value.encode("utf-8", "surrogatepass")).digest())
                 removed = 0
                 if listed.is_valid and n >= window:
                     hit = np.isin(windows(hashes(found), window).view(np.int64), listed.values.to_numpy())
@@ -158,9 +155,14 @@ def _cut(rows: DataFrame, window: int, kept: str, digest: bool) -> DataFrame:
                 gone.append(removed)
                 body = b" ".join(found)
                 left.append(hashlib.sha256(body).hexdigest() if digest else body.decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(digests, pa.binary()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["key", "id", "digest", "n_words", "n_removed", kept])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("first"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["digest", "first", "n_words", "n_removed", kept])
+
+    return texts.select("digest", "first", "text", "hashes").mapInArrow(run, f"digest binary, first long, n_words long, n_removed long, {kept} string")
 
-    return rows.select("key", "id", "text", "hashes").mapInArrow(run, T.StructType([T.StructField("key", rows.schema["key"].dataType), *(T.StructField(n, t) for n, t in (("id", T.LongType()), ("digest", T.BinaryType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), (kept, T.StringType())))]))
+
+def _repeated(met: DataFrame, by: list[str]) -> DataFrame:
+    """The windows that texts with different least ids hold, with the least id."""
+    return met.groupBy(*by).agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select(*by, "lo")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -168,35 +170,35 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     ``kept_sha256``, the SHA-256 of that."""
     spark = df.sparkSession
     small_batches(spark)
-    docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("text"))
+    distinct = rows.groupBy("digest").agg(F.min("id").alias("first"), F.first("text").alias("text"))
+    texts = stored(distinct.withColumn("t", F.monotonically_increasing_id()), "texts")
+    release(spark)
     plan = lengths(window)
-    met = stored(_first_level(docs.select("id", "text"), plan[0], plan[1]), "windows")
-    digests = met.where("digest IS NOT NULL").select("id", "digest")
-    first = stored(digests.groupBy("digest").agg(F.min("id").alias("first")), "texts")
-    # Copies add nothing to what their first one holds, unless that id also stands for a text of its own.
-    copies = digests.join(first, "digest").where("id > first").select("id").distinct().join(first.select(F.col("first").alias("id")), "id", "left_anti")
-    copies = stored(copies, "copies")
-    met = met.where("hash IS NOT NULL").select("id", "hash")
-    by = ["hash"]
+    met, by = stored(_first_level(texts, plan[0], plan[1]), "windows"), ["hash"]
     for shorter, length in zip(plan, plan[1:]):
-        repeated = stored(met.groupBy(*by).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(*by), "repeated")
+        repeated = stored(_repeated(met, by).select(*by), "repeated")
         release(spark)
-        listed = met.join(repeated, by).groupBy("id").agg(F.collect_list("hash").alias("hashes")).join(copies, "id", "left_anti")
-        listed = stored(listed, "candidates")
+        listed = stored(met.join(repeated, by).groupBy("t").agg(F.collect_list("hash").alias("hashes")), "candidates")
+        drop(met, repeated)
         release(spark)
-        met = stored(_next_level(docs.join(listed, "id"), shorter, length, shorter == plan[0]), "windows")
+        met, by = stored(_next_level(texts.join(listed, "t"), shorter, length, shorter == plan[0]), "windows"), ["hash", "check"]
+        drop(listed)
         release(spark)
-        by = ["hash", "check"]
-    repeated = stored(met.groupBy(*by).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(*by, "lo"), "repeated")
+    repeated = stored(_repeated(met, by), "repeated")
     release(spark)
-    removed = stored(met.join(repeated, by).where("id > lo").groupBy("id").agg(F.collect_list("hash").alias("hashes")), "removed")
+    removed = stored(met.join(repeated, by).where("first > lo").groupBy("t").agg(F.collect_list("hash").alias("hashes")), "removed")
+    drop(met, repeated)
     release(spark)
     kept = "kept_sha256" if digest else "kept"
-    rows = _cut(docs.join(removed, "id", "left"), window, kept, digest)
+    done = stored(_cut(texts.join(removed, "t", "left"), window, kept, digest), "cut")
+    drop(texts, removed)
+    release(spark)
     copy = (F.col("id") > F.col("first")) & (F.col("n_words") >= window)
     nothing = F.lit(hashlib.sha256(b"").hexdigest() if digest else "")
-    rows = rows.join(first, "digest", "left")
-    return rows.select(F.col("key").alias(key), "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, nothing).otherwise(F.col(kept)).alias(kept))
+    whole = rows.select("key", "id", "digest").join(done, "digest")
+    return whole.select(F.col("key").alias(key), "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, nothing).otherwise(F.col(kept)).alias(kept))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
