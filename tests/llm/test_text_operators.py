@@ -134,16 +134,73 @@ def test_neighbours(spark):
 
 
 def test_sharding(spark, docs, none):
-    rows = sharding.shard(docs.withColumn("shard", F.lit("clash"))).collect()
+    rows = sharding.shard(docs.withColumns({"shard": F.lit("clash"), "r": F.lit(1), "digest": F.lit("x"), "weight": F.lit(0)})).collect()
     assert counted((r.doc_id, r["size"], r.text_crc32) for r in rows) == counted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in TEXTS)
     slots = collections.defaultdict(list)
     for r in rows:
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(8))
     assert sharding.shard(none).count() == 0
-    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.repeat(F.lit("ab "), (F.col("id") % 97 + 1).cast("int"))).alias("text"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("lang"))
-    sizes = [r.n for r in sharding.shard(many).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
-    assert len(sizes) == 8 and max(sizes) < 1.06 * sum(sizes) / 8
+
+
+@pytest.mark.parametrize("shards", [8, 5])
+def test_sharding_keeps_groups_that_fit(spark, shards):
+    text = F.when(F.col("id") % 3 == 0, "one text that a third of all rows share").when(F.col("id") % 40 == 1, "another").otherwise(F.repeat(F.lit("ab "), (F.col("id") % 997 + 1).cast("int")))
+    many = spark.range(8000).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("lang"))
+    found = sharding.shard(many, shards).groupBy("text_crc32", "shard").agg(F.sum("size").alias("n")).collect()
+    sizes, group, at = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for r in found:
+        sizes[r.shard] += r.n
+        group[r.text_crc32] += r.n
+        at[r.text_crc32].add(r.shard)
+    target = sum(sizes.values()) / shards
+    assert len(sizes) == shards and max(sizes.values()) < (1 + sharding.HEAVY) * target and min(sizes.values()) > (1 - sharding.HEAVY) * target
+    assert all(len(at[c]) == 1 for c in at if group[c] <= target)
+
+
+def test_sharding_cuts_a_group_that_no_shard_can_hold(spark):
+    many = spark.range(4000).select(F.lit(1).alias("doc_id"), F.when(F.col("id") % 2 == 0, "the same again").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    rows = sharding.shard(many, target_bytes=10_000).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.shard] += r["size"]
+    same = {r.shard for r in rows if r.text_crc32 == zlib.crc32(b"the same again")}
+    assert len(sizes) == -(-sum(sizes.values()) // 10_000) and max(sizes.values()) < 10_500
+    assert len(same) <= 2 + -(-2000 * 15 // 10_000)
+
+
+def slow_tree(points, shards, ends, first=0):
+    """The k-d tree over points ``digest, weight, places, tie`` at exact medians."""
+    if shards == 1:
+        return {p[0]: first for p in points}
+    axis = max(range(2), key=lambda i: ((max(p[2][i] for p in points) - min(p[2][i] for p in points)) / (ends[i] or 1), -i))
+    goal = sum(p[1] for p in points) * (shards // 2) / shards
+    upto, left, right = 0, [], []
+    for p in sorted(points, key=lambda p: (p[2][axis], p[3])):
+        # The point at the median stays left unless it goes too far by more than half of itself.
+        (left if upto < goal and upto + p[1] - goal <= p[1] / 2 or upto + p[1] <= goal else right).append(p)
+        upto += p[1]
+    return slow_tree(left, shards // 2, ends, first) | slow_tree(right, shards - shards // 2, ends, first + shards // 2)
+
+
+@pytest.mark.parametrize("shards", [8, 3])
+def test_sharding_is_the_tree_at_exact_medians(spark, monkeypatch, shards):
+    import random
+
+    rng = random.Random(shards)
+    monkeypatch.setattr(sharding, "SETTLED", 0)
+    texts = [f"{i} " * rng.randrange(1, 4) for i in range(900)]
+    rows = [(i, rng.choice(texts), rng.randrange(5), rng.randrange(100_000)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a long, b long")
+    got = {r.doc_id: r.shard for r in sharding.shard(df, shards, dimensions={"a": F.col("a"), "b": F.col("b")}).collect()}
+    ties = {r.text: r.tie for r in df.select("text", F.shiftright(F.xxhash64(F.unhex(F.sha2("text", 256))), 2).alias("tie")).collect()}
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[1]].append(r)
+    points = [(t, sum(len(t) + 1 for _ in g), tuple(min(r[k] for r in g) for k in (2, 3)), ties[t]) for t, g in groups.items()]
+    ends = [max(p[2][i] for p in points) - min(p[2][i] for p in points) for i in range(2)]
+    wanted = slow_tree(points, shards, ends)
+    assert got == {r[0]: wanted[r[1]] for r in rows}
 
 
 # 6 SimHash
