@@ -118,7 +118,7 @@ def test_neighbours(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, x[0].tolist()) for i in range(30)] + [(5, x[5].tolist()), (200, None), (201, []), (202, [0.0] * 6), (203, [float("nan")] + [1.0] * 5), (204, [1.0, None]), (205, [2.0, 1.0]), (None, x[1].tolist())]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, score int")
     got = collections.defaultdict(list)
-    settings = neighbours.Settings(tables=4, probes=16, least=8)  # all cells of 8 padded dimensions: exact
+    settings = neighbours.Settings(tables=4, reach=100.0, block_rows=8)  # all cells: exact
     for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=5, settings=settings).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     whole = {i: np.pad(np.array(v, float), (0, 6 - len(v))) for i, v in rows if i is not None and i not in (200, 201, 202, 203, 204)}
@@ -130,6 +130,32 @@ def test_neighbours(spark):
     assert neighbours.search(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def recall(spark, n, width, seed):
+    import numpy as np
+
+    x = np.random.default_rng(seed).normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]  # no structure at all, which is the hardest
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    return {len(v) for v in got.values()}, sum(len(got[q] & set(np.argsort(-scores[q])[:20].tolist())) for q in range(0, n, 20)) / (20 * -(-n // 20))
+
+
+@pytest.mark.parametrize("n", [500, 2000, 6000])
+def test_neighbours_recall_with_the_settings_of_the_query(spark, n):
+    sizes, share = recall(spark, n, 64, n)
+    assert sizes == {20} and share >= 0.9
+
+
+def test_neighbours_fill_up_short_answers(spark):
+    for n in (2, 15, 30):
+        sizes, share = recall(spark, n, 64, n)
+        assert sizes == {min(20, n - 1)} and (n > 20 or share == (n - 1) / 20)
+
+
 # 5 Sharding
 
 
