@@ -60,10 +60,10 @@ def test_constraints_hold():
     assert op.Constraints(group_caps={"x": (("zz",), 1)}).conflicts(names)
 
 
-def test_frontier_rises_and_max_sharpe_is_its_best():
+def test_efficient_set_rises_and_max_sharpe_is_its_best():
     r = panel()
     mu, cov = r.mean(0), np.cov(r.T)
-    points = op.frontier(mu, cov, NAMES, points=15)
+    points = op.efficient_points(mu, cov, NAMES, points=15)
     assert len(points) == 15
     assert all(b["annual_volatility"] >= a["annual_volatility"] - 1e-7 and b["annual_return"] >= a["annual_return"] - 1e-9 for a, b in zip(points, points[1:]))
     w = op.max_sharpe(mu, cov, NAMES)
@@ -116,7 +116,7 @@ def test_all_strategies(returns):
         op.optimize(returns, ("Nothing",))
     with pytest.raises(service.PriceLevels):
         service.optimized(returns.withColumn("return", F.lit(50.0)))
-    points, best = service.frontier(returns, points=8)
+    points, best = service.efficient(returns, points=8)
     assert points.count() == 8 and best.count() == 1
 
 
@@ -161,6 +161,35 @@ def test_a_failed_rebalance_holds_on(spark, returns):
     assert result.warnings.count() == 1 and result.trades.where("NOT traded").first().turnover == 0
 
 
+def test_solver_messages_and_a_first_rebalance_without_solution(returns, monkeypatch):
+    c, seen = bt.Config(lookback=60, every=15), []
+    result = bt.backtest(returns, ("HRP",), c, op.Constraints(0, 0.5), progress=lambda *step: seen.append(step))
+    told = result.warnings.collect()
+    assert len(told) == 7 and all("constraints" in r.warning for r in told) and seen == [("calendar", 1, 3), ("targets", 2, 3), ("walk", 3, 3)]
+    with pytest.raises(ValueError, match="largest weights don't add up"):
+        bt.backtest(returns, ("Markowitz_MinVar",), c, op.Constraints(0, 0.1))
+    with pytest.raises(ValueError, match="largest weights don't add up"):
+        bt.backtest(returns, ("Markowitz_MinVar",), c, op.Constraints(0, 0.1, max_turnover=0.1))
+    both = bt.backtest(returns, ("Equal", "Markowitz_MinVar"), c, op.Constraints(0, 0.1))
+    assert {r.strategy for r in both.daily.select("strategy").distinct().collect()} == {"Equal"} and both.warnings.where("strategy = 'Markowitz_MinVar'").count() == 7
+
+
+def test_ranges_of_requests(returns):
+    for c in (op.Constraints(-1.5, 1), op.Constraints(max_weight=0.0), op.Constraints(max_leverage=6.0), op.Constraints(max_turnover=5.0, previous={"A": 1.0})):
+        with pytest.raises(ValueError, match="not within"):
+            service.optimized(returns, ("Markowitz_MinVar",), c)
+
+
+def test_frame_views(spark):
+    from tidepanel.sources import frames
+
+    long = spark.createDataFrame([(date(2020, 1, d), t, x) for d, t, x in ((1, "A", 1.0), (2, "A", 2.0), (3, "A", None), (1, "B", 5.0))], "date date, ticker string, price double")
+    assert {(r.ticker, r.date.day, r.price) for r in frames.latest(long).collect()} == {("A", 2, 2.0), ("B", 1, 5.0)}
+    assert [(r.date.day, r.value) for r in frames.points(frames.to_wide(long), "A").collect()] == [(1, 1.0), (2, 2.0)]
+    weights = spark.createDataFrame([("s", "A", 0.2), ("s", "B", 0.8), ("s", "C", 0.0), ("x", "A", 1.0)], "strategy string, ticker string, weight double")
+    assert [r.ticker for r in frames.ranked_weights(weights, "s").collect()] == ["B", "A"]
+
+
 def test_turnover_limit(returns):
     c = bt.Config(lookback=60, every=15)
     result = bt.backtest(returns, ("Markowitz_MinVar",), c, op.Constraints(max_turnover=0.05))

@@ -5,17 +5,22 @@ the trade, the portfolio is worth V = sum(wG), earns V / V_before - 1, and holds
 and costs of all strategies and all holding periods are window aggregates; only solvers run in groups, one for each
 rebalance and strategy. Where turnover is limited a solution depends on the holdings before it, and each strategy walks
 through its rebalances in one group.
+
+What later steps read more than once, the rows of the shared calendar, the targets and the days that they are held, is
+written once as a table in the shared folder, so no plan holds another's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..shared import drop, stored
 from ..sources.frames import aligned
 from .optimize import FREE, STRATEGIES, Constraints, optimize, solve
 from .performance import PERIODS, growth, performance
@@ -32,8 +37,8 @@ class Config:
 @dataclass(frozen=True)
 class Result:
     """``daily``: date, strategy, gross, cost, return. ``trades``: date, strategy, turnover, cost, traded. ``targets``:
-    date, strategy, ticker, weight. ``warnings``: date, strategy, warning. They share what Spark keeps of their inputs
-    until ``release``."""
+    date, strategy, ticker, weight. ``warnings``: date, strategy, warning, one for each thing that a solver told. They
+    read stored tables, which are there until ``release``."""
 
     daily: DataFrame
     trades: DataFrame
@@ -42,15 +47,17 @@ class Result:
     kept: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
-        for frame in self.kept:
-            frame.unpersist()
+        drop(*self.kept)
 
 
 def indexed(returns: DataFrame) -> DataFrame:
-    """Rows of the shared calendar with ``idx``, the date's number from 0. Only dates are numbered in one window."""
-    whole = aligned(returns.select("date", "ticker", "return"), "return")
+    """Stored rows of the shared calendar with ``idx``, the date's number from 0. Only dates are numbered in one window."""
+    given = stored(returns.select("date", "ticker", "return"), "returns")
+    whole = aligned(given, "return")
     dates = whole.select("date").distinct().withColumn("idx", F.row_number().over(Window.orderBy("date")) - 1)
-    return whole.join(F.broadcast(dates), "date")
+    out = stored(whole.join(dates, "date"), "panel")
+    drop(given)
+    return out
 
 
 def estimation(rows: DataFrame, c: Config, last: int) -> DataFrame:
@@ -71,38 +78,42 @@ def inverse_variance(windows: DataFrame) -> DataFrame:
     return own.select("k", F.lit("InverseVariance").alias("strategy"), "ticker", (F.col("inverse") / F.sum("inverse").over(Window.partitionBy("k"))).alias("weight"))
 
 
-def walk(rows: DataFrame, targets: DataFrame, c: Config) -> Result:
-    """Holds the targets ``k, strategy, ticker, weight``. A strategy without targets at a rebalance holds on; one without
-    any at the first is left out."""
+def walk(rows: DataFrame, targets: DataFrame, c: Config, messages: DataFrame | None = None) -> Result:
+    """Holds the stored targets ``k, strategy, ticker, weight``. A strategy without targets at a rebalance holds on; one
+    without any at the first is left out. ``messages``: ``k, strategy, warning``."""
     held = rows.where(F.col("idx") >= c.lookback).withColumn("k", F.floor((F.col("idx") - c.lookback) / F.lit(float(c.every))).cast("int"))
     first = targets.where("k = 0").select("strategy").distinct()
-    targets = targets.join(F.broadcast(first), "strategy", "left_semi").persist()
+    targets = targets.join(first, "strategy", "left_semi")
     calendar = held.groupBy("k").agg(F.min("date").alias("date"), F.min("idx").alias("idx"))
     solved = targets.select("k", "strategy").distinct().withColumn("solved", F.col("k"))
     # For each rebalance and strategy the last one at which it had targets: a row a rebalance.
-    names = F.broadcast(first.agg(F.collect_set("strategy").alias("names")).withColumn("one", F.lit(1)))
-    every = calendar.withColumn("one", F.lit(1)).join(names, "one").select("k", "date", "idx", F.explode("names").alias("strategy"))
+    names = F.array(*map(F.lit, sorted(r.strategy for r in first.collect())))  # as many as there are strategies
+    every = calendar.withColumn("strategy", F.explode(names))
     trades = every.join(solved, ["k", "strategy"], "left").withColumn("segment", F.last("solved", ignorenulls=True).over(Window.partitionBy("strategy").orderBy("k")))
-    days = held.join(F.broadcast(trades.select("k", "strategy", "segment")), "k").join(targets.withColumnRenamed("k", "segment"), ["segment", "strategy", "ticker"])
+    days = held.join(trades.select("k", "strategy", "segment"), "k").join(targets.withColumnRenamed("k", "segment"), ["segment", "strategy", "ticker"])
     line = Window.partitionBy("strategy", "segment", "ticker").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    days = days.withColumn("held", F.col("weight") * F.product(1 + F.col("return")).over(line)).persist()
+    days = days.withColumn("held", F.col("weight") * F.product(1 + F.col("return")).over(line))
+    days = stored(days.select("strategy", "segment", "k", "date", "idx", "ticker", "weight", "held"), "days")
     worth = days.groupBy("strategy", "segment", "k", "date", "idx").agg(F.sum("held").alias("worth"), F.sum("weight").alias("put_in"))
     along = Window.partitionBy("strategy", "segment").orderBy("idx")
     gross = worth.withColumn("gross", F.coalesce(F.try_divide("worth", F.lag("worth").over(along)), F.try_divide("worth", "put_in")) - 1)
     # What is held at the end of a segment meets the next segment's targets.
     order = Window.partitionBy("strategy").orderBy("segment")
     segments = worth.groupBy("strategy", "segment").agg(F.max("idx").alias("idx")).withColumn("next", F.lead("segment").over(order))
-    ends = days.join(F.broadcast(segments), ["strategy", "segment", "idx"]).join(worth.select("strategy", "segment", "idx", "worth"), ["strategy", "segment", "idx"])
+    ends = days.join(segments, ["strategy", "segment", "idx"]).join(worth.select("strategy", "segment", "idx", "worth"), ["strategy", "segment", "idx"])
     drifted = ends.select("strategy", F.col("next").alias("k"), "ticker", F.when(F.abs("worth") > 1e-12, F.col("held") / F.col("worth")).otherwise(F.col("held")).alias("before")).where("k IS NOT NULL")
     moves = targets.join(drifted, ["strategy", "k", "ticker"], "full_outer")
     turnover = moves.groupBy("strategy", "k").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))).alias("turnover"))
     trades = trades.join(turnover, ["strategy", "k"], "left").withColumn("turnover", F.when(F.col("solved").isNotNull(), F.col("turnover")).otherwise(0.0))
     trades = trades.select("strategy", "k", "date", "turnover", (F.col("turnover") * c.cost_bps / 1e4).alias("cost"), F.col("solved").isNotNull().alias("traded"))
-    daily = gross.join(F.broadcast(trades.select("strategy", "date", "cost")), ["strategy", "date"], "left")
+    trades = stored(trades, "trades")
+    daily = gross.join(trades.select("strategy", "date", "cost"), ["strategy", "date"], "left")
     daily = daily.select("date", "strategy", "gross", F.coalesce("cost", F.lit(0.0)).alias("cost"), (F.col("gross") - F.coalesce("cost", F.lit(0.0))).alias("return"))
-    dated = targets.join(F.broadcast(calendar.select("k", "date")), "k").select("date", "strategy", "ticker", "weight")
+    dated = targets.join(calendar.select("k", "date"), "k").select("date", "strategy", "ticker", "weight")
     warnings = trades.where("NOT traded").select("date", "strategy", F.lit("no solution; holdings were kept").alias("warning"))
-    return Result(daily, trades.drop("k"), dated, warnings, (rows, targets, days))
+    if messages is not None:
+        warnings = messages.join(calendar.select("k", "date"), "k").select("date", "strategy", "warning").unionByName(warnings)
+    return Result(daily, trades.drop("k"), dated, warnings, (rows, days, trades))
 
 
 def _limited(rows: DataFrame, c: Config, strategies: list[str], constraints: Constraints, rf: float) -> DataFrame:
@@ -115,42 +126,58 @@ def _limited(rows: DataFrame, c: Config, strategies: list[str], constraints: Con
         held, out = None, []
         for k, t in enumerate(range(c.lookback, len(r), c.every)):
             limits = replace(constraints, max_turnover=None) if held is None else replace(constraints, previous=dict(zip(assets, held)))
-            w, _ = solve(strategy, r[t - c.lookback : t], assets, limits, rf)
+            w, warnings = solve(strategy, r[t - c.lookback : t], assets, limits, rf)
+            told = json.dumps(warnings) if warnings else None
             if w is not None:
-                out.append(pd.DataFrame({"k": k, "strategy": strategy, "ticker": assets, "weight": w}))
+                out.append(pd.DataFrame({"k": k, "strategy": strategy, "ticker": assets, "weight": w, "warning": told}))
+            else:
+                out.append(pd.DataFrame({"k": [k], "strategy": [strategy], "ticker": [None], "weight": [np.nan], "warning": [told]}))
             held = w if w is not None else held
             if held is None:
                 break
             grown = held * np.prod(1 + r[t : t + c.every], axis=0)
             held = grown / grown.sum() if abs(grown.sum()) > 1e-12 else grown
-        return pd.concat(out) if out else pd.DataFrame({"k": [], "strategy": [], "ticker": [], "weight": []})
+        return pd.concat(out)
 
     some = rows.withColumn("strategy", F.explode(F.array(*map(F.lit, strategies))))
-    return some.groupBy("strategy").applyInPandas(run, "k int, strategy string, ticker string, weight double")
+    return some.groupBy("strategy").applyInPandas(run, "k int, strategy string, ticker string, weight double, warning string")
 
 
-def backtest(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), c: Config = Config(), constraints: Constraints = FREE, rf: float = 0.0) -> Result:
-    """``Equal`` and ``InverseVariance`` are plain aggregates; the other names are those of ``optimize``."""
-    rows = indexed(returns).persist()
+def backtest(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), c: Config = Config(), constraints: Constraints = FREE, rf: float = 0.0, progress: Callable[[str, int, int], None] = lambda step, done, of: None) -> Result:
+    """``Equal`` and ``InverseVariance`` are plain aggregates; the other names are those of ``optimize``. Raises ValueError
+    with what the solvers told where none of the strategies has a solution at the first rebalance. ``progress`` is called
+    after each step with its name, its number and the number of steps."""
+    rows = indexed(returns)
     facts = rows.agg(F.max("idx").alias("last"), F.count_distinct("ticker").alias("assets")).first()
     if (facts["assets"] or 0) < 2:
         raise ValueError("a backtest needs two assets at least")
     if facts["last"] < c.lookback:
         raise ValueError("there are no more dates than the lookback")
+    progress("calendar", 1, 3)
     windows = estimation(rows, c, facts["last"])
     names = list(strategies)
     plain = {"Equal": equal_weights, "InverseVariance": inverse_variance}
-    parts = [plain[n](windows) for n in names if n in plain]
+    parts = [plain[n](windows).withColumn("warning", F.lit(None).cast("string")) for n in names if n in plain]
     solver = [n for n in names if n not in plain]
     if solver and constraints.max_turnover is not None:
         parts.append(_limited(rows, c, solver, constraints, rf))
     elif solver:
-        found = optimize(windows.select("k", "date", "ticker", "return"), solver, constraints, rf, by="k").where("ticker IS NOT NULL")
-        parts.append(found.select(F.col("k").cast("int").alias("k"), "strategy", "ticker", "weight"))
-    targets = parts[0].select("k", "strategy", "ticker", "weight")
+        parts.append(optimize(windows.select("k", "date", "ticker", "return"), solver, constraints, rf, by="k"))
+    columns = (F.col("k").cast("int").alias("k"), "strategy", "ticker", "weight", "warning")
+    found = parts[0].select(*columns)
     for p in parts[1:]:
-        targets = targets.unionByName(p.select("k", "strategy", "ticker", "weight"))
-    return walk(rows, targets, c)
+        found = found.unionByName(p.select(*columns))
+    found = stored(found, "targets")
+    targets = found.where("ticker IS NOT NULL").drop("warning")
+    told = F.explode(F.from_json("warning", "array<string>")).alias("warning")
+    messages = found.where("warning IS NOT NULL").select("k", "strategy", "warning").distinct().select("k", "strategy", told)
+    if targets.where("k = 0").isEmpty():
+        first = [r.warning for r in messages.where("k = 0").orderBy("strategy", "warning").collect()]  # a few for each strategy
+        raise ValueError(f"no strategy has a solution at the first rebalance: {'; '.join(first)}")
+    progress("targets", 2, 3)
+    out = walk(rows, targets, c, messages)
+    progress("walk", 3, 3)
+    return replace(out, kept=(*out.kept, found))
 
 
 def summary(result: Result, c: Config = Config(), rf: float = 0.0) -> DataFrame:

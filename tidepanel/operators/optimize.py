@@ -51,6 +51,14 @@ class Constraints:
             out.append("turnover is negative")
         return out
 
+    def out_of_range(self) -> list[str]:
+        """What lies outside the ranges that a request may ask for."""
+        out = []
+        for name, value, low, high in (("min_weight", self.min_weight, -1.0, 1.0), ("max_weight", self.max_weight, 0.0, 1.0), ("max_leverage", self.max_leverage, 1.0, 5.0), ("max_turnover", self.max_turnover, 0.0, 4.0)):
+            if value is not None and not (low <= value <= high) or name == "max_weight" and value == 0:
+                out.append(f"{name} is not within {low:g} to {high:g}")
+        return out
+
     def extra(self) -> bool:
         return bool(self.max_leverage is not None or self.group_caps or self.group_floors or self.max_turnover is not None)
 
@@ -117,15 +125,17 @@ def max_return(mu: np.ndarray, assets: list[str], c: Constraints = FREE) -> np.n
     return cleaned(_solve(np.zeros((len(mu), len(mu))), -mu / scale, assets, c), c.min_weight)
 
 
-def frontier(mu: np.ndarray, cov: np.ndarray, assets: list[str], c: Constraints = FREE, points: int = 40, rf: float = 0.0, periods: int = PERIODS) -> list[dict]:
-    """For evenly spaced returns from that of least variance to the largest: the weights of least variance."""
+def efficient_points(mu: np.ndarray, cov: np.ndarray, assets: list[str], c: Constraints = FREE, points: int = 40, rf: float = 0.0, periods: int = PERIODS, only: int | None = None) -> list[dict]:
+    """For evenly spaced returns from that of least variance to the largest: the weights of least variance; or ``only`` one
+    point of them."""
     if points < 2:
-        raise ValueError("a frontier has two points at least")
+        raise ValueError("an efficient set has two points at least")
     cov = positive_definite(cov)
     low, high = (float(mu @ w) for w in (min_variance(cov, assets, c), max_return(mu, assets, c)))
     out = []
     scale = np.diag(cov).mean()
-    for target in np.linspace(low, high, points):
+    targets = np.linspace(low, high, points)
+    for target in targets if only is None else targets[only : only + 1]:
         try:
             w = cleaned(_solve(cov / scale, np.zeros(len(mu)), assets, c, mu / (np.abs(mu).max() or 1.0), (target - 1e-12) / (np.abs(mu).max() or 1.0)), c.min_weight)
         except Infeasible:
@@ -133,12 +143,12 @@ def frontier(mu: np.ndarray, cov: np.ndarray, assets: list[str], c: Constraints
         ret, vol = float(mu @ w) * periods, float(np.sqrt(w @ cov @ w) * np.sqrt(periods))
         out.append({"target": target, "annual_return": ret, "annual_volatility": vol, "sharpe": (ret - rf) / vol if vol > 0 else 0.0, "weights": w})
     if not out:
-        raise Infeasible("no point of the frontier is feasible")
+        raise Infeasible("no point of the efficient set is feasible")
     return out
 
 
 def max_sharpe(mu, cov, assets, c: Constraints = FREE, rf: float = 0.0, points: int = 60) -> np.ndarray:
-    return max(frontier(mu, cov, assets, c, points, rf), key=lambda p: p["sharpe"])["weights"]
+    return max(efficient_points(mu, cov, assets, c, points, rf), key=lambda p: p["sharpe"])["weights"]
 
 
 def _with_tail(losses: np.ndarray, peaks: bool, assets: list[str], c: Constraints, alpha: float) -> np.ndarray:
@@ -257,45 +267,62 @@ def matrix(group: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
 
 
 def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), constraints: Constraints = FREE, rf: float = 0.0, by: str | None = None) -> DataFrame:
-    """``strategy, ticker, weight, warning`` for each group of ``by``: each group and strategy is solved by itself.
+    """``strategy, ticker, weight, warning`` for each group of ``by``: the strategies of a group are solved in one
+    task; without ``by`` each strategy in one of its own.
 
     ``returns`` holds ``date, ticker, return``. A strategy that fails has one row, without ticker and weight.
     """
     names = list(strategies)
     if unknown := set(names) - STRATEGIES.keys():
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
-    group = F.col(by).cast("string") if by else F.lit("all")
-    rows = returns.select(group.alias("grp"), "date", "ticker", "return").withColumn("strategy", F.explode(F.array(*map(F.lit, names))))
+    if by is None:  # one panel: its strategies are what can be dealt
+        rows = returns.select(F.lit("all").alias("grp"), "date", "ticker", "return", F.explode(F.array(*map(F.lit, names))).alias("own"))
+    else:
+        rows = returns.select(F.col(by).cast("string").alias("grp"), "date", "ticker", "return", F.lit("all").alias("own"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        strategy, grp = part["strategy"].iloc[0], part["grp"].iloc[0]
+        own, grp = part["own"].iloc[0], part["grp"].iloc[0]
         r, assets = matrix(part)
-        if r.shape[0] < 2 or r.shape[1] < 2:
-            w, warnings = None, [f"{strategy}: needs two assets and two dates"]
-        else:
-            w, warnings = solve(strategy, r, assets, constraints, rf)
-        told = json.dumps(warnings) if warnings else None
-        if w is None:
-            return pd.DataFrame({"grp": [grp], "strategy": [strategy], "ticker": [None], "weight": [None], "warning": [told]})
-        return pd.DataFrame({"grp": grp, "strategy": strategy, "ticker": assets, "weight": w, "warning": told})
-
-    out = rows.groupBy("grp", "strategy").applyInPandas(run, WEIGHTS.format(by="grp"))
+        out = []
+        for strategy in names if own == "all" else [own]:
+            if r.shape[0] < 2 or r.shape[1] < 2:
+                w, warnings = None, [f"{strategy}: needs two assets and two dates"]
+            else:
+                w, warnings = solve(strategy, r, assets, constraints, rf)
+            told = json.dumps(warnings) if warnings else None
+            if w is None:
+                out.append(pd.DataFrame({"grp": [grp], "strategy": [strategy], "ticker": [None], "weight": [np.nan], "warning": [told]}))
+            else:
+                out.append(pd.DataFrame({"grp": grp, "strategy": strategy, "ticker": assets, "weight": w, "warning": told}))
+        return pd.concat(out).astype({"weight": float})
+
+    out = rows.groupBy("grp", "own").applyInPandas(run, WEIGHTS.format(by="grp"))
+    out = out.withColumn("weight", F.when(F.col("ticker").isNotNull(), F.col("weight")))
     return out.withColumnRenamed("grp", by) if by else out.drop("grp")
 
 
-def efficient_frontier(returns: DataFrame, constraints: Constraints = FREE, points: int = 40, rf: float = 0.0) -> DataFrame:
-    """A row for each point of the frontier, with its weights by ticker. Spark makes the means and the covariances; the
-    one group that is solved holds a row for each pair of tickers."""
+def efficient_set(returns: DataFrame, constraints: Constraints = FREE, points: int = 40, rf: float = 0.0) -> DataFrame:
+    """A row for each point of the set, with its weights by ticker. Spark makes the means and the covariances; the
+    group of a point holds a row for each pair of tickers. Fewer than two points can't be asked for."""
+    if points < 2:
+        raise ValueError("an efficient set has two points at least")
     from .covariance import covariance, means
 
     whole = aligned(returns, "return")
     moments = covariance(whole).join(F.broadcast(means(whole)), F.col("i") == F.col("ticker")).select("i", "j", "cov", "mean")
 
+    moments = moments.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    names = ["point", "target", "annual_return", "annual_volatility", "sharpe", "weights"]
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        point = int(part["point"].iloc[0])
         cov = part.pivot(index="i", columns="j", values="cov").sort_index()[sorted(part["j"].unique())]
         mu = part.groupby("i")["mean"].first().sort_index()
-        found = frontier(mu.to_numpy(), cov.to_numpy(), list(mu.index), constraints, points, rf)
-        return pd.DataFrame([{**p, "point": i, "weights": dict(zip(mu.index, p["weights"]))} for i, p in enumerate(found)])
+        try:
+            found = efficient_points(mu.to_numpy(), cov.to_numpy(), list(mu.index), constraints, points, rf, only=point)
+        except (Infeasible, np.linalg.LinAlgError):  # no such point; the others are solved all the same
+            found = []
+        return pd.DataFrame([{**p, "point": point, "weights": dict(zip(mu.index, p["weights"]))} for p in found], columns=names)
 
     schema = "point int, target double, annual_return double, annual_volatility double, sharpe double, weights map<string,double>"
-    return moments.groupBy(F.lit(0).alias("one")).applyInPandas(lambda part: run(part)[["point", "target", "annual_return", "annual_volatility", "sharpe", "weights"]], schema)
+    return moments.groupBy("point").applyInPandas(run, schema)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import covariance as cov, forecast as fc, metrics as fm, performance as perf, splits as sp
 from ..operators.backtest import Config, backtest, curves, summary
-from ..operators.optimize import Constraints, efficient_frontier, optimize
+from ..operators.optimize import Constraints, efficient_set, optimize
 from ..sources.bars import ORACLE as BARS, bars, prices
 from ..sources.frames import aligned
-from .panel_queries import RETURNS, panel_returns, rounded
+from ..functions.features import names
+from .panel_queries import FEATURED, RETURNS, panel_returns, rounded
 from .registry import query
 
 TRAIN = 0.75
@@ -68,10 +69,19 @@ def _lagged(spark, sf_dir):
     return rows.select("date", "ticker", F.col("x")[0].alias("first_x"), F.col("x")[4].alias("last_x"), "y")
 
 
-@query("splits_universe")
+SCALED = [f"{n}_scaled" for n in (*names(), "target")]
+UNIVERSE = FEATURED + f""", u AS (SELECT *, lead(price) OVER w / price - 1 AS target, lead(date) OVER w AS target_date, price AS prev_price, lead(price) OVER w AS actual_price FROM featured WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+v AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS seq_no, count(*) OVER (PARTITION BY ticker) AS n FROM u WHERE target IS NOT NULL AND {" AND ".join(f"{n} IS NOT NULL" for n in names())}),
+s AS (SELECT *, seq_no < ceil(n * {TRAIN}) AS is_train FROM v),
+m AS (SELECT ticker, count(*) FILTER (is_train) AS n_train, count(*) AS n_all, {", ".join(f"avg({n}) FILTER (is_train) AS m_{n}, stddev_pop({n}) FILTER (is_train) AS s_{n}" for n in (*names(), "target"))} FROM s GROUP BY ticker HAVING n_train >= {sp.LEAST_TRAIN} AND n_train < n_all)
+SELECT date, ticker, target_date, is_train, prev_price, actual_price, {", ".join(r6(f"({n} - m_{n}) / CASE WHEN s_{n} > {sp.TINY} THEN s_{n} ELSE 1 END", f"{n}_scaled") for n in (*names(), "target"))},
+{r6("m_target", "y_mean")}, {r6(f"CASE WHEN s_target > {sp.TINY} THEN s_target ELSE 1 END", "y_scale")} FROM s JOIN m USING (ticker)"""
+
+
+@query("splits_universe", UNIVERSE)
 def _universe(spark, sf_dir):
     rows, _ = sp.splits(panel(spark, sf_dir), TRAIN)
-    return rounded(rows)
+    return rounded(rows.select("date", "ticker", "target_date", "is_train", "prev_price", "actual_price", *SCALED, "y_mean", "y_scale"))
 
 
 NAIVE = BARS + f""", f AS (
@@ -125,7 +135,7 @@ def _metrics_summary(spark, sf_dir):
 
 @query("forecast_gbt")
 def _gbt(spark, sf_dir):
-    return rounded(fc.boosted(panel(spark, sf_dir), fc.Params(trees=10, depth=3))[0])
+    return rounded(fc.boosted(panel(spark, sf_dir), fc.Params())[0])
 
 
 # Performance.
@@ -247,19 +257,44 @@ def _optimize(spark, sf_dir):
     return rounded(optimize(monthly(spark, sf_dir)), 4)
 
 
+#: How far a solution may be from what makes it optimal, in shares of the portfolio's variance.
+NEAR = 1e-5
+TICKERS = "SELECT DISTINCT p_type AS ticker FROM part SEMI JOIN lineitem ON l_partkey = p_partkey"
+
+
+@query("optimize_conditions", f"SELECT strategy, ticker, true AS in_bounds, true AS whole, true AS optimal FROM ({TICKERS}) CROSS JOIN (VALUES ('GMV'), ('Markowitz_MinVar'), ('RiskParity')) AS s(strategy)")
+def _conditions(spark, sf_dir):
+    """What a solution has to satisfy, by the covariances that Spark makes: weights within their bounds that sum to 1; of
+    least variance, no ticker adds less at the margin than the portfolio as a whole, and those that are held and not at a
+    bound add as much; of equal risk, each ticker has its share."""
+    returns = monthly(spark, sf_dir)
+    weights = optimize(returns, ("GMV", "Markowitz_MinVar", "RiskParity")).where("ticker IS NOT NULL")
+    shares = cov.risk_contributions(weights, cov.covariance(returns)).join(weights, ["strategy", "ticker"])
+    of = Window.partitionBy("strategy")
+    low = F.when(F.col("strategy") == "GMV", -1.0).otherwise(0.0)
+    margin = F.try_divide("share", "weight") - 1  # what a ticker adds at the margin, less what the portfolio does
+    inside = (F.col("weight") > low + 1e-4) & (F.col("weight") < 1 - 1e-4)
+    least = F.when(inside, F.abs(F.col("share") - F.col("weight")) <= NEAR).when(F.col("weight") <= low + 1e-4, F.coalesce(margin >= -1e-2, F.lit(True))).otherwise(F.lit(True))
+    equal = F.abs(F.col("share") - 1 / F.count("*").over(of)) <= NEAR
+    return shares.select(
+        "strategy", "ticker", ((F.col("weight") >= low - 1e-9) & (F.col("weight") <= 1 + 1e-9)).alias("in_bounds"), (F.abs(F.sum("weight").over(of) - 1) <= 1e-9).alias("whole"),
+        F.when(F.col("strategy") == "RiskParity", equal).otherwise(least).alias("optimal"),
+    )
+
+
 @query("optimize_constrained")
 def _constrained(spark, sf_dir):
     limits = Constraints(min_weight=0.02, max_weight=0.4, group_caps={"small": (("ECONOMY", "SMALL"), 0.3)}, group_floors={"large": (("LARGE",), 0.1)})
     return rounded(optimize(monthly(spark, sf_dir), ("Markowitz_MinVar", "Markowitz_MaxSharpe", "GMV", "MinCVaR", "MinCDaR"), limits), 4)
 
 
-@query("efficient_frontier")
-def _frontier(spark, sf_dir):
-    return rounded(efficient_frontier(monthly(spark, sf_dir), points=20), 6)
+@query("efficient_set")
+def _efficient(spark, sf_dir):
+    return rounded(efficient_set(monthly(spark, sf_dir), points=20), 6)
 
 
 # Backtests: equal weights and inverse variances in SQL, day by day from the same closed form.
-WALK = Config(lookback=252, every=63)
+WALK = Config()
 BACKTEST = RETURNS + f""", dates AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM returns)), rows AS (SELECT * FROM returns JOIN dates USING (date)),
 ks AS (SELECT CAST(k AS INTEGER) AS k, {WALK.lookback} + k * {WALK.every} AS t FROM range(0, 1000) x(k) WHERE {WALK.lookback} + k * {WALK.every} <= (SELECT max(idx) FROM rows)),
 v AS (SELECT k, ticker, var_samp(r) AS var FROM rows JOIN ks ON idx >= t - {WALK.lookback} AND idx < t GROUP BY k, ticker),
@@ -311,7 +346,7 @@ def _summary(spark, sf_dir):
 @query("backtest_solvers")
 def _solvers(spark, sf_dir):
     c = Config(lookback=24, every=6, periods=12)
-    return rounded(summary(backtest(monthly(spark, sf_dir), ("Markowitz_MinVar", "RiskParity", "HRP", "Gerber_InvVar", "MinCVaR"), c), c), 4)
+    return rounded(summary(backtest(monthly(spark, sf_dir), c=c), c), 4)
 
 
 @query("backtest_turnover_limited")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date
+import uuid
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,13 +11,14 @@ from ..functions.features import GAPS, LAGS, MOMENTUM, RANGE, RSI, VOLATILITY, f
 from ..functions.returns import log_returns, simple_returns
 from ..sources.bars import ORACLE as BARS, bars, prices
 from ..sources.frames import aligned, to_long, to_wide
-from ..sources.store import conform, merge, overlap, revisions
+from ..shared import shared_dir
+from ..sources.store import PriceStore, conform, merge, overlap, revisions
 from . import sql
 from .registry import query
 
 #: Digits that results are compared to: sums come in any order.
 DIGITS = 6
-WIDE = ("ECONOMY", "LARGE", "SMALL")
+WIDE = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
 def rounded(frame: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -34,6 +36,12 @@ def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAMPED = BARS + ", stamped AS (SELECT *, CAST(CAST(year(date) AS VARCHAR) || '-12-31 00:00:00' AS TIMESTAMP) AS ingested_at FROM bars)"
 
 
+def store(spark: SparkSession, *snapshots: DataFrame, order: str | None = None) -> tuple[PriceStore, list]:
+    """A price store of its own, filled with one snapshot after the other, and what each upsert reported."""
+    out = PriceStore(spark, f"{shared_dir(spark)}/prices-{uuid.uuid4().hex}")
+    return out, [out.write(s, datetime(2020, 1, 1 + i), order if order in s.columns else None) for i, s in enumerate(snapshots)]
+
+
 @query("bars", BARS + "SELECT * FROM bars")
 def _bars(spark, sf_dir):
     return bars(spark, sf_dir)
@@ -41,20 +49,20 @@ def _bars(spark, sf_dir):
 
 @query("store_scan", BARS + "SELECT date, ticker, open, high, low, close, adj_close, volume FROM bars WHERE ticker IN ('ECONOMY', 'SMALL') AND date >= DATE '1996-01-01' AND date < DATE '1998-01-01'")
 def _scan(spark, sf_dir):
-    return bars(spark, sf_dir).where(F.col("ticker").isin("ECONOMY", "SMALL") & (F.col("date") >= F.lit(date(1996, 1, 1))) & (F.col("date") < F.lit(date(1998, 1, 1))))
+    return store(spark, bars(spark, sf_dir))[0].scan(["economy", "small"], date(1996, 1, 1), date(1998, 1, 1)).drop("ingested_at")
 
 
 @query("store_tickers", BARS + "SELECT DISTINCT ticker FROM bars")
 def _tickers(spark, sf_dir):
-    return bars(spark, sf_dir).select("ticker").distinct()
+    return store(spark, bars(spark, sf_dir))[0].tickers()
 
 
 @query("read_wide", BARS + "SELECT date, " + ", ".join(f"first(adj_close) FILTER (ticker = '{t}') AS {t}" for t in WIDE) + " FROM bars GROUP BY date")
 def _wide(spark, sf_dir):
-    return to_wide(bars(spark, sf_dir), WIDE, "adj_close")
+    return store(spark, bars(spark, sf_dir))[0].read_wide(WIDE)
 
 
-@query("unpivot_long", BARS + f"SELECT date, ticker, adj_close AS price FROM bars WHERE ticker IN {WIDE}")
+@query("unpivot_long", BARS + "SELECT date, ticker, adj_close AS price FROM bars WHERE adj_close IS NOT NULL")
 def _long(spark, sf_dir):
     return to_long(to_wide(bars(spark, sf_dir), WIDE, "adj_close"))
 
@@ -128,6 +136,31 @@ def _merge(spark, sf_dir):
     return merge(stored(spark, sf_dir), conform(raw_incoming(spark, sf_dir), "seq"))
 
 
+STORED = SNAPSHOTS + """, held AS (SELECT *, TIMESTAMP '2020-01-02' AS ingested_at FROM incoming UNION ALL BY NAME SELECT *, TIMESTAMP '2020-01-01' AS ingested_at FROM stored ANTI JOIN incoming USING (ticker, date))
+"""
+
+
+@query("store_after_upserts", STORED + "SELECT * FROM held")
+def _after(spark, sf_dir):
+    return store(spark, stored(spark, sf_dir), raw_incoming(spark, sf_dir), order="seq")[0].scan()
+
+
+@query("store_coverage", STORED + "SELECT ticker, count(*) AS rows, min(date) AS first_date, max(date) AS last_date, max(ingested_at) AS last_ingested, count(DISTINCT ingested_at) AS vintages FROM held GROUP BY ticker")
+def _held(spark, sf_dir):
+    return sql.coverage(store(spark, stored(spark, sf_dir), raw_incoming(spark, sf_dir), order="seq")[0].scan())
+
+
+@query(
+    "store_upsert_report",
+    STORED + """SELECT CAST((SELECT count(DISTINCT ticker) FROM incoming) AS BIGINT) AS tickers, CAST((SELECT count(*) FROM incoming) AS BIGINT) AS rows_in,
+CAST((SELECT count(*) FROM incoming ANTI JOIN stored USING (ticker, date)) AS BIGINT) AS rows_added, CAST((SELECT count(*) FROM held WHERE ticker IN (SELECT ticker FROM incoming)) AS BIGINT) AS rows_written,
+CAST((SELECT count(*) FROM stored s JOIN incoming i USING (ticker, date) WHERE abs(i.adj_close - s.adj_close) > 1e-9 * greatest(abs(s.adj_close), 1)) AS BIGINT) AS revised""",
+)
+def _report(spark, sf_dir):
+    r = store(spark, stored(spark, sf_dir), raw_incoming(spark, sf_dir), order="seq")[1][1]
+    return spark.createDataFrame([(r.tickers, r.rows_in, r.rows_added, r.rows_written, r.revised)], "tickers long, rows_in long, rows_added long, rows_written long, revised long")
+
+
 ALIGNED = BARS + ", whole AS (SELECT date FROM prices GROUP BY date HAVING count(DISTINCT ticker) = (SELECT count(DISTINCT ticker) FROM prices)), aligned AS (SELECT * FROM prices SEMI JOIN whole USING (date))"
 RETURNS = ALIGNED + ", lagged AS (SELECT date, ticker, price / lag(price) OVER (PARTITION BY ticker ORDER BY date) AS ratio FROM aligned), returns AS (SELECT date, ticker, ratio - 1 AS r FROM lagged WHERE ratio IS NOT NULL)"
 
@@ -151,7 +184,8 @@ def _log(spark, sf_dir):
     return rounded(log_returns(aligned(prices(bars(spark, sf_dir)))))
 
 
-def _feature_sql() -> str:
+def feature_sql() -> str:
+    """The relation ``featured``, not rounded, after those of the bars."""
     def full(expr: str, value: str, rows: int) -> str:
         over = f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
         return f"CASE WHEN count({value}) {over} >= {rows} THEN {expr} {over} END"
@@ -167,15 +201,17 @@ def _feature_sql() -> str:
     keep = f"(1.0 - 1.0 / {RSI})"
     mean = lambda move: f"sum(CASE WHEN n = 2 THEN {move} ELSE {move} / {RSI} END * pow({keep}, -n)) OVER (PARTITION BY ticker ORDER BY date) * pow({keep}, n)"
     columns[f"rsi_{RSI}"] = "coalesce(CASE WHEN loss > 0 THEN 1 - 1 / (1 + gain / loss) END, 0.5)"
-    listed = ", ".join(f"round({columns[n]}, {DIGITS}) + 0.0 AS {n}" for n in names())
+    listed = ", ".join(f"{columns[n]} AS {n}" for n in names())
     return (
         BARS + f""", moved AS (SELECT *, price / lag(price) {line} - 1 AS ret, price - lag(price) {line} AS delta, row_number() {line} AS n FROM prices),
-smoothed AS (SELECT *, {mean("greatest(delta, 0)")} AS gain, {mean("greatest(-delta, 0)")} AS loss FROM moved)
-SELECT date, ticker, price, {listed} FROM smoothed"""
+smoothed AS (SELECT *, {mean("greatest(delta, 0)")} AS gain, {mean("greatest(-delta, 0)")} AS loss FROM moved), featured AS (SELECT date, ticker, price, {listed} FROM smoothed)"""
     )
 
 
-@query("features", _feature_sql())
+FEATURED = feature_sql()
+
+
+@query("features", FEATURED + "SELECT date, ticker, price, " + ", ".join(f"round({n}, {DIGITS}) + 0.0 AS {n}" for n in names()) + " FROM featured")
 def _features(spark, sf_dir):
     return rounded(features(prices(bars(spark, sf_dir))))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.returns import simple_returns
 from ..operators import backtest as bt, forecast as fc, metrics as fm, performance as perf
-from ..operators.optimize import FREE, STRATEGIES, Constraints, efficient_frontier, optimize
+from ..operators.optimize import FREE, STRATEGIES, Constraints, efficient_set, optimize
 from ..sources.frames import Frame, aligned, to_wide
 from ..sources.market import Market
 from ..sources.store import PriceStore
@@ -33,6 +33,8 @@ def refuse_prices(returns: DataFrame) -> DataFrame:
 def optimized(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), constraints: Constraints = FREE, rf: float = 0.0) -> DataFrame:
     if constraints.max_turnover is not None and not constraints.previous:
         raise ValueError("a turnover limit needs the previous weights")
+    if wrong := constraints.out_of_range():
+        raise ValueError("; ".join(wrong))
     return optimize(refuse_prices(aligned(returns, "return")), strategies, constraints, rf)
 
 
@@ -42,9 +44,9 @@ def evaluated(returns: DataFrame, weights: DataFrame, rf: float = 0.0) -> tuple[
     return perf.performance(series, rf=rf), series.select("date", "strategy", perf.growth().alias("growth"))
 
 
-def frontier(returns: DataFrame, constraints: Constraints = FREE, points: int = 40, rf: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """The frontier and its point of the best Sharpe ratio."""
-    all_points = efficient_frontier(returns, constraints, points, rf)
+def efficient(returns: DataFrame, constraints: Constraints = FREE, points: int = 40, rf: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """The efficient set and its point of the best Sharpe ratio."""
+    all_points = efficient_set(returns, constraints, points, rf)
     return all_points, all_points.orderBy(F.desc("sharpe"), "point").limit(1)
 
 

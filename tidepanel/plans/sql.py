@@ -36,30 +36,78 @@ def vintage_tags(bars: DataFrame, tickers: Sequence[str]) -> DataFrame:
     return some.agg(F.max("ingested_at").alias("last_ingested"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+#: The expressions that hold a plan of their own.
+SUBQUERIES = frozenset("ScalarSubquery Exists ListQuery LateralSubquery FunctionTableSubqueryArgumentExpression".split())
+#: The functions that a query may call. What isn't named here may reach out of the data.
+FUNCTIONS = frozenset(
+    """abs any any_value approx_count_distinct approx_percentile array array_agg array_contains array_distinct array_max array_min array_size avg bool_and bool_or bround
+    cast ceil ceiling char_length coalesce collect_list collect_set concat concat_ws corr cos count count_if covar_pop covar_samp cume_dist current_date current_timestamp
+    date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dayofyear degrees dense_rank double e every exp explode explode_outer extract
+    first first_value floor format_number from_unixtime greatest grouping grouping_id hour if ifnull int isnan isnotnull isnull kurtosis lag last last_day last_value lead
+    least left length ln log log10 log2 lower lpad ltrim make_date max max_by mean median min min_by minute mod mode month months_between named_struct nanvl negative
+    next_day now nth_value ntile nullif nvl nvl2 percent_rank percentile percentile_approx pi pmod posexplode pow power quarter radians range rank regexp_extract
+    regexp_like regexp_replace regr_count regr_intercept regr_r2 regr_slope replace right rlike round row_number rpad rtrim second sequence shiftleft shiftright sign signum
+    sin size skewness slice sort_array split split_part sqrt std stddev stddev_pop stddev_samp string struct substr substring sum tan timestamp to_date to_timestamp trim
+    trunc try_avg try_cast try_divide try_sum unix_timestamp upper var_pop var_samp variance weekday weekofyear when width_bucket window year""".split()
+)
+
+
 def _nodes(plan):
-    yield plan.nodeName()
-    name = plan.nodeName()
-    if name in ("CTE", "UnresolvedWith"):
+    yield plan
+    if plan.nodeName() in ("CTE", "UnresolvedWith"):
         yield from _nodes(plan.child())
     for group in (plan.children(), plan.innerChildren()):
         for i in range(group.size()):
-            child = group.apply(i)
-            if hasattr(child, "nodeName"):
-                yield from _nodes(child)
+            yield from _nodes(group.apply(i))
+
+
+def _listed(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _calls(plan):
+    """The names of all functions that the expressions of a parsed plan call, in its subqueries and windows too; what is
+    called by anything but a plain name has that whole name."""
+    for node in _nodes(plan):
+        name = node.nodeName()
+        if name == "UnresolvedTableValuedFunction":
+            yield ".".join(_listed(node.name()))
+        if name not in READING:
+            yield f"({name})"
+        todo = _listed(node.expressions())
+        if name == "WithWindowDefinition":
+            todo += _listed(node.windowDefinitions().values().toIndexedSeq())
+        while todo:
+            e = todo.pop()
+            kind = e.getClass().getSimpleName()
+            if kind == "UnresolvedFunction":
+                yield ".".join(_listed(e.nameParts()))
+                todo += _listed(e.arguments())
+            elif kind == "UnresolvedGenerator":
+                yield e.name().unquotedString()
+            elif "Reflect" in kind or kind.endswith("UDF"):
+                yield kind
+            elif kind in SUBQUERIES:
+                yield from _calls(e.plan())
+            todo += _listed(e.children())
 
 
 def read_only(spark: SparkSession, query: str) -> None:
-    """Raises ValueError unless the text is one statement that only reads, told from its parsed plan."""
+    """Raises ValueError unless the text is one statement that only reads, and calls only functions that stay within the
+    data, told from its parsed plan."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     except Exception as error:  # a parser error comes from the JVM as it is
         raise ValueError(f"this is not one query: {str(error).splitlines()[0]}") from error
-    if other := [n for n in _nodes(plan) if n not in READING]:
-        raise ValueError(f"only reading queries are run; this one holds {other[0]}")
+    for name in _calls(plan):
+        if name.startswith("("):
+            raise ValueError(f"only reading queries are run; this one holds {name[1:-1]}")
+        if name.lower() not in FUNCTIONS:
+            raise ValueError(f"the function {name} is not among those that queries may call")
 
 
 def guarded(spark: SparkSession, query: str, limit: int = 1000) -> tuple[DataFrame, bool]:
-    """The first ``limit`` rows, dates and timestamps as ISO strings, and whether there are more."""
+    """The first ``limit`` rows, dates and timestamps as ISO strings, and whether there are more: of one execution."""
     read_only(spark, query)
     files = spark.conf.get("spark.sql.runSQLOnFiles")
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
@@ -69,8 +117,9 @@ def guarded(spark: SparkSession, query: str, limit: int = 1000) -> tuple[DataFra
         raise ValueError(str(error)) from error
     finally:
         spark.conf.set("spark.sql.runSQLOnFiles", files)
-    more = len(frame.limit(limit + 1).take(limit + 1)) > limit
-    return iso(frame.limit(limit)), more
+    shown = iso(frame)
+    rows = shown.take(limit + 1)
+    return spark.createDataFrame(rows[:limit], shown.schema), len(rows) > limit
 
 
 def iso(frame: DataFrame) -> DataFrame:

@@ -32,6 +32,23 @@ def aligned(long: DataFrame, value: str = "price") -> DataFrame:
     return some.join(whole, "date", "left_semi")
 
 
+def latest(long: DataFrame, value: str = "price") -> DataFrame:
+    """The last value of each ticker that is not null: ``ticker``, ``date``, the value."""
+    some = long.where(F.col(value).isNotNull())
+    return some.groupBy("ticker").agg(F.max("date").alias("date"), F.max_by(value, "date").alias(value))
+
+
+def points(wide: DataFrame, column: str, index: str = "date") -> DataFrame:
+    """One column of a panel as points ``date``, ``value``, in order, those without a value left out."""
+    return wide.select(index, F.col(f"`{column}`").alias("value")).dropna(subset=["value"]).orderBy(index)
+
+
+def ranked_weights(weights: DataFrame, strategy: str, least: float = 0.0) -> DataFrame:
+    """A strategy's weights, the largest first; those no larger than ``least`` either way are left out."""
+    own = weights.where((F.col("strategy") == strategy) & (F.abs("weight") > least))
+    return own.select("ticker", "weight").orderBy(F.desc("weight"), "ticker")
+
+
 def finite(column: str):
     """The column, null where it is not a finite number."""
     x = F.col(column)
