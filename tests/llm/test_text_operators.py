@@ -91,6 +91,59 @@ def test_html_votes_outweigh_one_page(spark):
     assert got[9] == "tiny" and got[10] != "tiny"
 
 
+def test_html_words_are_a_guess_that_votes_overrule(spark):
+    def page(i, kind):
+        return f"<body><div class='{kind}'><p>words of article {i} that are the page's own and go on for a while</p><p>second {i}</p></div><div class='comments'><p>reader {i} says so</p></div></body>"
+
+    rows = [(i, "http://promo.host/p", page(i, "promo-box")) for i in range(6)]
+    rows += [(10, "http://one/x", "<article><h1>T</h1><div class='story-share-text'>kept one</div><p class='related-work'>kept two</p><p class='related'>gone</p><div class='post-share'>gone</div></article>")]
+    # One page of a host holds more comments than text; the others tell where its text is.
+    rows += [(20 + i, "http://talk/x", f"<article><p>an article of some length, number {i}</p></article><div class='comments'><p>{'long talk ' * (200 if i == 0 else 1)}</p></div>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("clash"), "paths": F.lit(1), "body": F.lit(2)})
+    out = html.extract(pages)
+    assert out.columns == [*pages.columns, "text"]
+    got = {r.page_id: r.text for r in out.collect()}
+    assert all(got[i] == f"words of article {i} that are the page's own and go on for a while\n\nsecond {i}" for i in range(6))
+    assert got[10] == "T\n\nkept one\n\nkept two"
+    assert all(got[20 + i] == f"an article of some length, number {i}" for i in range(5))
+
+
+def planted_page(rng, host):
+    """A page and its main blocks, in one of a few layouts by host, with what doesn't belong to them around and between."""
+    words = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    main = [words(rng.randint(4, 60)) for _ in range(rng.randint(2, 9))]
+    body = "".join(f"<p>{b}</p>" for b in main)
+    opening, closing = (("<article>", "</article>"), ("<div class='post-1'>", "</div>"), ("<main><section>", "</section></main>"), ("<div id=c><div class='entry'>", "</div></div>"))[host % 4]
+    noise = f"<aside>{words(30)}</aside><div class='sidebar'><p>{words(25)}</p></div><form><p>{words(5)}</p></form><div class=comments>" + "".join(f"<div class='comment'><p>{words(20)}</p></div>" for _ in range(rng.randint(0, 5))) + "</div>"
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>{words(2)}</a></li>" for i in range(8)) + "</ul>"
+    return f"<html><head><title>{words(4)}</title></head><body><nav>{menu}</nav><header>{words(6)}</header>{opening}{body}{closing}{noise}<div class='menu'>{menu}</div><footer>{words(8)}</footer></body></html>", main
+
+
+def test_html_finds_planted_blocks(spark):
+    import random
+
+    rng = random.Random(4)
+    made = [(i, i % 12, *planted_page(rng, i % 12)) for i in range(240)]
+    pages = spark.createDataFrame([(i, f"http://h{h}.x/{i}", page) for i, h, page, _ in made], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: collections.Counter(filter(None, r.text.split("\n\n"))) for r in html.extract(pages).collect()}
+    right = sum((got[i] & collections.Counter(main)).total() for i, _, _, main in made)
+    assert right >= 0.99 * sum(len(main) for *_, main in made), "recall"
+    assert right >= 0.99 * sum(got[i].total() for i, *_ in made), "precision"
+
+
+def test_html_takes_time_by_length_however_deep():
+    import time
+
+    def took(depth):
+        page = "<div class='a1'>" * depth + "deep text" + "</section>" * depth
+        began = time.perf_counter()
+        assert html.text_of(page, []) == "deep text"
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(40_000) < 20 * took(4_000) + 0.5
+
+
 # 3 Chat
 
 

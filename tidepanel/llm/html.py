@@ -1,29 +1,35 @@
 """Main text of web pages by consensus host paths.
 
 Each page is read once for its containers. A container's path is made of the tags and classes from the body down, digits
-generalised, and its score says how much of the page's own text it holds and how much else: text in menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments, told by tags and class names, and link text count
-against it. The pages of a host vote, in Spark, with their best paths; then each page is read again and its text taken
-from the path with the most votes among those it has, or else from its own best container.
+generalised, and its score says how much of the page's text it holds and how much else. Menus, headers, footers, asides,
+forms, dialogs and hidden elements never count as text. Class names that tell of sidebars, notices, adverts or reader
+comments are no more than a first guess: text so marked doesn't count for what is around it, but a marked container is a
+candidate itself, at a discount. The pages of a host vote, in Spark, with their best paths; then each page is read again
+and its text taken from the path with the most votes among those it has, or else from its own best container. So where a
+host keeps its articles in a container with such a name, its pages overrule the guess.
 
 Text is cut into blocks at block-level tags; character references are decoded, white space inside a block becomes one
 space, blocks are joined by two line ends. Broken markup is read as browsers do: unclosed tags end with what holds them,
 comments, scripts and styles never count, a tag that the page's end cuts off is dropped.
 
-Null pages and urls count as empty; the text of a page without main text is empty. Each row, repeated or not, comes out
-once with its text and all its other columns; an empty table gives no rows. A column named like the result is replaced.
+Null pages and urls count as empty; the text of a page without main text is empty. Paths are numbered as a page is read
+and known by a hash of 64 bits, so a page costs time and memory in proportion to its length, however deep it nests. Of
+paths with equally many votes, or equal scores, the least hash is first. Each row, repeated or not, comes out once with
+its text and all its other columns; an empty table gives no rows. A column named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import small_batches, stored, table
+from .common import fresh_name, small_batches, stored, table
 
 # The kinds of tags and the class names that mark what isn't main text.
 BLOCKS = frozenset("address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul video".split())
@@ -36,8 +42,15 @@ MARKS = frozenset(
     "nav navigation navbar menu breadcrumb breadcrumbs header masthead banner topbar footer sidebar aside widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login form search share sharing social comment comments respond replies disqus discussion related recommended recommendations trending toolbar pagination pager copyright disclaimer".split()
 )
 WELCOME = frozenset("article content entry main post story text".split())
+TEXT_LEVEL = frozenset("p blockquote pre li dd dt td th tr span b i em strong q cite code figcaption".split())
+SCOPES = {
+    "li": (("li",), ("ul", "ol")), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+    "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
+}
 NEGATIONS = frozenset("has no with without".split())
-VOTES, WINNERS, MOST_HOSTS = 3, 5, 50_000
+VOTES, WINNERS = 3, 5
+#: What the score of a container that class names speak against is worth, and the depth up to which deeper is better.
+DISCOUNT, DEEP = 0.25, 50
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^>]*(?:>|\Z)|<[a-zA-Z][^>]*(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -46,89 +59,120 @@ _WORD = re.compile(r"[a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 
 
+class Paths:
+    """The paths of a page, numbered so that a path comes after the one it extends; number 0 is the empty path."""
+
+    def __init__(self):
+        self.number: dict[tuple[int, str], int] = {}
+        self.parent, self.hash, self.depth, self.marked, self.step = [0], [0], [0], [False], [""]
+        self.own, self.every = [0], [0]  # characters of text, and of all that stands in its containers
+
+    def __call__(self, parent: int, step: str, marked: bool) -> int:
+        key = (parent, f"{step}!" if marked else step)
+        found = self.number.setdefault(key, len(self.parent))
+        if found == len(self.parent):
+            self.parent.append(parent)
+            self.hash.append(xxhash.xxh3_64_intdigest(key[1].encode("utf-8", "surrogatepass"), self.hash[parent]))
+            self.depth.append(self.depth[parent] + 1)
+            self.marked.append(marked)
+            self.step.append(step)
+            self.own.append(0)
+            self.every.append(0)
+        return found
+
+    def key(self, path: int) -> int:
+        """The hash as a signed number."""
+        return self.hash[path] - (1 << 64) if self.hash[path] >> 63 else self.hash[path]
+
+
 class _Open:
-    """An open element: the containers around and with it, and what it stands in."""
+    """An open element: its path, the innermost container with its path, and what it stands in."""
 
-    __slots__ = ("tag", "path", "held", "apart", "link", "article")
+    __slots__ = ("tag", "path", "inside", "apart", "marked", "link", "article")
 
-    def __init__(self, tag: str, step: str, marked: bool, above: _Open | None):
+    def __init__(self, tag: str, step: str, apart: bool, marked: bool, above: _Open | None, paths: Paths):
         root = above is None or tag == "body"
-        self.tag, self.path = tag, step if root else f"{above.path}>{step}"
+        self.tag = tag
         self.link = tag == "a" or not root and above.link
         self.article = tag in ("article", "main") or not root and above.article
-        self.apart = marked or not root and above.apart
-        self.held = () if root else above.held
-        if tag in CONTAINERS and not self.apart and self.path not in self.held:
-            self.held = (*self.held, self.path)
-
-
-def _describe(tag: str, rest: str) -> tuple[str, bool]:
-    """A tag's step of a path, and whether its attributes mark it as no main text."""
+        self.apart = apart or not root and above.apart
+        self.path = paths(0 if root else above.path, step, marked)
+        container = tag in CONTAINERS and not self.apart
+        self.inside = self.path if container else 0 if root else above.inside
+        #: Marked inside its innermost container; of containers themselves the path says so.
+        self.marked = not container and (marked or not root and above.marked)
+
+
+def _speaks_against(name: str, text_level: bool) -> bool:
+    """Whether a class name or id tells of what isn't main text. Of a paragraph or the like each word must say so; of
+    others one, unless the last one speaks for it and the first one not against it."""
+    words = _WORD.findall(name)
+    against = [w in MARKS and not (i and words[i - 1] in NEGATIONS) and not (w == "header" and bool(WELCOME.intersection(words))) for i, w in enumerate(words)]
+    if text_level:
+        return bool(against) and all(against)
+    return any(against) and not (words[-1] in WELCOME and not against[0])
+
+
+def _describe(tag: str, rest: str) -> tuple[str, bool, bool]:
+    """A tag's step of a path, whether it stands apart from all text, and whether its names speak against it."""
     if not rest or rest == "/" or tag == "a":
-        return tag, False
+        return tag, False, False
     found = {}
     for name, value in _ATTRIBUTE.findall(rest):
         found.setdefault(name.lower(), value.strip("\"'"))
     classes = found.get("class", "").lower()
     step = tag + "".join(f".{c}" for c in sorted({_DIGITS.sub("#", c) for c in classes.split()}))
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return step, True
+        return step, True, False
     if found.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
-        return step, True
+        return step, True, False
     if tag in ("html", "body", "main") or tag[0] == "h" and tag[1:].isdigit():
-        return step, False
-    for named in (*classes.split(), found.get("id", "").lower()):
-        words = _WORD.findall(named)
-        for i, w in enumerate(words):
-            if w in MARKS and not (i and words[i - 1] in NEGATIONS) and not (w == "header" and WELCOME.intersection(words)):
-                return step, True
-    return step, False
-
-
-def read(page: str) -> tuple[list[tuple[str, tuple[str, ...]]], dict[str, list[int]], int]:
-    """The blocks of a page that may be main text, each with the paths of the containers around it; for each path the
-    characters of such text and of all text inside; and the characters of such text on the whole page."""
+        return step, False, False
+    return step, False, any(_speaks_against(n, tag in TEXT_LEVEL) for n in (*classes.split(), found.get("id", "").lower()))
+
+
+def read(page: str) -> tuple[list[tuple[str, int, bool]], Paths]:
+    """The blocks of a page that may be main text, each with the path of its innermost container and whether names speak
+    against it inside that; and the page's paths, with the characters of text and of all that stands in them."""
     stack: list[_Open] = []
-    blocks: list[tuple[str, tuple[str, ...]]] = []
-    sums: dict[str, list[int]] = {}
+    open_tags: Counter[str] = Counter()
+    blocks: list[tuple[str, int, bool]] = []
+    paths = Paths()
     parts: list[str] = []
-    held: tuple[str, ...] = ()
-    links = 0
-    total = 0
+    inside, marked, links = 0, False, 0
 
     def end_block() -> None:
-        nonlocal links, total
+        nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                own = max(0, len(text) - 2 * links)
-                total += own
-                for path in held:
-                    s = sums.setdefault(path, [0, 0])
-                    s[0] += own
-                    s[1] += len(text)
-                blocks.append((text, held))
+                paths.every[inside] += len(text)
+                if not marked:
+                    paths.own[inside] += max(0, len(text) - 2 * links)
+                blocks.append((text, inside, marked))
         links = 0
 
     def say(text: str) -> None:
-        nonlocal links, held
+        nonlocal links, inside, marked
         if not text:
             return
         top = stack[-1] if stack else None
         if top and top.apart:
-            size = len(text.strip())
-            if size:
-                for path in top.held:
-                    sums.setdefault(path, [0, 0])[1] += size
+            paths.every[top.inside] += len(text.strip())
             return
+        now = (top.inside, top.marked) if top else (0, False)
+        if parts and now[1] != marked and text.strip():
+            end_block()  # what names speak against is a block of its own
         if not parts:
-            held = top.held if top else ()
+            inside, marked = now
         parts.append(text)
         if top and top.link:
             links += len(text.strip())
 
     def close_to(depth: int) -> None:
+        for o in stack[depth:]:
+            open_tags[o.tag] -= 1
         del stack[depth:]
 
     at = 0
@@ -152,7 +196,7 @@ def read(page: str) -> tuple[list[tuple[str, tuple[str, ...]]], dict[str, list[i
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                 if stack[depth].tag == tag:
                     if tag in BLOCKS:
                         end_block()
@@ -173,17 +217,16 @@ def read(page: str) -> tuple[list[tuple[str, tuple[str, ...]]], dict[str, list[i
             continue
         if tag in BLOCKS:
             end_block()
-            if tag in CLOSED_BY_BLOCK:
+            if tag in CLOSED_BY_BLOCK and open_tags["p"]:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth].tag == "p":
                         close_to(depth)
                         break
                     if stack[depth].tag in CONTAINERS:
                         break
-            if tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
-                scope = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}[tag]
-                same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-                for depth in range(len(stack) - 1, -1, -1):
+            if tag in SCOPES:
+                same, scope = SCOPES[tag]
+                for depth in range(len(stack) - 1, -1, -1) if any(open_tags[t] for t in same) else ():
                     if stack[depth].tag in same:
                         close_to(depth)
                         break
@@ -193,34 +236,49 @@ def read(page: str) -> tuple[list[tuple[str, tuple[str, ...]]], dict[str, list[i
             say(" ")
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
-        if tag == "body" and stack and any(o.tag == "head" for o in stack):
+        if tag == "body" and open_tags["head"]:
             close_to(next(i for i, o in enumerate(stack) if o.tag == "head"))
-        step, marked = _describe(tag, m[3].strip())
+        step, apart, against = _describe(tag, m[3].strip())
         above = stack[-1] if stack else None
-        marked = marked or tag in APART or tag == "header" and not (above and above.article)
-        stack.append(_Open(tag, step, marked, above))
+        apart = apart or tag in APART or tag == "header" and not (above and above.article)
+        stack.append(_Open(tag, step, apart, against, above, paths))
+        open_tags[tag] += 1
     end_block()
-    return blocks, sums, total
-
-
-def scores(sums: dict[str, list[int]], total: int) -> list[tuple[float, str]]:
-    """The paths of a page with their scores, best first: the share of the page's text, times its share of the path."""
+    return blocks, paths
+
+
+def scores(paths: Paths) -> list[tuple[float, int]]:
+    """The containers' paths with their scores, best first: the share of the page's text, times its share of the path."""
+    own, every = paths.own.copy(), paths.every.copy()
+    total, n = sum(own), len(own)
+    under = [False] * n
+    for path in range(1, n):
+        under[path] = paths.marked[path] or under[paths.parent[path]]
+    for path in range(n - 1, 0, -1):
+        above = paths.parent[path]
+        every[above] += every[path]
+        if not paths.marked[path]:  # else it is no text of what is around it
+            own[above] += own[path]
     out = []
-    for path, (own, every) in sums.items():
-        if own:
-            last = path.rpartition(">")[2]
-            tag = last.partition(".")[0]
-            prior = 1.3 if tag == "article" else 1.15 if tag == "main" or WELCOME.intersection(_WORD.findall(last)) else 1.0
-            out.append((own / total * own / every * prior * 1.001 ** path.count(">"), path))
-    return sorted(out, key=lambda x: (-x[0], x[1]))
-
-
-def text_of(page: str, winners: list[str]) -> str:
-    blocks, sums, total = read(page)
-    if not total and not blocks:
-        return ""
-    path = next((w for w in winners if sums.get(w, (0,))[0]), None) or next((p for _, p in scores(sums, total)), None)
-    return "\n\n".join(text for text, held in blocks if path is None or path in held)
+    for path in range(1, n):
+        tag = paths.step[path].partition(".")[0]
+        if own[path] and tag in CONTAINERS:
+            prior = 1.3 if tag == "article" else 1.15 if tag == "main" or WELCOME.intersection(_WORD.findall(paths.step[path])) else 1.0
+            prior *= (DISCOUNT if under[path] else 1.0) * 1.001 ** min(paths.depth[path], DEEP)
+            out.append((own[path] / total * own[path] / every[path] * prior, path))
+    return sorted(out, key=lambda x: (-x[0], paths.key(x[1])))
+
+
+def text_of(page: str, winners: list[int]) -> str:
+    blocks, paths = read(page)
+    ranked = scores(paths)
+    known = {paths.key(path): path for _, path in ranked}
+    chosen = next((known[w] for w in winners if w in known), None) or next((p for _, p in ranked), 0)
+    taken = [False] * len(paths.parent)
+    taken[chosen] = True
+    for path in range(chosen + 1, len(taken)):
+        taken[path] = taken[paths.parent[path]] and not paths.marked[path]
+    return "\n\n".join(text for text, inside, marked in blocks if taken[inside] and not marked)
 
 
 def host(url: Column) -> Column:
@@ -228,38 +286,38 @@ def host(url: Column) -> Column:
 
 
 def votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``host`` and ``paths``, the host's container paths with the most votes, best first."""
+    """``host`` and ``paths``, the hashes of the host's container paths with the most votes, best first."""
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, points = [], [], []
+            hosts, keys, points = [], [], []
             for name, value in zip(batch.column("host").to_pylist(), batch.column("page")):
-                _, sums, total = read(value.as_py() or "")
-                for place, (score, path) in enumerate(scores(sums, total)[:VOTES] if total else ()):
+                _, paths = read(value.as_py() or "")
+                for place, (score, path) in enumerate(scores(paths)[:VOTES]):
                     hosts.append(name)
-                    paths.append(path)
+                    keys.append(paths.key(path))
                     points.append(int(score * 1_000_000) >> place)  # a page's second choice counts half
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(points, pa.int64())], names=["host", "path", "points"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(points, pa.int64())], names=["host", "path", "points"])
 
-    cast = pages.select(host(F.col(url)).alias("host"), F.col(page).alias("page")).mapInArrow(run, "host string, path string, points long")
+    cast = pages.select(host(F.col(url)).alias("host"), F.col(page).alias("page")).mapInArrow(run, "host string, path long, points long")
     counted = cast.groupBy("host", "path").agg(F.sum("points").alias("points"))
     best = counted.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("points"), "path"))).where(F.col("place") <= WINNERS)
     return best.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text", drop_page: bool = False) -> DataFrame:
-    """``pages`` with ``out``, the main text."""
+    """``pages`` with ``out``, the main text. Spark broadcasts the hosts' winners where their table is small enough for it,
+    and else deals out pages by host, splitting hosts that are skewed."""
     winners = stored(votes(pages, url, page), "winners")
-    if winners.count() <= MOST_HOSTS:  # a row of five paths each; beyond that a join that Spark splits where it is skewed
-        winners = F.broadcast(winners)
     kept = [c for c in pages.columns if c != out and not (drop_page and c == page)]
-    joined = pages.withColumn("__host", host(F.col(url))).join(winners.withColumnsRenamed({"host": "__host", "paths": "__paths"}), "__host", "left")
-    joined = joined.select(*kept, F.col(page).alias("__page"), "__paths")
+    name, body, paths = (fresh_name(pages, n) for n in ("host", "body", "paths"))
+    joined = pages.select(*(F.col(c) for c in kept), F.col(page).alias(body), host(F.col(url)).alias(name)).join(winners.withColumnsRenamed({"host": name, "paths": paths}), name, "left")
+    joined = joined.select(*kept, body, paths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_of(value.as_py() or "", paths.as_py() or []) for value, paths in zip(batch.column("__page"), batch.column("__paths"))]
+            texts = [text_of(value.as_py() or "", found.as_py() or []) for value, found in zip(batch.column(body), batch.column(paths))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, out])
 
     return joined.mapInArrow(run, T.StructType([*(pages.schema[c] for c in kept), T.StructField(out, T.StringType())]))
