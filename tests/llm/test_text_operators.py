@@ -480,6 +480,51 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.where("false"))).collect()} == {0.5}
 
 
+def slow_ftrl(rows, s):
+    """Follow the regularised leader, weight by weight."""
+    import math
+
+    import numpy as np
+
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+    order = np.random.default_rng(0)
+    for _ in range(s.epochs):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_is_plain_ftrl(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of", "buy", "now", "now", "|", "text", f"w{rng.randrange(50)}"]) for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    s = quality.Settings(bits=12)
+    rows = [(i, t, int("buy" not in t)) for i, t in enumerate(texts)]
+    # Ids that repeat count once, with the least text.
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(3, "zzz " * 5)] * 50, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    got = quality.fit(docs, labels, s)
+    features, bias = quality.Features(s.bits), 1 << s.bits
+    plain = []
+    for i, t, y in rows:
+        places, values = features(t)
+        plain.append((dict(zip(places.tolist(), values.tolist())) | {bias: 1.0}, y))
+    wanted = np.zeros(bias + 1)
+    for i, w in slow_ftrl(plain, s).items():
+        wanted[i] = w
+    assert np.allclose(got, wanted, atol=1e-9) and np.count_nonzero(wanted) > 20
+
+
 # 9 Substrings
 
 

@@ -6,8 +6,10 @@ logistic of a sparse dot product. The labelled rows of a bounded sample are deal
 updates over its own rows, and Spark averages the weights. The model has a fixed number of weights, whatever the corpus.
 
 Rows whose label is null or neither 0 nor 1, or without an id, aren't learnt from; an id with several labels counts once,
-with the largest. Null and empty texts have no n-grams and score the base rate; texts are read whole. Without any label
-the score is 0.5. Rows, repeated ones too, come out one for one; an empty table gives no rows.
+with the largest, and one with several texts with the least of them, so no id weighs more than another and no shard holds
+more than its rows. Null and empty texts have no n-grams and score the base rate; texts are read whole. Without any label
+the score is 0.5. Equal texts have equal scores. Rows, repeated ones too, come out one for one with all their columns, of
+which one named like the score is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -107,9 +109,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key
     if not chosen:
         return np.zeros((1 << s.bits) + 1)
     shards = -(-len(chosen) // s.shard_rows)
-    picked = docs.sparkSession.createDataFrame(pd.DataFrame({"label_key": [r.label_key for r in chosen], "y": [r.y for r in chosen]}), T.StructType([usable.schema["label_key"], T.StructField("y", T.IntegerType())]))
+    kinds = T.StructType([usable.schema["label_key"], T.StructField("y", T.IntegerType()), T.StructField("shard", T.IntegerType())])
+    picked = docs.sparkSession.createDataFrame([(r.label_key, r.y, i % shards) for i, r in enumerate(chosen)], kinds)
     rows = docs.select(F.col(key).alias("label_key"), F.col(text).alias("text")).join(F.broadcast(picked), "label_key")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("label_key", F.lit(1)), F.lit(shards)).cast("int"))
+    rows = rows.groupBy("label_key", "y", "shard").agg(F.min("text").alias("text"))
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["label_key", "y"], kind="stable")
