@@ -160,6 +160,15 @@ def test_chat_reads_back(spark):
     assert chat.format_chat(df.where("false")).count() == 0
 
 
+def test_chat_of_many_turns_and_long_texts(spark):
+    turns = 20_000
+    df = spark.range(turns).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role"), F.when(F.col("id") == 300, F.repeat(F.lit("<|long "), 100_000)).otherwise(F.concat(F.lit("</s>"), "id")).alias("text"))
+    out = chat.format_chat(df.withColumns({"pieces": F.lit(1), "ends": F.lit(2)}))
+    got = out.select(F.size("loss").alias("n"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss"), F.size(chat.turns_of(F.col("formatted"))).alias("turns")).collect()
+    wanted = "".join("<|long " * 100_000 if i == 300 else f"</s>{i}" for i in range(0, turns, 3))
+    assert [(r.n, r.turns, r.loss) for r in got] == [(-(-turns // 3), turns, wanted)]
+
+
 # 4 Neighbours
 
 

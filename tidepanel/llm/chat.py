@@ -10,8 +10,9 @@ first character, and backslashes are doubled; ``unescaped`` undoes both. The los
 in code points from 0, end exclusive: exactly the texts of the given role.
 
 Null texts and roles count as empty. Rows without a conversation id form one conversation with a null id. Turns with
-equal numbers follow each other by role, then text; null turns come first. Repeated rows are turns of their own. Other
-columns are left out. An empty table gives no conversations.
+equal numbers follow each other by role, then text; null turns come first. Repeated rows are turns of their own. Texts of
+any length and any number of turns are whole, in time by their length. Other columns are left out, whatever their names.
+An empty table gives no conversations.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
 
+#: Turns whose offsets are worked out together.
+STRETCH = 128
 OPEN, HEAD_END, AND, END = "<|turn:", "|>\n", "<|and|>", "<|end|>\n"
 #: The strings that texts must not hold as they are.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -50,18 +53,27 @@ def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         head = F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(OPEN), escaped(t["role"]), F.lit(HEAD_END))
         return F.struct(F.when(starts, head).otherwise(F.lit(AND)).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == learn).alias("learn"))
 
+    spans = "array<struct<start:int,end:int>>"
+
     def grown(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["head"])
         end = start + F.length(p["body"])
         span = F.array(F.struct(start.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(p["learn"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    none = F.lit(None).cast("array<struct<start:int,end:int>>")
+    # Offsets within stretches of turns, then those of the stretches: a list that grows by one is copied each time.
     pieces = turns.select(conv, F.transform("turns", piece).alias("pieces"))
-    return pieces.select(
+    stretch = lambda i: F.slice("pieces", i * STRETCH + 1, STRETCH)
+    of_stretch = lambda i: F.aggregate(stretch(i), F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans")), grown)
+    last = F.floor((F.size("pieces") - 1) / STRETCH).cast("int")
+    cut = pieces.select(conv, "pieces", F.transform(F.sequence(F.lit(0), last), of_stretch).alias("stretches"))
+    ends = F.aggregate("stretches", F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["at"])))
+    cut = cut.select(conv, "pieces", "stretches", ends.alias("ends"))
+    moved = lambda s, i: F.transform(s["spans"], lambda x: F.struct((x["start"] + F.col("ends")[i]).alias("start"), (x["end"] + F.col("ends")[i]).alias("end")))
+    return cut.select(
         conv,
         F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), ""), F.lit(END)).alias("formatted"),
-        F.aggregate("pieces", F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast("array<struct<start:int,end:int>>")).alias("spans")), grown)["spans"].alias("loss"),
+        F.flatten(F.transform("stretches", moved)).alias("loss"),
     )
 
 
