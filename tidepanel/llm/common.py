@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..shared import drop, shared_dir, stored
 
-__all__ = ["drop", "fresh_name", "list_array", "numbered", "offsets_of", "once", "ranges", "release", "shared_dir", "small_batches", "stored", "table"]
+__all__ = ["drop", "fresh_name", "list_array", "numbered", "offsets_of", "once", "ranges", "release", "shared_dir", "small", "small_batches", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,16 @@ def numbered(df: DataFrame, name: str, *more: Column) -> DataFrame:
     return stored(df.select("*", *more, F.monotonically_increasing_id().alias(name)), "rows")
 
 
+#: Bytes that a table to be joined may take to be broadcast.
+SMALL = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """A stored table, marked to be broadcast if its rows take no more than ``SMALL`` bytes together; else Spark deals out
+    both sides of a join."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= SMALL else df
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Bounds what a Python worker holds of long texts at once; the settings count when the plan runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

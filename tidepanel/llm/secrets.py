@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import drop, release, shared_dir, stored, table
+from .common import drop, release, shared_dir, small, stored, table
 
 
 @dataclass(frozen=True)
@@ -118,6 +118,8 @@ def scan(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, keep: tupl
     ours = F.filter("found", lambda f: F.array_contains(wanted, f["rule"]))
     told = F.transform(F.array_distinct(F.flatten(F.collect_list("found"))), lambda f: F.struct(f["start"].alias("start"), (F.array_position(wanted, f["rule"]) - 1).cast("int").alias("kind_no"), f["end"].alias("end"), F.substring_index(f["rule"], "@", 1).alias("kind")))
     findings = _ledger(spark, ledger).select(F.col("blob_id").alias(blob), ours.alias("found")).where(F.size("found") > 0).groupBy(blob).agg(F.sort_array(told).alias(out))
+    findings = stored(findings, "findings")
+    findings = small(findings, F.size(out) * 32 + 64)
     rows = df.select(*(F.col(c) for c in keep), digest.alias(blob))
     return rows.join(findings, blob, "left").select(*keep, blob, F.coalesce(F.col(out), F.array().cast(SPANS)).alias(out))
 
