@@ -3,8 +3,8 @@
 A text is content-addressed by its SHA-256, so all rows and versions that hold the same text are one blob. The ledger is
 a folder of Parquet batches that says, for each blob, which rules in which versions have been run on it and what they
 found. ``scan`` compares digests with the ledger, runs only the pairs of blob and rule version that it lacks, appends
-them as a new batch, and joins the findings back to every row of the input. So where the ledger knows most of the blobs
-their texts are not shuffled. A batch that was appended twice, or by two scans at once, says the same twice and counts
+them as a new batch, and joins the findings back to every row of the input. So where the ledger knows all but a few of
+the blobs the texts of the others are not shuffled. A batch that was appended twice, or by two scans at once, says the same twice and counts
 once.
 
 Positions are code points from 0, end exclusive. Spark has no function for the positions of all matches, so they are
@@ -107,7 +107,11 @@ def scan(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, keep: tupl
         done = known.select("blob_id", F.explode("rules").alias("rule")).where(F.col("rule").isin([r.name for r in rules])).groupBy("blob_id").agg(F.collect_set("rule").alias("done"))
         left = F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))
         unseen = stored(df.select(digest).distinct().join(done, "blob_id", "left").select("blob_id", left.alias("rules")).where(F.size("rules") > 0), "unseen")
-        todo = blobs.join(unseen, "blob_id").groupBy("blob_id").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
+        few = small(unseen, F.lit(128))
+        if few is unseen:  # copies fall together before they are shuffled, so a hot blob is no hot key
+            todo = blobs.groupBy("blob_id").agg(F.first("text").alias("text")).join(unseen, "blob_id")
+        else:
+            todo = blobs.join(few, "blob_id").groupBy("blob_id").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
     found = [F.when(F.array_contains("rules", r.name), spans(F.col("text"), r)) for r in rules]
     found = F.flatten(F.filter(F.array(*found), lambda f: f.isNotNull()))
     todo.select("blob_id", "rules", found.alias("found")).write.mode("append").option("compression", "zstd").parquet(ledger)
