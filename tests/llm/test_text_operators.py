@@ -359,7 +359,7 @@ def test_one_of_each_tells_rows_apart_not_ids(spark, none):
     text = " ".join(f"w{i}" for i in range(300))
     near, other, third = text.replace("w7 ", "x "), " ".join(f"v{i}" for i in range(300)), " ".join(f"u{i}" for i in range(300))
     rows = [(1, text), (7, text), (7, other), (9, other.replace("v5 ", "x ")), (3, third), (3, third), (None, near), (None, "a clean one without an id"), (None, None), (None, "")]
-    df = spark.createDataFrame([(*r, "n", "d") for r in rows], "doc_id long, text string, row_number string, digest string").repartition(3)
+    df = spark.createDataFrame([(*r, "n", "d") for r in rows], "doc_id long, text string, k string, digest string").repartition(3)
     out = simhash.one_of_each(df)
     assert out.columns == df.columns
     got = counted((r.doc_id, r.text or "") for r in out.collect())

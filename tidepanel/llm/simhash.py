@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .common import drop, fresh_name, list_array, numbered, ranges, release, small_batches, stored, table
+from .common import drop, fresh_name, list_array, ranges, release, small, small_batches, stored, table
 from .components import components
 
 SEED = 42
@@ -310,7 +310,8 @@ def similar(left: np.ndarray, right: np.ndarray, least: float) -> bool:
 
 
 def _wide(texts: DataFrame, shingle: int) -> DataFrame:
-    """``id``, two words ``fingerprint`` and ``more`` of the long fingerprint, and ``keys``, the bits that name its buckets."""
+    """``digest``, two words ``fingerprint`` and ``more`` of the long fingerprint, and ``keys``, the bits that name its
+    buckets."""
     small_batches(texts.sparkSession)
     places = np.stack([np.random.default_rng([SEED, t]).choice(WIDE, KEY_BITS, replace=False) for t in range(TABLES)])
 
@@ -320,9 +321,9 @@ def _wide(texts: DataFrame, shingle: int) -> DataFrame:
             bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
             keys = (bits[:, places].astype(np.int32) << np.arange(KEY_BITS, dtype=np.int32)).sum(2, dtype=np.int32)
             lists = list_array(keys.ravel(), np.arange(len(words) + 1) * TABLES, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words[:, 0]), pa.array(words[:, 1]), lists], names=["id", "fingerprint", "more", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(words[:, 0]), pa.array(words[:, 1]), lists], names=["digest", "fingerprint", "more", "keys"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, fingerprint long, more long, keys array<int>")
+    return texts.select("digest", "text").mapInArrow(run, "digest binary, fingerprint long, more long, keys array<int>")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 26) -> DataFrame:
@@ -331,23 +332,25 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     shingles link, within ``distance`` of 128 bits, are then taken in that order by component, and one stays unless its
     ``shingle``-word shingles are ``least`` similar or more to those of one that stays.
 
-    Rows are told apart by a number of their own, so rows that share an id or have none stay or go each for itself. Null
-    and empty texts are equal. An empty table gives no rows, and columns of any name are kept. Each round settles the
-    first ``HEADS`` of each component, or more in later rounds, and what is near to those that stay; a component with
-    many rows is dealt in parts, each with these heads."""
-    row, digest = fresh_name(df, "row_number"), fresh_name(df, "digest")
-    rows = numbered(df, row, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias(digest))
-    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col(row).alias("id"))
-    firsts = rows.select(place.alias("place"), F.col(digest).alias("digest")).groupBy("digest").agg(F.min("place").alias("place")).select("place.*")
-    firsts = stored(firsts, "firsts")
-    texts = rows.select(F.col(row).alias("id"), F.col(text).alias("text")).join(firsts, "id")
-    wide = stored(_wide(texts, 3), "fingerprints")
-    dealt = wide.select("id", "fingerprint", "more", F.posexplode("keys").alias("tab", "bits"))
-    found = stored(components(links(dealt, ["fingerprint", "more"], distance)), "members")
+    Rows are told apart by their texts, as SHA-256, and keys together, so rows that share an id or have none stay or go
+    each for itself, and of rows that repeat both one stays. Null and empty texts are equal. An empty table gives no rows,
+    and columns of any name are kept. Each round settles the first ``HEADS`` of each component, or more in later rounds,
+    and what is near to those that stay; a component with many rows is dealt in parts, each with these heads."""
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    rows = df.select(sha.alias("digest"), F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col(text).alias("text"))
+    places = stored(rows.groupBy("digest", "none", "k").agg(F.count("*").alias("n")), "places")
+    firsts = places.groupBy("digest").agg(F.min(F.struct("none", "k", "n")).alias("first")).select("digest", "first.*")
+    firsts = stored(firsts.withColumn("id", F.monotonically_increasing_id()), "firsts")
+    # Copies have their fingerprints made again, which costs less than to bring the texts together.
+    wide = stored(_wide(rows, 3), "fingerprints")
+    entries = wide.join(firsts.select("digest", "id"), "digest").dropDuplicates(["id"])
+    dealt = entries.select("id", "fingerprint", "more", F.posexplode("keys").alias("tab", "bits"))
+    found = components(links(dealt, ["fingerprint", "more"], distance)).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
+    members = stored(firsts.drop("n").join(found, "id"), "members")
     drop(wide)
     release(df.sparkSession)
-    found = found.select(F.col("node").alias("id"), F.col("component").alias("component_id"))
-    left = stored(texts.join(found, "id"), "left")
+    texts = rows.select("digest", "text").join(small(members.select("digest", "id"), F.lit(48)), "digest").groupBy("id").agg(F.first("text").alias("text"))
+    left = stored(texts.join(members, "id"), "left")
     kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("near", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,9 +392,24 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
         drop(before)
         heads = min(2 * heads, MOST_HEADS)
     drop(left)
-    stay = stored(firsts.select("id").join(near, "id", "left_anti").withColumnRenamed("id", fresh_name(rows, "stays")), "stay")
+    near = stored(firsts.join(near, "id").select("digest", F.lit(True).alias("near")), "near")
+    first = firsts.select("digest", F.col("none").alias("none_"), F.col("k").alias("k_"), F.col("n").alias("n_"))
+    fates = stored(places.join(first, "digest").join(near, "digest", "left"), "fates")
+    stays = (F.col("none") == F.col("none_")) & F.col("k").eqNullSafe(F.col("k_")) & F.col("near").isNull()
+    named = {c: fresh_name(df, c) for c in ("digest", "k")}
+    own = lambda where: fates.where(where).select(F.col("digest").alias(named["digest"]), F.col("k").alias(named["k"]))
+    gone, tied = stored(own(~stays), "gone"), stored(own(stays & (F.col("n") > 1)), "tied")
+    drop(places, firsts, near, fates)
     release(df.sparkSession)
-    return rows.join(stay, F.col(row) == stay[stay.columns[0]], "left_semi").select(df.columns)
+    same = lambda some: (sha == some[named["digest"]]) & F.col(key).eqNullSafe(some[named["k"]])
+    gone = small(gone, F.lit(64))
+    out = df.join(gone, same(gone), "left_anti")
+    if tied.isEmpty():
+        return out
+    # Of rows with one text and one key, any one.
+    tied = small(tied, F.lit(64))
+    repeated = df.join(tied, same(tied), "left_semi").withColumn(named["digest"], sha).dropDuplicates([named["digest"]])
+    return out.join(tied, same(tied), "left_anti").unionByName(repeated.select(df.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
