@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.llm import bpe, decontam, quality, secrets, simhash
-from tidepanel.llm.common import fresh_name, numbered, shared_dir, stored, table
+from tidepanel.llm.common import fresh_name, shared_dir, small, stored, table
 
 #: SQL can express neither the classifier nor the merges.
 ORACLE_SQL = None
@@ -37,13 +37,14 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds a window of a benchmark item go, and no others: rows are told apart by a number of their own,
-    not by their ids. Null and empty texts stay. All columns are kept; no rows give none."""
-    row = fresh_name(docs, "row_number")
-    rows = numbered(docs, row)
-    found = decontam.contamination(rows, table(spark, sf_dir, "benchmark"), key=row)
-    leaked = stored(found.where(F.size("hits") > 0).select(F.col("key").alias(row)), "leaked")
-    return rows.join(leaked, row, "left_anti").select(docs.columns)
+    """Rows whose text holds a window of a benchmark item go, and no others: rows are told apart by their texts, as
+    SHA-256, not by their ids. Null and empty texts stay. All columns are kept; no rows give none."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    name = fresh_name(docs, "digest")
+    found = decontam.contamination(docs.select(digest.alias("digest"), "text"), table(spark, sf_dir, "benchmark"), key="digest")
+    leaked = stored(found.where(F.size("hits") > 0).select(F.col("key").alias(name)).distinct(), "leaked")
+    leaked = small(leaked, F.lit(48))
+    return docs.join(leaked, digest == leaked[name], "left_anti")
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
