@@ -114,14 +114,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key
     rows = docs.select(F.col(key).alias("label_key"), F.col(text).alias("text")).join(F.broadcast(picked), "label_key")
     rows = rows.groupBy("label_key", "y", "shard").agg(F.min("text").alias("text"))
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["label_key", "y"], kind="stable")
-        features = Features(s.bits)
-        w = ftrl([(*features(t), y) for t, y in zip(part["text"], part["y"])], s)
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"place": at, "weight": w[at]})
-
-    learnt = rows.groupBy("shard").applyInPandas(learn, "place long, weight double").groupBy("place").agg(F.sum("weight").alias("weight")).toPandas()
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [*batches]
+        for _, part in pd.concat(held).groupby("shard") if held else ():
+            part = part.sort_values(["label_key", "y"], kind="stable")
+            features = Features(s.bits)
+            w = ftrl([(*features(t), y) for t, y in zip(part["text"], part["y"])], s)
+            at = np.flatnonzero(w)
+            yield pd.DataFrame({"place": at, "weight": w[at]})
+
+    # A task for each shard: hashed, two of so few numbers often meet in one.
+    learnt = rows.repartitionById(shards, "shard").mapInPandas(learn, "place long, weight double").groupBy("place").agg(F.sum("weight").alias("weight")).toPandas()
     out = np.zeros((1 << s.bits) + 1)
     out[learnt["place"].to_numpy()] = learnt["weight"].to_numpy() / shards
     return out
