@@ -93,7 +93,10 @@ def test_hierarchical_and_gerber():
     assert so.leaves(np.array([[0, 5, 1], [5, 0, 4], [1, 4, 0.0]])) == [0, 2, 1]
 
 
-def test_gerber_and_covariance_as_joins(returns):
+@pytest.mark.parametrize("slice_, stretch", [(256, 1024), (3, 100), (1, 7)])
+def test_gerber_and_covariance_by_block(returns, monkeypatch, slice_, stretch):
+    monkeypatch.setattr(cv, "SLICE", slice_)
+    monkeypatch.setattr(cv, "STRETCH", stretch)
     r = panel()
     for frame, want in ((cv.gerber(returns), so.gerber(r)), (cv.covariance(returns), np.cov(r.T))):
         got = frame.toPandas().pivot(index="i", columns="j", values="cov")
