@@ -64,6 +64,8 @@ def test_store_upserts(spark, prices, tmp_path):
     plan = store.scan(["AAA"], date(2018, 2, 1))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ticker" in plan or "ticker#" in plan.split("PartitionFilters")[1].split("]")[0]
     assert "GreaterThanOrEqual(date" in plan
+    touched = store._touched(store.scan(), bars.where("ticker = 'CCC'"))
+    assert touched.select("ticker").distinct().collect() == [("CCC",)] and "CCC" in touched._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
     answer, more = service.ask(store, "SELECT ticker, max(date) AS d FROM prices GROUP BY ticker ORDER BY ticker", 2)
     assert more and [tuple(r) for r in answer.collect()] == [("AAA", "2019-06-28"), ("BBB", "2019-06-28")]
     assert service.coverage(store)["total_rows"] == n
@@ -164,6 +166,32 @@ def test_trees_do_not_beat_a_random_walk(prices):
     assert all(r.mase > 0.9 for r in fm.metrics(forecast).collect()) and failed.count() == 0
 
 
+def test_a_model_for_each_ticker(prices, monkeypatch):
+    params = fc.Params(trees=2, depth=2, pooled=False)
+    two = prices.where("ticker <> 'CCC'")
+    forecast, failed = fc.forecast(two, "gbt", params)
+    assert {r.ticker for r in forecast.select("ticker").distinct().collect()} == {"AAA", "BBB"} and failed.count() == 0
+    fit = fc.model
+
+    def refuses(rows, params):
+        if rows.first().ticker == "AAA":
+            raise fc.PySparkException("it can't be fitted\nmore")
+        return fit(rows, params)
+
+    monkeypatch.setattr(fc, "model", refuses)
+    forecast, failed = fc.forecast(two, "gbt", params)
+    assert {r.ticker for r in forecast.select("ticker").distinct().collect()} == {"BBB"}
+    assert [(r.ticker, r.reason) for r in failed.collect()] == [("AAA", "it can't be fitted")]
+    forecast, failed = fc.forecast(two.where("ticker = 'AAA'"), "gbt", params)
+    assert forecast.count() == 0 and forecast.columns == ["ticker", "date", "predicted", "actual"] and failed.count() == 1
+
+
+def test_importances_are_shares(prices):
+    rows = sp.validation(sp.splits(prices, 0.7)[0], 0.15)
+    shares = fc.importances(rows, fc.Params(trees=2, depth=2))
+    assert set(shares) == set(names()) and abs(sum(shares.values()) - 1) < 1e-9 and min(shares.values()) >= 0
+
+
 def test_performance(spark):
     values = [0.1, -0.05, 0.02, -0.2, 0.1]
     rows = spark.createDataFrame([("s", date(2020, 1, i + 1), v) for i, v in enumerate(values)] + [("flat", date(2020, 1, 1), 0.0), ("none", date(2020, 1, 1), None)], "strategy string, date date, return double")

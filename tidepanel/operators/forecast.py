@@ -5,7 +5,10 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.features import LAGS, names
@@ -40,17 +43,24 @@ def naive(prices: DataFrame, params: Params = Params()) -> tuple[DataFrame, Data
 
 def boosted(prices: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """Gradient-boosted trees over the features, all tickers in one model or a model for each; the last 15 % of the
-    training rows stop the growth. Targets are scaled by ticker, so tickers can be pooled."""
+    training rows stop the growth. Targets are scaled by ticker, so tickers can be pooled. With a model for each, what one
+    ticker's fit raises is its reason among the failures, and the others go on; fits are Spark jobs, one after the other,
+    so that way is for few tickers."""
     rows, failed = splits(prices, params.train, params.target, params.lags)
     rows = validation(rows, 0.15).persist()
     if params.pooled:
         return _fitted(rows, params), failed
     tickers = [r.ticker for r in rows.select("ticker").distinct().orderBy("ticker").collect()]
-    parts = [_fitted(rows.where(F.col("ticker") == t), params) for t in tickers]
-    out = parts[0] if parts else _fitted(rows, params)
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out, failed
+    parts, reasons = [], []
+    for t in tickers:
+        try:
+            parts.append(_fitted(rows.where(F.col("ticker") == t), params))
+        except (PySparkException, Py4JError) as error:
+            reasons.append((t, str(error).partition("\n")[0]))
+    if not parts:
+        parts = [rows.limit(0).select("ticker", F.col("target_date").alias("date"), F.lit(None).cast("double").alias("predicted"), F.col("actual_price").alias("actual"))]
+    more = prices.sparkSession.createDataFrame(reasons, "ticker string, reason string")
+    return reduce(DataFrame.unionByName, parts), failed.unionByName(more)
 
 
 def model(rows: DataFrame, params: Params = Params()):

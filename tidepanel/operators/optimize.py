@@ -309,7 +309,7 @@ def efficient_set(returns: DataFrame, constraints: Constraints = FREE, points: i
     from .covariance import covariance, means
 
     whole = aligned(returns, "return")
-    moments = covariance(whole).join(F.broadcast(means(whole)), F.col("i") == F.col("ticker")).select("i", "j", "cov", "mean")
+    moments = covariance(whole).join(means(whole), F.col("i") == F.col("ticker")).select("i", "j", "cov", "mean")
 
     moments = moments.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     names = ["point", "target", "annual_return", "annual_volatility", "sharpe", "weights"]

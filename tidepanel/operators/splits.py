@@ -71,7 +71,7 @@ def splits(prices: DataFrame, train: float, target: str = "return", lags: int =
     columns = names(lags)
     rows = numbered(with_targets(features(prices, lags), target), columns, train, window)
     failed = failures(rows, prices, least)
-    fine = rows.join(F.broadcast(failed.select("ticker")), "ticker", "left_anti")
+    fine = rows.join(failed.select("ticker"), "ticker", "left_anti")
     return scaled(fine, columns), failed
 
 

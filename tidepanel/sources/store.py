@@ -21,6 +21,9 @@ from .frames import to_wide
 
 TOLERANCE = 1e-9
 
+#: Tickers of a batch that may be named to the scan one by one.
+NAMED = 10_000
+
 
 def conform(frame: DataFrame, order: str | None = None) -> DataFrame:
     """Known columns in their types, tickers in upper case, no row without date, ticker or adjusted close, and of rows
@@ -111,6 +114,13 @@ class PriceStore:
     def read_wide(self, tickers: Sequence[str], start: date | None = None, end: date | None = None, column: str = "adj_close") -> DataFrame:
         return to_wide(self.scan(tickers, start, end), [t.upper() for t in tickers], column)
 
+    def _touched(self, old: DataFrame, incoming: DataFrame) -> DataFrame:
+        """Stored rows of the tickers that came. Up to ``NAMED`` of them are named in a filter on the partitions, so nothing
+        else is read; a batch of more is joined, which reads the store."""
+        tickers = incoming.select("ticker").distinct()
+        named = [r.ticker for r in tickers.limit(NAMED + 1).collect()]  # as many as the bound says
+        return old.where(F.col("ticker").isin(named)) if len(named) <= NAMED else old.join(tickers, "ticker", "left_semi")
+
     def write(self, frame: DataFrame, ingested_at: datetime | None = None, order: str | None = None) -> Report:
         stamp = ingested_at or datetime.now(timezone.utc).replace(tzinfo=None)
         stage = f"{self.root}/staged-{uuid.uuid4().hex}"
@@ -118,7 +128,7 @@ class PriceStore:
         incoming.write.parquet(f"{stage}/incoming")
         incoming = self.spark.read.parquet(f"{stage}/incoming")
         old = self._read()
-        stored = self.spark.createDataFrame([], SCHEMA) if old is None else old.join(F.broadcast(incoming.select("ticker").distinct()), "ticker", "left_semi")
+        stored = self.spark.createDataFrame([], SCHEMA) if old is None else self._touched(old, incoming)
         revisions(stored, incoming).write.parquet(f"{stage}/revisions")
         merge(stored, incoming).select(SCHEMA.names).write.parquet(f"{stage}/merged")
         merged, revised = (self.spark.read.parquet(f"{stage}/{n}") for n in ("merged", "revisions"))
