@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, filter_audit, html, neighbours, oracles, quality, secrets, sharding, simhash, substrings
+from . import bpe, chat, decontam, filter_audit, html, neighbours, oracles, quality, secrets, sharding, simhash, spelling, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_substrings": substrings.query,
     "op10_secret_ledger": secrets.query,
+    "op11_spelling": spelling.query,
     "op12_filter_audit": filter_audit.query,
 }
 
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op7_decontaminate": oracles.DECONTAMINATE,
     "op9_substrings": oracles.SUBSTRINGS,
     "op10_secret_ledger": oracles.SECRETS,
+    "op11_spelling": spelling.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
 }
