@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, filter_audit, html, neighbours, oracles, quality, secrets, sharding, simhash, spelling, substrings
+from . import bpe, chat, decontam, filter_audit, html, neighbours, oracles, quality, secrets, sharding, simhash, spelling, substrings, suffixes
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_ledger": secrets.query,
     "op11_spelling": spelling.query,
     "op12_filter_audit": filter_audit.query,
+    "op13_suffixes": suffixes.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op10_secret_ledger": oracles.SECRETS,
     "op11_spelling": spelling.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_suffixes": suffixes.ORACLE,
 }
