@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.features import features, names
 from tidepanel.functions.returns import log_returns, simple_returns
+from tidepanel.operators.boosting import Settings
 from tidepanel.operators import forecast as fc, metrics as fm, performance as perf, splits as sp
 from tidepanel.plans import service, sql
 from tidepanel.sources.frames import Frame, aligned, to_long, to_wide
@@ -162,34 +163,10 @@ def test_naive_forecast_is_the_yardstick(prices):
 
 
 def test_trees_do_not_beat_a_random_walk(prices):
-    forecast, failed = fc.forecast(prices, "gbt", fc.Params(trees=5, depth=2))
+    told = []
+    forecast, failed = fc.boosted(prices, fc.Params(trees=Settings(trees=5, leaves=4)), told.append)
     assert all(r.mase > 0.9 for r in fm.metrics(forecast).collect()) and failed.count() == 0
-
-
-def test_a_model_for_each_ticker(prices, monkeypatch):
-    params = fc.Params(trees=2, depth=2, pooled=False)
-    two = prices.where("ticker <> 'CCC'")
-    forecast, failed = fc.forecast(two, "gbt", params)
-    assert {r.ticker for r in forecast.select("ticker").distinct().collect()} == {"AAA", "BBB"} and failed.count() == 0
-    fit = fc.model
-
-    def refuses(rows, params):
-        if rows.first().ticker == "AAA":
-            raise fc.PySparkException("it can't be fitted\nmore")
-        return fit(rows, params)
-
-    monkeypatch.setattr(fc, "model", refuses)
-    forecast, failed = fc.forecast(two, "gbt", params)
-    assert {r.ticker for r in forecast.select("ticker").distinct().collect()} == {"BBB"}
-    assert [(r.ticker, r.reason) for r in failed.collect()] == [("AAA", "it can't be fitted")]
-    forecast, failed = fc.forecast(two.where("ticker = 'AAA'"), "gbt", params)
-    assert forecast.count() == 0 and forecast.columns == ["ticker", "date", "predicted", "actual"] and failed.count() == 1
-
-
-def test_importances_are_shares(prices):
-    rows = sp.validation(sp.splits(prices, 0.7)[0], 0.15)
-    shares = fc.importances(rows, fc.Params(trees=2, depth=2))
-    assert set(shares) == set(names()) and abs(sum(shares.values()) - 1) < 1e-9 and min(shares.values()) >= 0
+    assert told == sorted(told) and told[-1] == 1.0 and len(told) >= 2
 
 
 def test_performance(spark):

@@ -5,15 +5,14 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.features import LAGS, names
 from ..functions.returns import simple
 from ..functions.windows import by_date
+from ..shared import stored
+from . import boosting
 from .splits import reconstructed, splits, unscaled, validation
 
 LEAST_OBSERVATIONS = 200
@@ -25,11 +24,7 @@ class Params:
     target: str = "return"
     lags: int = LAGS
     pooled: bool = True
-    seed: int = 42
-    trees: int = 50
-    depth: int = 4
-    step: float = 0.1
-    bagging: float = 0.8
+    trees: boosting.Settings = boosting.Settings()
 
 
 def naive(prices: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
@@ -41,52 +36,37 @@ def naive(prices: DataFrame, params: Params = Params()) -> tuple[DataFrame, Data
     return tested.select("ticker", "date", "predicted", F.col("price").alias("actual")), failed
 
 
-def boosted(prices: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+def columns_of(lags: int) -> list[str]:
+    return [f"{n}_scaled" for n in names(lags)]
+
+
+def boosted(prices: DataFrame, params: Params = Params(), progress: Callable[[float], None] = lambda share: None) -> tuple[DataFrame, DataFrame]:
     """Gradient-boosted trees over the features, all tickers in one model or a model for each; the last 15 % of the
-    training rows stop the growth. Targets are scaled by ticker, so tickers can be pooled. With a model for each, what one
-    ticker's fit raises is its reason among the failures, and the others go on; fits are Spark jobs, one after the other,
-    so that way is for few tickers."""
+    training rows stop the growth. Targets are scaled by ticker, so tickers can be pooled. With a model for each, all are
+    fitted in one job, and what a ticker's fit raises is its reason among the failures."""
     rows, failed = splits(prices, params.train, params.target, params.lags)
-    rows = validation(rows, 0.15).persist()
+    rows = stored(validation(rows, 0.15), "splits")
+    columns, keep = columns_of(params.lags), ["prev_price", "y_mean", "y_scale", "actual_price"]
     if params.pooled:
-        return _fitted(rows, params), failed
-    tickers = [r.ticker for r in rows.select("ticker").distinct().orderBy("ticker").collect()]
-    parts, reasons = [], []
-    for t in tickers:
-        try:
-            parts.append(_fitted(rows.where(F.col("ticker") == t), params))
-        except (PySparkException, Py4JError) as error:
-            reasons.append((t, str(error).partition("\n")[0]))
-    if not parts:
-        parts = [rows.limit(0).select("ticker", F.col("target_date").alias("date"), F.lit(None).cast("double").alias("predicted"), F.col("actual_price").alias("actual"))]
-    more = prices.sparkSession.createDataFrame(reasons, "ticker string, reason string")
-    return reduce(DataFrame.unionByName, parts), failed.unionByName(more)
-
-
-def model(rows: DataFrame, params: Params = Params()):
-    """The fitted trees and the assembler of their inputs."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    gather = VectorAssembler(inputCols=[f"{n}_scaled" for n in names(params.lags)], outputCol="x")
-    trees = GBTRegressor(
-        featuresCol="x", labelCol="target_scaled", predictionCol="raw", maxIter=params.trees, maxDepth=params.depth, stepSize=params.step, subsamplingRate=params.bagging,
-        featureSubsetStrategy="0.8", seed=params.seed, validationIndicatorCol="is_validation",
-    )
-    return gather, trees.fit(gather.transform(rows.where("is_train")))
-
-
-def _fitted(rows: DataFrame, params: Params) -> DataFrame:
-    gather, fitted = model(rows, params)
-    tested = fitted.transform(gather.transform(rows.where("NOT is_train")))
+        fitted = model(rows, params, progress)
+        told = boosting.predict(rows.where("NOT is_train").select("ticker", "target_date", *keep, *columns), columns, fitted)
+    else:
+        told = stored(boosting.fit_each(rows, columns, params.trees, date="target_date", keep=keep), "forecasts")
+        failed = failed.unionByName(told.where("error IS NOT NULL").select("ticker", F.col("error").alias("reason")))
+        told = told.where("error IS NULL")
+        progress(1.0)
     price = reconstructed(unscaled("raw"), params.target)
-    return tested.select("ticker", F.col("target_date").alias("date"), price.alias("predicted"), F.col("actual_price").alias("actual"))
+    return told.select("ticker", F.col("target_date").alias("date"), price.alias("predicted"), F.col("actual_price").alias("actual")), failed
+
+
+def model(rows: DataFrame, params: Params = Params(), progress: Callable[[float], None] = lambda share: None) -> boosting.Model:
+    """The pooled model of split rows."""
+    return boosting.fit(rows.where("is_train"), columns_of(params.lags), params.trees, key=("ticker", "target_date"), progress=progress)
 
 
 def importances(rows: DataFrame, params: Params = Params()) -> dict[str, float]:
-    """The shares of the features in the trees' gains; they sum to 1."""
-    _, fitted = model(rows, params)
-    return dict(zip(names(params.lags), fitted.featureImportances.toArray().tolist()))
+    """The shares of the features in the cuts of the trees; they sum to 1."""
+    return dict(zip(names(params.lags), model(rows, params).importances().tolist()))
 
 
 @dataclass(frozen=True)

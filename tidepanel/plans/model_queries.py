@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import covariance as cov, forecast as fc, metrics as fm, performance as perf, splits as sp
+from ..operators.boosting import Settings, split_gains
 from ..operators.backtest import Config, backtest, curves, summary
 from ..operators.optimize import Constraints, efficient_set, optimize
 from ..sources.bars import ORACLE as BARS, bars, prices
@@ -70,12 +72,17 @@ def _lagged(spark, sf_dir):
 
 
 SCALED = [f"{n}_scaled" for n in (*names(), "target")]
-UNIVERSE = FEATURED + f""", u AS (SELECT *, lead(price) OVER w / price - 1 AS target, lead(date) OVER w AS target_date, price AS prev_price, lead(price) OVER w AS actual_price FROM featured WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+def universe(form) -> str:
+    """Split rows of the whole universe, each number as ``form`` puts it."""
+    return FEATURED + f""", u AS (SELECT *, lead(price) OVER w / price - 1 AS target, lead(date) OVER w AS target_date, price AS prev_price, lead(price) OVER w AS actual_price FROM featured WINDOW w AS (PARTITION BY ticker ORDER BY date)),
 v AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS seq_no, count(*) OVER (PARTITION BY ticker) AS n FROM u WHERE target IS NOT NULL AND {" AND ".join(f"{n} IS NOT NULL" for n in names())}),
 s AS (SELECT *, seq_no < ceil(n * {TRAIN}) AS is_train FROM v),
 m AS (SELECT ticker, count(*) FILTER (is_train) AS n_train, count(*) AS n_all, {", ".join(f"avg({n}) FILTER (is_train) AS m_{n}, stddev_pop({n}) FILTER (is_train) AS s_{n}" for n in (*names(), "target"))} FROM s GROUP BY ticker HAVING n_train >= {sp.LEAST_TRAIN} AND n_train < n_all)
-SELECT date, ticker, target_date, is_train, prev_price, actual_price, {", ".join(r6(f"({n} - m_{n}) / CASE WHEN s_{n} > {sp.TINY} THEN s_{n} ELSE 1 END", f"{n}_scaled") for n in (*names(), "target"))},
-{r6("m_target", "y_mean")}, {r6(f"CASE WHEN s_target > {sp.TINY} THEN s_target ELSE 1 END", "y_scale")} FROM s JOIN m USING (ticker)"""
+SELECT date, ticker, target_date, is_train, prev_price, actual_price, {", ".join(form(f"({n} - m_{n}) / CASE WHEN s_{n} > {sp.TINY} THEN s_{n} ELSE 1 END", f"{n}_scaled") for n in (*names(), "target"))},
+{form("m_target", "y_mean")}, {form(f"CASE WHEN s_target > {sp.TINY} THEN s_target ELSE 1 END", "y_scale")} FROM s JOIN m USING (ticker)"""
+
+
+UNIVERSE = universe(r6)
 
 
 @query("splits_universe", UNIVERSE)
@@ -135,7 +142,29 @@ def _metrics_summary(spark, sf_dir):
 
 @query("forecast_gbt")
 def _gbt(spark, sf_dir):
-    return rounded(fc.boosted(panel(spark, sf_dir), fc.Params())[0])
+    return rounded(fc.boosted(panel(spark, sf_dir), fc.Params(trees=Settings(trees=20)))[0])
+
+
+@query("forecast_gbt_each")
+def _gbt_each(spark, sf_dir):
+    return rounded(fc.boosted(panel(spark, sf_dir), fc.Params(pooled=False))[0])
+
+
+# The first cuts of a tree over two features at edges that SQL knows too.
+CUT = ("ret_lag_1", "mom_21")
+EDGES = (-1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5)
+GAINS = f"""WITH universe AS ({universe(lambda expr, name: f"{expr} AS {name}")}), learnt AS (SELECT * FROM universe WHERE is_train),
+base AS (SELECT avg(target_scaled) AS b FROM learnt),
+points AS ({' UNION ALL '.join(f"SELECT '{c}_scaled' AS feature, {c}_scaled AS x, b - target_scaled AS g FROM learnt, base" for c in CUT)}),
+edges AS (SELECT unnest({list(EDGES)}) AS edge, CAST(unnest(range({len(EDGES)})) AS INTEGER) AS cut),
+sides AS (SELECT feature, cut, sum(g) FILTER (x <= edge) AS gl, count(*) FILTER (x <= edge) AS nl, sum(g) FILTER (x > edge) AS gr, count(*) FILTER (x > edge) AS nr, sum(g) AS ga, count(*) AS na FROM points, edges GROUP BY ALL)
+SELECT feature, cut, {r6(' '.join(f"{sign} pow(greatest(abs({g}) - 0.1, 0), 2) / ({n} + 1)" for sign, g, n in (('', 'gl', 'nl'), ('+', 'gr', 'nr'), ('-', 'ga', 'na'))), 'gain')} FROM sides WHERE nl >= 40 AND nr >= 40"""
+
+
+@query("boosting_split_gains", GAINS)
+def _gains(spark, sf_dir):
+    rows, _ = sp.splits(panel(spark, sf_dir), TRAIN)
+    return rounded(split_gains(rows.where("is_train"), [f"{c}_scaled" for c in CUT], [np.array(EDGES)] * len(CUT), Settings()))
 
 
 # Performance.
