@@ -39,7 +39,7 @@ FACTOR = 0x9E3779B97F4A7C15
 #: Texts with one anchor from which its strings are dealt one by one.
 HOT = 5000
 #: Bytes of one suffix array.
-ARRAY = 6 << 20
+ARRAY = 2 << 20
 
 
 def encoded(text: str | None) -> bytes:
@@ -87,28 +87,35 @@ def anchors(body: np.ndarray, length: int, gram: int) -> np.ndarray:
     return least.view(np.int64)
 
 
-def suffix_classes(body: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """The rank of the ``length`` bytes at each of ``places`` among all of these, in suffix order; equal bytes have equal
-    ranks. Ranks of 8 bytes are doubled until they are long enough."""
-    padded = np.concatenate([body, np.zeros(length + 8, np.uint8)])
-    n = len(body)
+def _words_of(body: np.ndarray, places: np.ndarray, length: int) -> list[np.ndarray]:
+    """The ``length`` bytes at each place as numbers of eight bytes, the first byte weighing most; the last may overlap."""
     width = min(8, length)
-    key = np.zeros(n, np.uint64)
+    word = np.zeros(len(body) - width + 1, np.uint64)
     for i in range(width):
-        key = (key << np.uint64(8)) | padded[i : i + n]
-    if length == width:
-        return np.unique(key[places], return_inverse=True)[1].astype(np.int64)
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    while True:
-        step = min(width, length - width)
-        last = width + step == length
-        at = places if last else np.arange(n)
-        after = at + step
-        pair = (rank[at] << 32) | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        if last:
-            return rank
-        width += step
+        word <<= np.uint64(8)
+        word |= body[i : len(body) - width + 1 + i]
+    return [word[places + i] for i in (*range(0, length - width, width), length - width)]
+
+
+def suffix_classes(body: np.ndarray, places: np.ndarray, length: int, hashes: np.ndarray | None = None) -> np.ndarray:
+    """The rank of the ``length`` bytes at each of ``places`` among all of these, in suffix order; equal bytes have equal
+    ranks. ``hashes``, if they are known, spare the sorting of equal bytes: those of one hash are compared instead."""
+    if not len(places):
+        return np.zeros(0, np.int64)
+    words = _words_of(body, places, length)
+    if hashes is not None:
+        _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        if all((w == w[first][of]).all() for w in words):
+            rank = np.empty(len(first), np.int64)
+            rank[np.lexsort([w[first] for w in reversed(words)])] = np.arange(len(first))
+            return rank[of]
+    order = np.lexsort(words[::-1])
+    new = np.zeros(len(order), bool)
+    for w in words:
+        new[1:] |= w[order[1:]] != w[order[:-1]]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
 
 
 def _nearest_smaller(order: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -123,29 +130,39 @@ def _nearest_smaller(order: np.ndarray, least: np.ndarray) -> np.ndarray:
     return at
 
 
-def earlier(body: np.ndarray, places: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+def earlier(body: np.ndarray, places: np.ndarray, ids: np.ndarray, length: int, hashes: np.ndarray | None = None) -> np.ndarray:
     """Whether the ``length`` bytes at each place also start at another of the places that has a smaller id: whether the
-    longest previous factor is so long. ``places`` rise."""
-    if not len(places):
-        return np.zeros(0, bool)
-    classes = suffix_classes(body, places, length)
+    longest previous factor is so long. ``places`` rise. Places whose hash no other has are left out of the order."""
+    out = np.zeros(len(places), bool)
+    if hashes is None:
+        hashes = grams(body, length)[places]
+    order = np.argsort(hashes)
+    same = np.zeros(len(places) + 1, bool)
+    same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
+    some = np.sort(order[same[1:] | same[:-1]])
+    if not len(some):
+        return out
+    classes = suffix_classes(body, places[some], length, hashes[some])
     order = np.argsort(classes, kind="stable")
-    sorted_, values = classes[order], ids[order]
+    sorted_, values = classes[order], ids[some][order]
     edges = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]]))
     sizes = np.diff(edges)
     first, last = np.repeat(edges[:-1], sizes), np.repeat(edges[1:] - 1, sizes)
     before = _nearest_smaller(values, first) >= first
     n = len(order)
     after = (_nearest_smaller(values[::-1], (n - 1 - last)[::-1]) >= (n - 1 - last)[::-1])[::-1]
-    out = np.zeros(n, bool)
-    out[order] = before | after
+    out[some[order]] = before | after
     return out
 
 
-def _stretches(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of true."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], found.view(np.int8), [0]])))
-    return edge[::2], edge[1::2] - edge[::2]
+def runs(found: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of true start and end, the end exclusive; a run stays within one part."""
+    if not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    same = part[1:] == part[:-1]
+    starts = found & np.concatenate([[True], ~(found[:-1] & same)])
+    stops = found & np.concatenate([~(found[1:] & same), [True]])
+    return np.flatnonzero(starts), np.flatnonzero(stops) + 1
 
 
 def _first_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -164,39 +181,44 @@ def _first_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 FOUND = "t long, first long, at long, n long, key long, body binary"
 
 
-def _rows(t, first, at, n, key=None, body=None) -> pa.RecordBatch:
-    none = len(t)
-    key = pa.nulls(none, pa.int64()) if key is None else pa.array(key, pa.int64())
-    body = pa.nulls(none, pa.binary()) if body is None else pa.array(body, pa.binary())
-    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (t, first, at, n)), key, body], names=["t", "first", "at", "n", "key", "body"])
-
-
-class Array:
-    """Stretches of texts on their way into one suffix array."""
-
-    def __init__(self, length: int):
-        self.length, self.bodies, self.rows, self.size = length, [], [], 0
-
-    def add(self, body: bytes, t: int, first: int, at: int, key: object) -> None:
-        """``body`` starts at place ``at`` of text ``t``; all of its strings count."""
-        self.bodies.append(body)
-        self.rows.append((t, first, at, key))
-        self.size += len(body)
-
-    def split(self, repeats: bool = False) -> Iterator[tuple[bytes, int, int, int, object, np.ndarray]]:
-        """What was added, each with whether its strings have a match with a smaller id; with ``repeats`` instead with
-        whether they have one that was added before."""
-        if self.rows:
-            sizes = np.fromiter(map(len, self.bodies), np.int64, len(self.bodies))
-            counts = sizes - self.length + 1
-            places = ranges(offsets_of(sizes)[:-1], counts)
-            ids = places if repeats else np.repeat(np.fromiter((r[1] for r in self.rows), np.int64, len(self.rows)), counts)
-            later = earlier(np.frombuffer(b"".join(self.bodies), np.uint8), places, ids, self.length)
-            for body, row, part in zip(self.bodies, self.rows, np.split(later, np.cumsum(counts)[:-1])):
-                yield body, *row, part
-
-    def clear(self) -> None:
-        self.bodies, self.rows, self.size = [], [], 0
+class Stretches:
+    """Stretches of texts, one after another in ``body``: for each the number of its bytes, its text, the text's id, its
+    place in the text, and its key. All strings of ``length`` bytes inside a stretch count."""
+
+    def __init__(self, length: int, body=(), size=(), t=(), first=(), at=(), key=()):
+        self.length, self.body = length, np.asarray(body, np.uint8)
+        self.size, self.t, self.first, self.at, self.key = (np.asarray(x, np.int64) for x in (size, t, first, at, key))
+        self.counts = self.size - length + 1
+        self.places = ranges(offsets_of(self.size)[:-1], self.counts)
+        self.row = np.repeat(np.arange(len(self.size)), self.counts)
+        self.inside = ranges(np.zeros(len(self.size), np.int64), self.counts)
+
+    @classmethod
+    def joined(cls, length: int, parts: list["Stretches"]) -> "Stretches":
+        return cls(length, *(np.concatenate([getattr(p, c) for p in parts]) for c in ("body", "size", "t", "first", "at", "key"))) if parts else cls(length)
+
+    def hashes(self) -> np.ndarray:
+        return grams(self.body, self.length)[self.places].view(np.int64)
+
+    def rows(self, starts: np.ndarray, stops: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
+        """The strings from each start to each stop as rows, with their bytes if they have a key."""
+        row, n = self.row[starts], stops - starts
+        at = self.at[row] + self.inside[starts]
+        if key is None:
+            keys, bodies = pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.binary())
+        else:
+            sizes = n + self.length - 1
+            whole = self.body[ranges(self.places[starts], sizes)]
+            offsets = pa.py_buffer(offsets_of(sizes).astype(np.int32))
+            keys, bodies = pa.array(key, pa.int64()), pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, pa.py_buffer(whole)])
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (self.t[row], self.first[row], at, n)), keys, bodies], names=["t", "first", "at", "n", "key", "body"])
+
+    @classmethod
+    def read(cls, length: int, batch: pa.RecordBatch) -> "Stretches":
+        body = batch.column("body")
+        offsets = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1]
+        whole = np.frombuffer(body.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        return cls(length, whole, np.diff(offsets), *(batch.column(c).to_numpy() for c in ("t", "first", "at", "key")))
 
 
 def _sent(candidates: DataFrame, length: int, gram: int) -> DataFrame:
@@ -204,80 +226,81 @@ def _sent(candidates: DataFrame, length: int, gram: int) -> DataFrame:
     among the texts of the task, without a key, and the stretches left, with a key and their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = Array(length)
+        parts: list[Stretches] = []
+        marks: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            gone: list[tuple] = []
-            left: list[tuple] = []
-            for body, t, first, at, (mine, hot), later in array.split():
-                gone += [(t, first, at + a, n) for a, n in zip(*(x.tolist() for x in _stretches(later)))]
-                whole = np.frombuffer(body, np.uint8)
-                # A new stretch starts where the anchor changes, and at each string of a hot anchor.
-                new = np.ones(len(mine), bool)
-                new[1:] = (mine[1:] != mine[:-1]) | later[:-1] | hot[1:]
-                starts = np.flatnonzero(new & ~later)
-                stops = np.flatnonzero(~later & np.concatenate([new[1:] | later[1:], [True]])) + 1
-                keys = mine[starts]
-                if hot.any():
-                    lone = np.flatnonzero(hot[starts])
-                    own = grams(whole, length).view(np.int64)[starts[lone]]
-                    keys[lone] = own
-                    # A text sends a string of a hot anchor once.
-                    kept = np.ones(len(starts), bool)
-                    kept[lone] = False
-                    kept[lone[np.unique(own, return_index=True)[1]]] = True
-                    starts, stops, keys = starts[kept], stops[kept], keys[kept]
-                left += [(t, first, at + a, b - a, k, body[a : b + length - 1]) for a, b, k in zip(starts.tolist(), stops.tolist(), keys.tolist())]
-            array.clear()
-            for rows in (gone, left):
-                if rows:
-                    yield _rows(*zip(*rows))
+            array = Stretches.joined(length, parts)
+            if not len(array.places):
+                return
+            mine, hot = (np.concatenate(x) for x in zip(*marks))
+            hashes = array.hashes()
+            later = earlier(array.body, array.places, array.first[array.row], length, hashes)
+            yield array.rows(*runs(later, array.row))
+            # A new stretch starts where the anchor changes, and at each string of a hot anchor.
+            change = np.concatenate([[True], (mine[1:] != mine[:-1]) | hot[1:] | (array.row[1:] != array.row[:-1])])
+            starts, stops = runs(~later, np.cumsum(change))
+            keys = np.where(hot[starts], hashes[starts], mine[starts])
+            lone = np.flatnonzero(hot[starts])
+            if len(lone):  # a text sends a string of a hot anchor once
+                own = np.stack([array.t[array.row[starts[lone]]], keys[lone]])
+                kept = np.ones(len(starts), bool)
+                kept[lone] = False
+                kept[lone[np.unique(own, axis=1, return_index=True)[1]]] = True
+                starts, stops, keys = starts[kept], stops[kept], keys[kept]
+            yield array.rows(starts, stops, keys)
 
         for batch in batches:
             columns = zip(batch.column("t").to_pylist(), batch.column("first").to_pylist(), batch.column("text"), batch.column("hashes"), batch.column("hot"))
-            for t, first, text, hashes, hot in columns:
-                body = encoded(text.as_py())
-                mine = anchors(np.frombuffer(body, np.uint8), length, gram)
-                for a, n in zip(*(x.tolist() for x in _stretches(np.isin(mine, hashes.values.to_numpy())))):
-                    part = mine[a : a + n]
-                    array.add(body[a : a + n + length - 1], t, first, a, (part, np.isin(part, hot.values.to_numpy())))
-                if array.size > ARRAY:
+            for t, first, text, listed, hot in columns:
+                body = np.frombuffer(encoded(text.as_py()), np.uint8)
+                mine = anchors(body, length, gram)
+                found = np.isin(mine, listed.values.to_numpy())
+                starts, stops = runs(found, np.zeros(len(found), np.int8))
+                if len(starts):
+                    sizes = stops - starts + length - 1
+                    rows = np.full(len(starts), t), np.full(len(starts), first)
+                    parts.append(Stretches(length, body[ranges(starts, sizes)], sizes, *rows, starts, np.zeros(len(starts))))
+                    mine = mine[found]
+                    marks.append((mine, np.isin(mine, hot.values.to_numpy())))
+                    held += int(sizes.sum())
+                if held > ARRAY:
                     yield from done()
+                    parts, marks, held = [], [], 0
         yield from done()
 
     return candidates.select("t", "first", "text", "hashes", "hot").mapInArrow(run, FOUND)
 
 
 def _met(sent: DataFrame, length: int) -> DataFrame:
-    """``t``, ``at``, ``n``: places with an earlier match among all stretches of their key."""
+    """Places with an earlier match among all stretches of their key, without a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array, key = Array(length), None
-
-        def done(carried: object = None) -> Iterator[pa.RecordBatch]:
-            gone, first = [], []
-            for _, t, id_, at, _, later in array.split():
-                gone += [(t, id_, at + a, n) for a, n in zip(*(x.tolist() for x in _stretches(later)))]
-            # Of a group that goes on only the first copies do: rows come by id, so no later one can be earlier.
-            if carried is not None:
-                for body, t, id_, at, k, again in array.split(repeats=True):
-                    if k == carried:
-                        first += [(body[a : a + n + length - 1], t, id_, at + a, k) for a, n in zip(*(x.tolist() for x in _stretches(~again)))]
-            array.clear()
-            for row in first:
-                array.add(*row)
-            if gone:
-                yield _rows(*zip(*gone))
-
-        carry = 0
+        parts: list[Stretches] = []
+        held, carried = 0, 0
+
+        def done() -> tuple[pa.RecordBatch, Stretches]:
+            array = Stretches.joined(length, parts)
+            hashes = array.hashes()
+            gone = array.rows(*runs(earlier(array.body, array.places, array.first[array.row], length, hashes), array.row))
+            # The last key may go on. Of it only the first copies do: rows come by id, so no later one can be earlier.
+            last = np.flatnonzero(array.key[array.row] == array.key[-1])
+            left = np.zeros(len(array.places), bool)
+            left[last] = ~earlier(array.body, array.places[last], last, length, hashes[last])
+            starts, stops = runs(left, array.row)
+            return gone, Stretches.read(length, array.rows(starts, stops, array.key[array.row[starts]]))
+
         for batch in batches:
-            for t, first, at, k, body in zip(*(batch.column(c).to_pylist() for c in ("t", "first", "at", "key", "body"))):
-                if array.size > ARRAY + carry:
-                    yield from done(k if k == key else None)
-                    carry = array.size
-                key = k
-                array.add(body, t, first, at, k)
-        yield from done()
+            if batch.num_rows:
+                parts.append(Stretches.read(length, batch))
+                held += len(parts[-1].body)
+            if held > ARRAY + carried:
+                gone, rest = done()
+                yield gone
+                parts, held, carried = [rest], len(rest.body), len(rest.body)
+        if parts:
+            yield done()[0]
 
     rows = sent.where("key IS NOT NULL").repartition("key").sortWithinPartitions("key", "first")
     return rows.mapInArrow(run, FOUND)
@@ -304,7 +327,7 @@ def _cut(texts: DataFrame, length: int, kept: str, digest: bool) -> DataFrame:
                 out = places[stay].tobytes()
                 sizes.append(len(body))
                 removed.append(len(body) - len(out))
-                spans.append(len(_stretches(~stay)[0]))
+                spans.append(len(runs(~stay, np.zeros(len(stay), np.int8))[0]))
                 left.append(hashlib.sha256(out).hexdigest() if digest else out)
             kind = pa.string() if digest else pa.binary()
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("first"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(left, kind)], names=["digest", "first", "n_bytes", "n_removed", "n_spans", kept])
