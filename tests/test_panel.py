@@ -78,7 +78,9 @@ def test_store_upserts(spark, prices, tmp_path):
     "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT `java_method`('java.lang.System', 'exit', 1)", "SELECT 1 WHERE try_reflect('a', 'b') = 'x'", "SELECT builtin.reflect('a', 'b')",
     "SELECT (SELECT max(reflect('a', 'b')))", "WITH a AS (SELECT reflect('a', 'b') x) SELECT * FROM a", "SELECT 1 WHERE EXISTS (SELECT reflect('a', 'b'))", "SELECT x FROM VALUES (1) AS t(x) ORDER BY reflect('a', 'b')",
     "SELECT rank() OVER w FROM VALUES (1) AS t(x) WINDOW w AS (ORDER BY reflect('a', 'b'))", "SELECT * FROM VALUES (reflect('a', 'b')) AS t(x)", "SELECT transform(array(1), x -> reflect('a', 'b'))", "SELECT 1 LIMIT length(reflect('a', 'b'))",
-    "SELECT x FROM VALUES (1) AS t(x) LATERAL VIEW explode(array(reflect('a', 'b'))) e", "SELECT * FROM VALUES (1) AS t(x), LATERAL (SELECT reflect('a', 'b'))", "SELECT input_file_name()", "SELECT x FROM VALUES (1) AS t(x) WHERE x IN (SELECT reflect('a', 'b'))"])
+    "SELECT x FROM VALUES (1) AS t(x) LATERAL VIEW explode(array(reflect('a', 'b'))) e", "SELECT * FROM VALUES (1) AS t(x), LATERAL (SELECT reflect('a', 'b'))", "SELECT input_file_name()", "SELECT x FROM VALUES (1) AS t(x) WHERE x IN (SELECT reflect('a', 'b'))",
+    "SELECT identifier('reflect')('java.lang.System', 'getProperty', 'user.home')", "SELECT identifier('java_method')('java.lang.Math', 'abs', -5)", "SELECT 1 WHERE identifier('ref' || 'lect')('a', 'b') = 'x'", "SELECT * FROM identifier('prices')",
+    "SELECT identifier('current_user')()", "SELECT transform(array(1), x -> identifier('reflect')('a', 'b'))", "SELECT sum(identifier('java_method')('a', 'b')) OVER w FROM VALUES (1) AS t(x) WINDOW w AS (ORDER BY x)", "SELECT size(sequence(1, 1000000000))"])
 def test_guard_refuses(spark, query):
     with pytest.raises(Exception) as error:
         sql.guarded(spark, query)
@@ -86,11 +88,18 @@ def test_guard_refuses(spark, query):
 
 
 @pytest.mark.parametrize("query", ["SELECT 'create; drop' AS x", "WITH a AS (SELECT 1 AS x) SELECT * FROM a", "SELECT x, rank() OVER (ORDER BY x) r FROM VALUES (1), (2) AS t(x) WHERE x IN (SELECT 1) ORDER BY x LIMIT 1", "(SELECT 1) UNION (SELECT 2)", "SELECT sum(x) OVER w AS s, date_add(DATE '2020-01-01', 1) AS d, CAST(x AS STRING) AS t FROM VALUES (1) AS t(x) WINDOW w AS (ORDER BY x)",
-    "SELECT x, count(*) AS n, max(y) AS y FROM VALUES (1, 2) AS t(x, y) WHERE EXISTS (SELECT 1) GROUP BY x HAVING count(*) > 0"])
+    "SELECT x, count(*) AS n, max(y) AS y FROM VALUES (1, 2) AS t(x, y) WHERE EXISTS (SELECT 1) GROUP BY x HAVING count(*) > 0",
+    "SELECT t.*, CASE WHEN x BETWEEN 1 AND 2 THEN 'a' ELSE 'b' END AS c, y[0] AS y0, -x AS m FROM VALUES (1, array(2)) AS t(x, y) WHERE x IS NOT NULL", "SELECT x, e FROM VALUES (1) AS t(x) LATERAL VIEW explode(array(1, 2)) v AS e", "SELECT DATE '2020-01-31' + INTERVAL 1 DAY AS d, try_divide(1, 0) AS q, count(DISTINCT x) AS n FROM VALUES (1) AS t(x) GROUP BY ALL"])
 def test_guard_lets_reading_pass(spark, query):
     assert sql.guarded(spark, query)[0].count() >= 1
 
 
+def test_guard_stops_what_takes_too_long(spark):
+    with pytest.raises(ValueError, match="took more than"):
+        sql.guarded(spark, "SELECT count(*) FROM range(1000000000000000) WHERE sin(id) > 2", seconds=3)
+    assert sql.guarded(spark, "SELECT 1 AS x")[0].first().x == 1
+
+
 def test_market(spark, prices, tmp_path):
     market = Market(spark)
     a = market.prices(["aaa", "BBB", "AAA"], date(2018, 1, 1), date(2018, 3, 1))

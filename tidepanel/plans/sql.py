@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import ParseException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 #: The parsed plans that a query may be made of; anything else writes, changes or isn't known.
@@ -40,18 +43,25 @@ def vintage_tags(bars: DataFrame, tickers: Sequence[str]) -> DataFrame:
 SUBQUERIES = frozenset("ScalarSubquery Exists ListQuery LateralSubquery FunctionTableSubqueryArgumentExpression".split())
 #: The functions that a query may call. What isn't named here may reach out of the data.
 FUNCTIONS = frozenset(
-    """abs any any_value approx_count_distinct approx_percentile array array_agg array_contains array_distinct array_max array_min array_size avg bool_and bool_or bround
+    """abs any any_value approx_count_distinct approx_percentile array array_agg array_contains array_distinct array_max array_min array_size avg between bool_and bool_or bround
     cast ceil ceiling char_length coalesce collect_list collect_set concat concat_ws corr cos count count_if covar_pop covar_samp cume_dist current_date current_timestamp
-    date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dayofyear degrees dense_rank double e every exp explode explode_outer extract
-    first first_value floor format_number from_unixtime greatest grouping grouping_id hour if ifnull int isnan isnotnull isnull kurtosis lag last last_day last_value lead
-    least left length ln log log10 log2 lower lpad ltrim make_date max max_by mean median min min_by minute mod mode month months_between named_struct nanvl negative
-    next_day now nth_value ntile nullif nvl nvl2 percent_rank percentile percentile_approx pi pmod posexplode pow power quarter radians range rank regexp_extract
-    regexp_like regexp_replace regr_count regr_intercept regr_r2 regr_slope replace right rlike round row_number rpad rtrim second sequence shiftleft shiftright sign signum
+    date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dayofyear degrees dense_rank div double e element_at every exp explode explode_outer extract
+    first first_value floor format_number from_unixtime greatest grouping grouping_id hour if ifnull ilike int isnan isnotnull isnull kurtosis lag last last_day last_value lead
+    least left length like ln log log10 log2 lower lpad ltrim make_date max max_by mean median min min_by minute mod mode month months_between named_struct nanvl negative
+    next_day now nth_value ntile nullif nvl nvl2 percent_rank percentile percentile_approx pi pmod posexplode positive pow power quarter radians range rank regexp_extract
+    regexp_like regexp_replace regr_count regr_intercept regr_r2 regr_slope replace right rlike round row_number rpad rtrim second shiftleft shiftright sign signum
     sin size skewness slice sort_array split split_part sqrt std stddev stddev_pop stddev_samp string struct substr substring sum tan timestamp to_date to_timestamp trim
     trunc try_avg try_cast try_divide try_sum unix_timestamp upper var_pop var_samp variance weekday weekofyear when width_bucket window year""".split()
 )
 
 
+#: What the parser leaves to be resolved and may stand in a query; anything else that is unresolved, such as
+#: a function or table whose name is an expression, is refused.
+UNRESOLVED = frozenset("UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedStar UnresolvedWindowExpression NamedParameter PosParameter MultiAlias".split())
+#: Parts of the names of resolved expressions that run code of other classes.
+FOREIGN = ("Reflect", "UDF", "UserDefined", "PythonUDTF", "HiveSimple", "HiveGeneric", "ApplyFunctionExpression")
+
+
 def _nodes(plan):
     yield plan
     if plan.nodeName() in ("CTE", "UnresolvedWith"):
@@ -85,7 +95,7 @@ def _calls(plan):
                 todo += _listed(e.arguments())
             elif kind == "UnresolvedGenerator":
                 yield e.name().unquotedString()
-            elif "Reflect" in kind or kind.endswith("UDF"):
+            elif any(f in kind for f in FOREIGN) or ".analysis." in e.getClass().getName() and kind not in UNRESOLVED:
                 yield kind
             elif kind in SUBQUERIES:
                 yield from _calls(e.plan())
@@ -106,8 +116,25 @@ def read_only(spark: SparkSession, query: str) -> None:
             raise ValueError(f"the function {name} is not among those that queries may call")
 
 
-def guarded(spark: SparkSession, query: str, limit: int = 1000) -> tuple[DataFrame, bool]:
-    """The first ``limit`` rows, dates and timestamps as ISO strings, and whether there are more: of one execution."""
+def resolved_only(frame: DataFrame) -> None:
+    """Raises ValueError if the resolved plan calls code of other classes, by whatever name it was called."""
+    todo = [frame._jdf.queryExecution().analyzed()]
+    while todo:
+        for node in _nodes(todo.pop()):
+            expressions = _listed(node.expressions())
+            while expressions:
+                e = expressions.pop()
+                kind = e.getClass().getSimpleName()
+                if any(f in kind for f in FOREIGN):
+                    raise ValueError(f"the query calls code of its own: {kind}")
+                if kind in SUBQUERIES:
+                    todo.append(e.plan())
+                expressions += _listed(e.children())
+
+
+def guarded(spark: SparkSession, query: str, limit: int = 1000, seconds: float = 300.0) -> tuple[DataFrame, bool]:
+    """The first ``limit`` rows, dates and timestamps as ISO strings, and whether there are more: of one execution, which
+    is cancelled after ``seconds``, with a ValueError."""
     read_only(spark, query)
     files = spark.conf.get("spark.sql.runSQLOnFiles")
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
@@ -117,8 +144,26 @@ def guarded(spark: SparkSession, query: str, limit: int = 1000) -> tuple[DataFra
         raise ValueError(str(error)) from error
     finally:
         spark.conf.set("spark.sql.runSQLOnFiles", files)
+    resolved_only(frame)
     shown = iso(frame)
-    rows = shown.take(limit + 1)
+    tag, late = f"guarded-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    clock = threading.Timer(seconds, stop)
+    spark.sparkContext.addJobTag(tag)
+    clock.start()
+    try:
+        rows = shown.take(limit + 1)
+    except (Py4JJavaError, PySparkException) as error:
+        if late.is_set():
+            raise ValueError(f"the query took more than {seconds:g} seconds") from error
+        raise
+    finally:
+        clock.cancel()
+        spark.sparkContext.removeJobTag(tag)
     return spark.createDataFrame(rows[:limit], shown.schema), len(rows) > limit
 
 
