@@ -3,8 +3,8 @@
 Between two trades nothing depends on the day before but growth: with target weights w and each asset's growth G since
 the trade, the portfolio is worth V = sum(wG), earns V / V_before - 1, and holds wG / V. So drift, gross returns, turnover
 and costs of all strategies and all holding periods are window aggregates; only solvers run in groups, one for each
-rebalance and strategy. Where turnover is limited a solution depends on the holdings before it, and each strategy walks
-through its rebalances in one group.
+rebalance, over means and covariances that windows which overlap share the sums of. Where turnover is limited a solution
+depends on the holdings before it, and each strategy walks through its rebalances in one group.
 
 What later steps read more than once, the rows of the shared calendar, the targets and the days that they are held, is
 written once as a table in the shared folder, so no plan holds another's.
@@ -13,7 +13,7 @@ written once as a table in the shared folder, so no plan holds another's.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..shared import drop, stored
 from ..sources.frames import aligned
-from .optimize import FREE, STRATEGIES, Constraints, optimize, solve
+from .moments import comoves, window_moments
+from .optimize import BY_GERBER, BY_RETURNS, FREE, STRATEGIES, Constraints, Known, optimize, solve, square
 from .performance import PERIODS, growth, performance
 
 
@@ -116,31 +117,62 @@ def walk(rows: DataFrame, targets: DataFrame, c: Config, messages: DataFrame | N
     return Result(daily, trades.drop("k"), dated, warnings, (rows, days, trades))
 
 
-def _limited(rows: DataFrame, c: Config, strategies: list[str], constraints: Constraints, rf: float) -> DataFrame:
-    """Targets where turnover is limited: one group for each strategy. The opening trade is free."""
+TARGETS = "k int, strategy string, ticker string, weight double, warning string"
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        strategy = part["strategy"].iloc[0]
+
+def _walked(strategy: str, steps: Iterable[tuple[int, Known, np.ndarray]], assets: list[str], constraints: Constraints, rf: float) -> pd.DataFrame:
+    """The targets of a strategy, each within reach of what is held before it; a step is its number, what is known, and the
+    growth of each asset until the next. The opening trade is free."""
+    held, out = None, []
+    for k, known, growth_ in steps:
+        limits = replace(constraints, max_turnover=None) if held is None else replace(constraints, previous=dict(zip(assets, held)))
+        w, warnings = solve(strategy, known, assets, limits, rf)
+        told = json.dumps(warnings) if warnings else None
+        if w is not None:
+            out.append(pd.DataFrame({"k": k, "strategy": strategy, "ticker": assets, "weight": w, "warning": told}))
+        else:
+            out.append(pd.DataFrame({"k": [k], "strategy": [strategy], "ticker": [None], "weight": [np.nan], "warning": [told]}))
+        held = w if w is not None else held
+        if held is None:
+            break
+        grown = held * growth_
+        held = grown / grown.sum() if abs(grown.sum()) > 1e-12 else grown
+    return pd.concat(out)
+
+
+def _limited(rows: DataFrame, c: Config, last: int, strategies: list[str], constraints: Constraints, rf: float) -> list[DataFrame]:
+    """Targets where turnover is limited: one group for each strategy, which holds the moments of each window and the
+    growth of each asset from rebalance to rebalance. Only strategies of tails get the returns."""
+
+    def on_returns(part: pd.DataFrame) -> pd.DataFrame:
         wide = part.pivot(index="idx", columns="ticker", values="return").sort_index()
-        r, assets = wide.to_numpy(), list(wide.columns)
-        held, out = None, []
-        for k, t in enumerate(range(c.lookback, len(r), c.every)):
-            limits = replace(constraints, max_turnover=None) if held is None else replace(constraints, previous=dict(zip(assets, held)))
-            w, warnings = solve(strategy, r[t - c.lookback : t], assets, limits, rf)
-            told = json.dumps(warnings) if warnings else None
-            if w is not None:
-                out.append(pd.DataFrame({"k": k, "strategy": strategy, "ticker": assets, "weight": w, "warning": told}))
-            else:
-                out.append(pd.DataFrame({"k": [k], "strategy": [strategy], "ticker": [None], "weight": [np.nan], "warning": [told]}))
-            held = w if w is not None else held
-            if held is None:
-                break
-            grown = held * np.prod(1 + r[t : t + c.every], axis=0)
-            held = grown / grown.sum() if abs(grown.sum()) > 1e-12 else grown
-        return pd.concat(out)
-
-    some = rows.withColumn("strategy", F.explode(F.array(*map(F.lit, strategies))))
-    return some.groupBy("strategy").applyInPandas(run, "k int, strategy string, ticker string, weight double, warning string")
+        r = wide.to_numpy()
+        steps = ((k, Known(returns=r[t - c.lookback : t]), np.prod(1 + r[t : t + c.every], axis=0)) for k, t in enumerate(range(c.lookback, len(r), c.every)))
+        return _walked(part["strategy"].iloc[0], steps, list(wide.columns), constraints, rf)
+
+    def on_moments(facts: pd.DataFrame, growths: pd.DataFrame) -> pd.DataFrame:
+        growths = growths.pivot(index="k", columns="ticker", values="growth").sort_index()
+
+        def steps() -> Iterator[tuple[int, Known, np.ndarray]]:
+            for k, part in facts.groupby("k"):
+                cov, _ = square(part, "cov")
+                mu = part.groupby("i")["mean"].first().sort_index().to_numpy()
+                yield int(k), Known(mu, cov, square(part, "gerber")[0].astype(float)), growths.loc[k].to_numpy()
+
+        return _walked(facts["strategy"].iloc[0], steps(), list(growths.columns), constraints, rf)
+
+    parts = []
+    if whole := [s for s in strategies if s in BY_RETURNS]:
+        some = rows.withColumn("strategy", F.explode(F.array(*map(F.lit, whole))))
+        parts.append(some.groupBy("strategy").applyInPandas(on_returns, TARGETS))
+    if rest := [s for s in strategies if s not in BY_RETURNS]:
+        facts = window_moments(rows, c.lookback, c.every, last).withColumn("k", F.col("k").cast("int"))
+        signs = comoves(estimation(rows, c, last), ("k",)) if BY_GERBER & set(rest) else None
+        facts = facts.join(signs, ["k", "i", "j"]) if signs is not None else facts.withColumn("gerber", F.lit(None).cast("double"))
+        grown = rows.where(F.col("idx") >= c.lookback).groupBy(F.floor((F.col("idx") - c.lookback) / F.lit(float(c.every))).cast("int").alias("k"), "ticker").agg(F.product(1 + F.col("return")).alias("growth"))
+        of = lambda frame: frame.withColumn("strategy", F.explode(F.array(*map(F.lit, rest)))).groupBy("strategy")
+        parts.append(of(facts).cogroup(of(grown)).applyInPandas(on_moments, TARGETS))
+    return parts
 
 
 def backtest(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), c: Config = Config(), constraints: Constraints = FREE, rf: float = 0.0, progress: Callable[[str, int, int], None] = lambda step, done, of: None) -> Result:
@@ -160,9 +192,10 @@ def backtest(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES),
     parts = [plain[n](windows).withColumn("warning", F.lit(None).cast("string")) for n in names if n in plain]
     solver = [n for n in names if n not in plain]
     if solver and constraints.max_turnover is not None:
-        parts.append(_limited(rows, c, solver, constraints, rf))
+        parts += _limited(rows, c, facts["last"], solver, constraints, rf)
     elif solver:
-        parts.append(optimize(windows.select("k", "date", "ticker", "return"), solver, constraints, rf, by="k"))
+        known = window_moments(rows, c.lookback, c.every, facts["last"])
+        parts.append(optimize(windows.select("k", "date", "ticker", "return"), solver, constraints, rf, by="k", known=known))
     columns = (F.col("k").cast("int").alias("k"), "strategy", "ticker", "weight", "warning")
     found = parts[0].select(*columns)
     for p in parts[1:]:

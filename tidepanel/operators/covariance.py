@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -9,23 +11,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..sources.frames import aligned
 
 
-def means(returns: DataFrame) -> DataFrame:
-    return returns.groupBy("ticker").agg(F.avg("return").alias("mean"))
+def means(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return returns.groupBy(*by, "ticker").agg(F.avg("return").alias("mean"))
 
 
 #: Tickers of a slice, and days of a stretch, that are multiplied in one group.
 SLICE, STRETCH = 256, 1024
 
 
-def products(panel: DataFrame, column: str) -> DataFrame:
-    """``i, j, product, dates``: the sum of the products of two tickers over the dates of an aligned panel, for all pairs.
+def products(panel: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """``i, j, product, dates``: the sum of the products of two tickers over the dates of an aligned panel, for all pairs of
+    each group of ``by``.
 
     Tickers are dealt to slices and dates to stretches; each group multiplies two slices over one stretch as matrices,
     so rows are copied once for each slice, not for each ticker."""
-    tickers = Window.partitionBy("date").orderBy("ticker")
-    numbered = panel.select("date", "ticker", F.col(column).cast("double").alias("x"), F.floor((F.row_number().over(tickers) - 1) / SLICE).alias("slice"), F.floor((F.count("*").over(Window.partitionBy("date")) - 1) / SLICE).alias("last"))
+    tickers = Window.partitionBy(*by, "date").orderBy("ticker")
+    numbered = panel.select(*by, "date", "ticker", F.col(column).cast("double").alias("x"), F.floor((F.row_number().over(tickers) - 1) / SLICE).alias("slice"), F.floor((F.count("*").over(Window.partitionBy(*by, "date")) - 1) / SLICE).alias("last"))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda other: F.struct(F.least("slice", other).alias("low"), F.greatest("slice", other).alias("high")))
-    rows = numbered.select("date", "ticker", "x", "slice", F.floor(F.unix_date(F.col("date").cast("date")) / STRETCH).alias("stretch"), F.explode(pair).alias("p"))
+    rows = numbered.select(*by, "date", "ticker", "x", "slice", F.floor(F.unix_date(F.col("date").cast("date")) / STRETCH).alias("stretch"), F.explode(pair).alias("p"))
 
     def multiply(group: pd.DataFrame) -> pd.DataFrame:
         one, both = group["slice"].min(), group["slice"].nunique() > 1
@@ -38,32 +41,33 @@ def products(panel: DataFrame, column: str) -> DataFrame:
         left, right = np.flatnonzero(low), np.flatnonzero(~low if both else low)
         product = x[:, left].T @ x[:, right]
         i, j = np.repeat(names[left], len(right)), np.tile(names[right], len(left))
-        out = pd.DataFrame({"i": i, "j": j, "product": product.ravel(), "dates": len(days)})
+        out = pd.DataFrame({**{c: group[c].iloc[0] for c in by}, "i": i, "j": j, "product": product.ravel(), "dates": len(days)})
         return pd.concat([out, out.rename(columns={"i": "j", "j": "i"})[out.columns]]) if both else out
 
-    parts = rows.groupBy("stretch", "p.low", "p.high").applyInPandas(multiply, "i string, j string, product double, dates long")
-    return parts.groupBy("i", "j").agg(F.sum("product").alias("product"), F.sum("dates").alias("dates"))
+    kinds = "".join(f"{c} {panel.schema[c].dataType.simpleString()}, " for c in by)
+    parts = rows.groupBy(*by, "stretch", "p.low", "p.high").applyInPandas(multiply, kinds + "i string, j string, product double, dates long")
+    return parts.groupBy(*by, "i", "j").agg(F.sum("product").alias("product"), F.sum("dates").alias("dates"))
 
 
-def covariance(returns: DataFrame) -> DataFrame:
-    """``i, j, cov``: sample covariance over the dates on which every ticker has a return."""
-    whole = aligned(returns, "return")
-    centred = whole.withColumn("apart", F.col("return") - F.avg("return").over(Window.partitionBy("ticker")))
-    return products(centred, "apart").select("i", "j", F.try_divide("product", F.col("dates") - 1).alias("cov"))
+def covariance(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``i, j, cov``: sample covariance over the dates on which every ticker has a return; of each group of ``by``."""
+    whole = aligned(returns, "return", by)
+    centred = whole.withColumn("apart", F.col("return") - F.avg("return").over(Window.partitionBy(*by, "ticker")))
+    return products(centred, "apart", by).select(*by, "i", "j", F.try_divide("product", F.col("dates") - 1).alias("cov"))
 
 
-def gerber(returns: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``i, j, cov``: moves beyond ``threshold`` deviations count, together for and apart against."""
+def gerber(returns: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """``i, j, cov``: moves beyond ``threshold`` deviations count, together for and apart against; of each group of ``by``."""
     deviation = F.stddev_samp("return")
-    whole = aligned(returns, "return").withColumn("sd", deviation.over(Window.partitionBy("ticker")))
+    whole = aligned(returns, "return", by).withColumn("sd", deviation.over(Window.partitionBy(*by, "ticker")))
     sign = F.when(F.col("return") >= threshold * F.col("sd"), 1).when(F.col("return") <= -threshold * F.col("sd"), -1).otherwise(0)
-    sds = whole.groupBy("ticker").agg(deviation.alias("sd_i"))
-    joint = products(whole.withColumn("sign", sign), "sign").join(sds, F.col("i") == F.col("ticker")).select("i", "j", F.col("product").alias("h"), "sd_i")
+    sds = whole.groupBy(*by, F.col("ticker").alias("i")).agg(deviation.alias("sd_i"))
+    joint = products(whole.withColumn("sign", sign), "sign", by).join(sds, [*by, "i"]).select(*by, "i", "j", F.col("product").alias("h"), "sd_i")
     # What the diagonal says of a row's tickers, without making the products again.
-    diagonal = lambda column, end: F.max(F.when(F.col("i") == F.col("j"), F.col(column))).over(Window.partitionBy(end))
+    diagonal = lambda column, end: F.max(F.when(F.col("i") == F.col("j"), F.col(column))).over(Window.partitionBy(*by, end))
     scaled = joint.withColumns({"h_i": diagonal("h", "i"), "h_j": diagonal("h", "j"), "sd_j": diagonal("sd_i", "j")})
     share = F.coalesce(F.try_divide(F.col("h"), F.sqrt(F.col("h_i") * F.col("h_j"))), (F.col("i") == F.col("j")).cast("double"))
-    return scaled.select("i", "j", (share * F.col("sd_i") * F.col("sd_j")).alias("cov"))
+    return scaled.select(*by, "i", "j", (share * F.col("sd_i") * F.col("sd_j")).alias("cov"))
 
 
 def inverse_variance(cov: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -199,29 +200,42 @@ def _unbounded(name: str, c: Constraints, warnings: list[str]) -> None:
         warnings.append(f"{name} does not take constraints; they were left aside")
 
 
-def _parity(r, mu, cov, assets, c, rf, warnings):
+@dataclass
+class Known:
+    """What a solver may know of a group: means and covariances, Gerber covariances, or the returns."""
+
+    mu: np.ndarray | None = None
+    cov: np.ndarray | None = None
+    gerber: np.ndarray | None = None
+    returns: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, returns: np.ndarray) -> "Known":
+        return cls(returns.mean(0), np.atleast_2d(np.cov(returns.T)), gerber(returns), returns)
+
+
+def _parity(k, assets, c, rf, warnings):
     _unbounded("RiskParity", c, warnings)
-    w = risk_parity(cov)
-    if np.abs(risk_shares(w, cov) - 1 / len(w)).max() > 1e-5:
+    w = risk_parity(k.cov)
+    if np.abs(risk_shares(w, k.cov) - 1 / len(w)).max() > 1e-5:
         warnings.append("RiskParity: shares of risk are not equal")
     return w
 
 
 def _free(name: str, solve: Callable):
-    def run(r, mu, cov, assets, c, rf, warnings):
+    def run(k, assets, c, rf, warnings):
         _unbounded(name, c, warnings)
-        return solve(r, cov)
+        return solve(k)
 
     return run
 
 
-def _gerber_hrp(r, cov):
-    g = gerber(r)
-    return hierarchical(g, lambda at, w: w @ g[np.ix_(at, at)] @ w, np.diag(g))
+def _gerber_hrp(k):
+    return hierarchical(k.gerber, lambda at, w: w @ k.gerber[np.ix_(at, at)] @ w, np.diag(k.gerber))
 
 
-def _inverse(r, cov):
-    inverse = 1 / np.diag(gerber(r))
+def _inverse(k):
+    inverse = 1 / np.diag(k.gerber)
     return inverse / inverse.sum()
 
 
@@ -231,25 +245,27 @@ def _wide(c: Constraints) -> Constraints:
 
 #: The strategies' names.
 STRATEGIES: dict[str, Callable] = {
-    "Markowitz_MaxSharpe": lambda r, mu, cov, assets, c, rf, warnings: max_sharpe(mu, cov, assets, c, rf),
-    "Markowitz_MinVar": lambda r, mu, cov, assets, c, rf, warnings: min_variance(cov, assets, c),
+    "Markowitz_MaxSharpe": lambda k, assets, c, rf, warnings: max_sharpe(k.mu, k.cov, assets, c, rf),
+    "Markowitz_MinVar": lambda k, assets, c, rf, warnings: min_variance(k.cov, assets, c),
     "RiskParity": _parity,
-    "GMV": lambda r, mu, cov, assets, c, rf, warnings: min_variance(cov, assets, _wide(c)),
-    "HRP": _free("HRP", lambda r, cov: hrp(cov)),
-    "HRP_CVaR": _free("HRP_CVaR", lambda r, cov: hrp_cvar(r)),
+    "GMV": lambda k, assets, c, rf, warnings: min_variance(k.cov, assets, _wide(c)),
+    "HRP": _free("HRP", lambda k: hrp(k.cov)),
+    "HRP_CVaR": _free("HRP_CVaR", lambda k: hrp_cvar(k.returns)),
     "Gerber_InvVar": _free("Gerber_InvVar", _inverse),
     "Gerber_HRP": _free("Gerber_HRP", _gerber_hrp),
-    "MinCVaR": lambda r, mu, cov, assets, c, rf, warnings: min_cvar(r, assets, c),
-    "MinCDaR": lambda r, mu, cov, assets, c, rf, warnings: min_cdar(r, assets, c),
+    "MinCVaR": lambda k, assets, c, rf, warnings: min_cvar(k.returns, assets, c),
+    "MinCDaR": lambda k, assets, c, rf, warnings: min_cdar(k.returns, assets, c),
 }
+#: What each strategy has to know; the others get means and covariances.
+BY_GERBER, BY_RETURNS, BY_TAIL = frozenset({"Gerber_InvVar", "Gerber_HRP"}), frozenset({"HRP_CVaR", "MinCVaR", "MinCDaR"}), frozenset({"MinCVaR", "MinCDaR"})
+TOO_FEW = "needs two assets and two dates"
 
 
-def solve(strategy: str, returns: np.ndarray, assets: list[str], c: Constraints = FREE, rf: float = 0.0) -> tuple[np.ndarray | None, list[str]]:
+def solve(strategy: str, known: Known | np.ndarray, assets: list[str], c: Constraints = FREE, rf: float = 0.0) -> tuple[np.ndarray | None, list[str]]:
     """Weights, or none, and what went wrong or was left aside; a failure never stops other strategies."""
     warnings: list[str] = []
     try:
-        mu, cov = returns.mean(0), np.atleast_2d(np.cov(returns.T))
-        w = STRATEGIES[strategy](returns, mu, cov, assets, c, rf, warnings)
+        w = STRATEGIES[strategy](known if isinstance(known, Known) else Known.of(known), assets, c, rf, warnings)
         if len(w) != len(assets) or not np.isfinite(w).all():
             raise Infeasible("the weights are not finite")
         return w, warnings
@@ -257,7 +273,7 @@ def solve(strategy: str, returns: np.ndarray, assets: list[str], c: Constraints
         return None, [*warnings, f"{strategy}: {error}"]
 
 
-WEIGHTS = "{by} string, strategy string, ticker string, weight double, warning string"
+WEIGHTS = "grp string, strategy string, ticker string, weight double, warning string"
 
 
 def matrix(group: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
@@ -266,37 +282,107 @@ def matrix(group: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
     return wide.to_numpy(), list(wide.columns)
 
 
-def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), constraints: Constraints = FREE, rf: float = 0.0, by: str | None = None) -> DataFrame:
-    """``strategy, ticker, weight, warning`` for each group of ``by``: the strategies of a group are solved in one
-    task; without ``by`` each strategy in one of its own.
+def square(group: pd.DataFrame, column: str) -> tuple[np.ndarray, list[str]]:
+    """A matrix from its rows ``i``, ``j`` and the column, tickers in order."""
+    wide = group.pivot(index="i", columns="j", values=column).sort_index()
+    return wide[list(wide.index)].to_numpy(), list(wide.index)
 
-    ``returns`` holds ``date, ticker, return``. A strategy that fails has one row, without ticker and weight.
-    """
-    names = list(strategies)
-    if unknown := set(names) - STRATEGIES.keys():
-        raise ValueError(f"unknown strategies: {sorted(unknown)}")
-    if by is None:  # one panel: its strategies are what can be dealt
-        rows = returns.select(F.lit("all").alias("grp"), "date", "ticker", "return", F.explode(F.array(*map(F.lit, names))).alias("own"))
-    else:
-        rows = returns.select(F.col(by).cast("string").alias("grp"), "date", "ticker", "return", F.lit("all").alias("own"))
+
+def told(grp, strategy: str, w: np.ndarray | None, assets: list[str], warnings: list[str]) -> pd.DataFrame:
+    text = json.dumps(warnings) if warnings else None
+    if w is None:
+        return pd.DataFrame({"grp": [grp], "strategy": [strategy], "ticker": [None], "weight": [np.nan], "warning": [text]})
+    return pd.DataFrame({"grp": grp, "strategy": strategy, "ticker": assets, "weight": w, "warning": text})
+
+
+def by_moments(part: pd.DataFrame) -> tuple[Known, list[str], bool]:
+    """What the rows of ``moments`` say of a group; false if its dates or assets are too few."""
+    cov, assets = square(part, "cov")
+    return Known(part.groupby("i")["mean"].first().sort_index().to_numpy(), cov), assets, len(assets) > 1 and int(part["dates"].iloc[0]) > 1
+
+
+def by_gerber(part: pd.DataFrame) -> tuple[Known, list[str], bool]:
+    g, assets = square(part, "gerber")
+    return Known(gerber=g), assets, len(assets) > 1 and bool(np.isfinite(np.diag(g).astype(float)).all())
+
+
+def by_returns(part: pd.DataFrame) -> tuple[Known, list[str], bool]:
+    r, assets = matrix(part)
+    fits = min(r.shape) > 1
+    return Known(returns=r), assets, fits
+
+
+def _solved(rows: DataFrame, names: list[str], read: Callable, split: bool, constraints: Constraints, rf: float) -> DataFrame:
+    """The strategies of each ``grp`` in one task, or with ``split`` each in one of its own."""
+    if not names:
+        return rows.sparkSession.createDataFrame([], WEIGHTS)
+    rows = rows.withColumn("own", F.explode(F.array(*map(F.lit, names))) if split else F.lit("all"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         own, grp = part["own"].iloc[0], part["grp"].iloc[0]
-        r, assets = matrix(part)
+        known, assets, fits = read(part)
         out = []
         for strategy in names if own == "all" else [own]:
-            if r.shape[0] < 2 or r.shape[1] < 2:
-                w, warnings = None, [f"{strategy}: needs two assets and two dates"]
-            else:
-                w, warnings = solve(strategy, r, assets, constraints, rf)
-            told = json.dumps(warnings) if warnings else None
-            if w is None:
-                out.append(pd.DataFrame({"grp": [grp], "strategy": [strategy], "ticker": [None], "weight": [np.nan], "warning": [told]}))
-            else:
-                out.append(pd.DataFrame({"grp": grp, "strategy": strategy, "ticker": assets, "weight": w, "warning": told}))
+            w, warnings = solve(strategy, known, assets, constraints, rf) if fits else (None, [f"{strategy}: {TOO_FEW}"])
+            out.append(told(grp, strategy, w, assets, warnings))
         return pd.concat(out).astype({"weight": float})
 
-    out = rows.groupBy("grp", "own").applyInPandas(run, WEIGHTS.format(by="grp"))
+    return rows.groupBy("grp", "own").applyInPandas(run, WEIGHTS)
+
+
+def _by_planes(returns: DataFrame, names: list[str], constraints: Constraints) -> DataFrame:
+    """The strategies of a tail over one whole history, by cutting planes."""
+    from .tails import least_tail
+
+    spark, rows = returns.sparkSession, []
+
+    def system(assets: list[str]):
+        _checked(assets, constraints)
+        return constraints.system(assets)
+
+    for name in names:
+        try:
+            weights, _, _ = least_tail(returns, system, name == "MinCDaR", least=constraints.min_weight)
+            rows += [("all", name, t, w, None) for t, w in weights.items()]
+        except (Infeasible, np.linalg.LinAlgError) as error:
+            rows.append(("all", name, None, None, json.dumps([f"{name}: {error}"])))
+    return spark.createDataFrame(rows, WEIGHTS)
+
+
+def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), constraints: Constraints = FREE, rf: float = 0.0, by: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """``strategy, ticker, weight, warning`` for each group of ``by``; without ``by`` of the whole history.
+
+    ``returns`` holds ``date, ticker, return``. Spark makes means, covariances and Gerber covariances, and a solver gets a
+    row for each pair of tickers; ``known``, if given, holds the moments of the groups. The least tails of one history are
+    found by cutting planes; those of groups, and HRP_CVaR, get the returns of their group. A strategy that fails has one
+    row, without ticker and weight.
+    """
+    from .moments import comoves, moments
+
+    names = list(strategies)
+    if unknown := set(names) - STRATEGIES.keys():
+        raise ValueError(f"unknown strategies: {sorted(unknown)}")
+    rows = returns.select((F.col(by).cast("string") if by else F.lit("all")).alias("grp"), "date", "ticker", "return")
+    plain = [n for n in names if n not in BY_GERBER | BY_RETURNS]
+    signs = [n for n in names if n in BY_GERBER]
+    planes = [n for n in names if n in BY_TAIL] if by is None else []
+    whole = [n for n in names if n in BY_RETURNS and n not in planes]
+    parts = []
+    if plain:
+        found = known.withColumn("grp", F.col(by).cast("string")) if known is not None else moments(rows, ("grp",))
+        parts.append(_solved(found, plain, by_moments, by is None, constraints, rf))
+    if signs:
+        parts.append(_solved(comoves(rows, ("grp",)), signs, by_gerber, by is None, constraints, rf))
+    if whole:
+        parts.append(_solved(rows, whole, by_returns, by is None, constraints, rf))
+    if planes:
+        parts.append(_by_planes(rows, planes, constraints))
+    out = reduce(DataFrame.unionByName, parts)
+    if known is None and plain + signs:  # a group without a date that all its tickers share has no moments
+        lone = rows.select("grp").distinct().join(aligned(rows, "return", ("grp",)).select("grp").distinct(), "grp", "left_anti")
+        few = F.to_json(F.array(F.concat("strategy", F.lit(f": {TOO_FEW}"))))
+        lone = lone.withColumn("strategy", F.explode(F.array(*map(F.lit, plain + signs))))
+        out = out.unionByName(lone.select("grp", "strategy", F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("double").alias("weight"), few.alias("warning")))
     out = out.withColumn("weight", F.when(F.col("ticker").isNotNull(), F.col("weight")))
     return out.withColumnRenamed("grp", by) if by else out.drop("grp")
 

@@ -24,12 +24,16 @@ def to_wide(long: DataFrame, tickers: Sequence[str] | None = None, value: str =
     return pivot.agg(F.first(value, ignorenulls=True)).orderBy(index)
 
 
-def aligned(long: DataFrame, value: str = "price") -> DataFrame:
-    """The shared calendar: tickers with any value at all, on dates on which each of them has one."""
+def aligned(long: DataFrame, value: str = "price", by: Sequence[str] = ()) -> DataFrame:
+    """The shared calendar, of each group of ``by``: tickers with any value at all, on dates on which each of them has one."""
     some = long.where(F.col(value).isNotNull())
-    tickers = some.agg(F.count_distinct("ticker").alias("tickers"))
-    whole = some.groupBy("date").agg(F.count_distinct("ticker").alias("n")).join(F.broadcast(tickers), F.col("n") == F.col("tickers"), "left_semi")
-    return some.join(whole, "date", "left_semi")
+    tickers = some.groupBy(*by).agg(F.count_distinct("ticker").alias("tickers"))
+    found = some.groupBy(*by, "date").agg(F.count_distinct("ticker").alias("n"))
+    if by:
+        whole = found.join(tickers, list(by)).where("n = tickers").select(*by, "date")
+    else:
+        whole = found.join(F.broadcast(tickers), F.col("n") == F.col("tickers"), "left_semi")
+    return some.join(whole, [*by, "date"], "left_semi")
 
 
 def latest(long: DataFrame, value: str = "price") -> DataFrame:
