@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ FACTOR = 0x9E3779B97F4A7C15
 HOT = 5000
 #: Bytes of one suffix array.
 ARRAY = 2 << 20
+#: Lots that stretches are made and compared in, one after another.
+LOTS = 2
 
 
 def encoded(text: str | None) -> bytes:
@@ -53,25 +56,30 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the factor and of its inverse, modulo 2 to the 64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        for factor in (FACTOR, pow(FACTOR, -1, 1 << 64)):
+            powers = np.full(size, factor, np.uint64)
+            powers[0] = 1
+            _POWERS.append(np.cumprod(powers, dtype=np.uint64))
+        del _POWERS[:-2]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def grams(body: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` bytes at each place, by doubling."""
-    if len(body) < size:
+    """A hash of the ``size`` bytes at each place, from sums of bytes times powers of a factor."""
+    n = len(body) - size + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    power, width = body.astype(np.uint64) + np.uint64(1), 1
-    out, done = None, 0
-    while True:
-        if size & width:
-            if out is None:
-                out = power
-            else:
-                tail = power[done:]
-                n = min(len(out), len(tail))
-                out = out[:n] * np.uint64(pow(FACTOR, width, 1 << 64)) + tail[:n]
-            done += width
-        if width * 2 > size:
-            return _mixed(out[: len(body) - size + 1])
-        power = power[:-width] * np.uint64(pow(FACTOR, width, 1 << 64)) + power[width:]
-        width *= 2
+    powers, inverses = _powers(len(body))
+    sums = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
+    return _mixed((sums[size:] - sums[:-size]) * inverses[:n])
 
 
 def anchors(body: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -87,6 +95,12 @@ def anchors(body: np.ndarray, length: int, gram: int) -> np.ndarray:
     return least.view(np.int64)
 
 
+def _changes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the runs of equal ones, and how long each is."""
+    at = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else np.zeros(1, np.int64)
+    return values[at[:-1]], np.diff(at)
+
+
 def _words_of(body: np.ndarray, places: np.ndarray, length: int) -> list[np.ndarray]:
     """The ``length`` bytes at each place as numbers of eight bytes, the first byte weighing most; the last may overlap."""
     width = min(8, length)
@@ -170,7 +184,7 @@ def _first_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.unique(anchors(np.frombuffer(encoded(x.as_py()), np.uint8), length, gram)) for x in batch.column("text")]
+            lists = [np.unique(_changes(anchors(np.frombuffer(encoded(x.as_py()), np.uint8), length, gram))[0]) for x in batch.column("text")]
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
             t, first = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("t", "first"))
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(first), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], names=["t", "first", "hash"])
@@ -200,10 +214,13 @@ class Stretches:
     def hashes(self) -> np.ndarray:
         return grams(self.body, self.length)[self.places].view(np.int64)
 
-    def rows(self, starts: np.ndarray, stops: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
-        """The strings from each start to each stop as rows, with their bytes if they have a key."""
+    def rows(self, starts: np.ndarray, stops: np.ndarray, key: np.ndarray | None = None, lone: np.ndarray | None = None) -> pa.RecordBatch:
+        """The strings from each start to each stop as rows, with their bytes if they have a key. The places of ``lone``
+        ones, which stand for all equal strings of their text, are written as negative numbers."""
         row, n = self.row[starts], stops - starts
         at = self.at[row] + self.inside[starts]
+        if lone is not None:
+            at = np.where(lone, -1 - at, at)
         if key is None:
             keys, bodies = pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.binary())
         else:
@@ -226,14 +243,14 @@ def _sent(candidates: DataFrame, length: int, gram: int) -> DataFrame:
     among the texts of the task, without a key, and the stretches left, with a key and their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[Stretches] = []
+        parts: list[tuple] = []
         marks: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            array = Stretches.joined(length, parts)
-            if not len(array.places):
+            if not parts:
                 return
+            array = Stretches(length, *(np.concatenate(x) for x in zip(*parts)))
             mine, hot = (np.concatenate(x) for x in zip(*marks))
             hashes = array.hashes()
             later = earlier(array.body, array.places, array.first[array.row], length, hashes)
@@ -249,21 +266,21 @@ def _sent(candidates: DataFrame, length: int, gram: int) -> DataFrame:
                 kept[lone] = False
                 kept[lone[np.unique(own, axis=1, return_index=True)[1]]] = True
                 starts, stops, keys = starts[kept], stops[kept], keys[kept]
-            yield array.rows(starts, stops, keys)
+            yield array.rows(starts, stops, keys, hot[starts])
 
         for batch in batches:
             columns = zip(batch.column("t").to_pylist(), batch.column("first").to_pylist(), batch.column("text"), batch.column("hashes"), batch.column("hot"))
             for t, first, text, listed, hot in columns:
                 body = np.frombuffer(encoded(text.as_py()), np.uint8)
-                mine = anchors(body, length, gram)
+                mine, long = _changes(anchors(body, length, gram))
                 found = np.isin(mine, listed.values.to_numpy())
-                starts, stops = runs(found, np.zeros(len(found), np.int8))
+                whole = np.repeat(found, long)
+                starts, stops = runs(whole, np.zeros(len(whole), np.int8))
                 if len(starts):
                     sizes = stops - starts + length - 1
-                    rows = np.full(len(starts), t), np.full(len(starts), first)
-                    parts.append(Stretches(length, body[ranges(starts, sizes)], sizes, *rows, starts, np.zeros(len(starts))))
-                    mine = mine[found]
-                    marks.append((mine, np.isin(mine, hot.values.to_numpy())))
+                    parts.append((body[ranges(starts, sizes)], sizes, np.full(len(starts), t), np.full(len(starts), first), starts, np.zeros(len(starts), np.int64)))
+                    mine, long = mine[found], long[found]
+                    marks.append((np.repeat(mine, long), np.repeat(np.isin(mine, hot.values.to_numpy()), long)))
                     held += int(sizes.sum())
                 if held > ARRAY:
                     yield from done()
@@ -302,32 +319,37 @@ def _met(sent: DataFrame, length: int) -> DataFrame:
         if parts:
             yield done()[0]
 
-    rows = sent.where("key IS NOT NULL").repartition("key").sortWithinPartitions("key", "first")
+    rows = sent.repartition("key").sortWithinPartitions("key", "first")
     return rows.mapInArrow(run, FOUND)
 
 
 def _cut(texts: DataFrame, length: int, kept: str, digest: bool) -> DataFrame:
-    """Removes what the strings at the places of ``gone`` cover, wherever the text holds them."""
+    """Removes what the strings at the places of ``gone`` cover."""
+
+    def covered(body: bytes, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the removed runs start and stop."""
+        lone = at < 0
+        if lone.any():  # wherever the text holds them
+            hashes = grams(np.frombuffer(body, np.uint8), length)
+            more = np.flatnonzero(np.isin(hashes, hashes[-1 - at[lone]]))
+            at, n = np.concatenate([at[~lone], more]), np.concatenate([n[~lone], np.ones(len(more), np.int64)])
+        order = np.argsort(at)
+        at, stop = at[order], np.maximum.accumulate((at + n)[order]) + length - 1
+        new = np.concatenate([[True], at[1:] > stop[:-1]])
+        return at[new], stop[np.concatenate([new[1:], [True]])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, left = [], [], [], []
             for text, gone in zip(batch.column("text"), batch.column("gone")):
-                body = encoded(text.as_py())
-                places = np.frombuffer(body, np.uint8)
-                stay = np.ones(len(body), bool)
-                if gone.is_valid and len(body) >= length:
-                    at, n = (gone.values.field(c).to_numpy() for c in ("at", "n"))
-                    hashes = grams(places, length)
-                    hit = np.isin(hashes, hashes[ranges(at, n)])
-                    edge = np.zeros(len(body) + 1, np.int64)
-                    edge[: len(hit)] += hit
-                    edge[length : length + len(hit)] -= hit
-                    stay = np.cumsum(edge[: len(body)]) == 0
-                out = places[stay].tobytes()
+                out = body = encoded(text.as_py())
+                starts = ()
+                if gone.is_valid:
+                    starts, stops = covered(body, *(gone.values.field(c).to_numpy() for c in ("at", "n")))
+                    out = b"".join(body[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(body)]))
                 sizes.append(len(body))
                 removed.append(len(body) - len(out))
-                spans.append(len(runs(~stay, np.zeros(len(stay), np.int8))[0]))
+                spans.append(len(starts))
                 left.append(hashlib.sha256(out).hexdigest() if digest else out)
             kind = pa.string() if digest else pa.binary()
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("first"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(left, kind)], names=["digest", "first", "n_bytes", "n_removed", "n_spans", kept])
@@ -354,12 +376,20 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     listed = stored(listed, "candidates")
     drop(met, repeated)
     release(spark)
-    sent = stored(_sent(texts.join(listed, "t"), length, gram), "stretches")
+    # In lots, so that of what is shuffled only a part is on disk at a time.
+    lot = lambda frame, column, i: frame.where(F.pmod(F.xxhash64(column), F.lit(LOTS)) == i)
+    sent, parts = [], []
+    for i in range(LOTS):
+        sent.append(stored(_sent(lot(texts, "t", i).join(lot(listed, "t", i), "t"), length, gram), "stretches"))
+        release(spark)
     drop(listed)
-    release(spark)
-    gone = sent.where("key IS NULL").unionByName(_met(sent, length)).groupBy("t").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
-    gone = stored(gone, "gone")
-    drop(sent)
+    whole = reduce(DataFrame.unionByName, sent)
+    for i in range(LOTS):
+        parts.append(stored(_met(lot(whole.where("key IS NOT NULL"), "key", i), length), "met"))
+        release(spark)
+    found = reduce(DataFrame.unionByName, [whole.where("key IS NULL"), *parts])
+    gone = stored(found.groupBy("t").agg(F.collect_list(F.struct("at", "n")).alias("gone")), "gone")
+    drop(*sent, *parts)
     release(spark)
     kept = "kept_sha256" if digest else "kept"
     done = stored(_cut(texts.join(gone, "t", "left"), length, kept, digest), "cut")
