@@ -41,7 +41,7 @@ def made(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("length,gram,hot,array", [(50, 16, 5000, 2 << 20), (50, 16, 3, 2000), (20, 16, 0, 500), (7, 16, 2, 100)])
+@pytest.mark.parametrize("length,gram,hot,array", [(50, 16, 5000, 1 << 20), (50, 16, 3, 2000), (20, 16, 0, 500), (7, 16, 2, 100)])
 def test_deduplicate(spark, docs, none, monkeypatch, length, gram, hot, array):
     monkeypatch.setattr(suffixes, "ARRAY", array)
     extra = spark.createDataFrame(made(length, 60), "doc_id long, text string").repartition(5)

@@ -40,13 +40,16 @@ FACTOR = 0x9E3779B97F4A7C15
 #: Texts with one anchor from which its strings are dealt one by one.
 HOT = 5000
 #: Bytes of one suffix array.
-ARRAY = 2 << 20
-#: Lots that stretches are made and compared in, one after another.
+ARRAY = 1 << 20
+#: Lots of keys that are compared one after another, so that only a part of what is shuffled is on disk at a time.
 LOTS = 2
 
 
-def encoded(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def bodies(column: pa.BinaryArray) -> Iterator[np.ndarray]:
+    """The bytes of each value, without a copy."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    whole = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return (whole[a:b] for a, b in zip(offsets, offsets[1:]))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -180,16 +183,16 @@ def runs(found: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``t``, ``first``, ``hash``: the anchors of each text, once each."""
+    """``t``, ``hash``: the anchors of each text, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.unique(_changes(anchors(np.frombuffer(encoded(x.as_py()), np.uint8), length, gram))[0]) for x in batch.column("text")]
+            lists = [np.unique(_changes(anchors(x, length, gram))[0]) for x in bodies(batch.column("text"))]
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            t, first = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("t", "first"))
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(first), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], names=["t", "first", "hash"])
+            t = np.repeat(batch.column("t").to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], names=["t", "hash"])
 
-    return texts.select("t", "first", "text").mapInArrow(run, "t long, first long, hash long")
+    return texts.select("t", F.col("text").cast("binary")).mapInArrow(run, "t long, hash long")
 
 
 FOUND = "t long, first long, at long, n long, key long, body binary"
@@ -269,9 +272,8 @@ def _sent(candidates: DataFrame, length: int, gram: int) -> DataFrame:
             yield array.rows(starts, stops, keys, hot[starts])
 
         for batch in batches:
-            columns = zip(batch.column("t").to_pylist(), batch.column("first").to_pylist(), batch.column("text"), batch.column("hashes"), batch.column("hot"))
-            for t, first, text, listed, hot in columns:
-                body = np.frombuffer(encoded(text.as_py()), np.uint8)
+            columns = zip(batch.column("t").to_pylist(), batch.column("first").to_pylist(), bodies(batch.column("text")), batch.column("hashes"), batch.column("hot"))
+            for t, first, body, listed, hot in columns:
                 mine, long = _changes(anchors(body, length, gram))
                 found = np.isin(mine, listed.values.to_numpy())
                 whole = np.repeat(found, long)
@@ -287,7 +289,7 @@ def _sent(candidates: DataFrame, length: int, gram: int) -> DataFrame:
                     parts, marks, held = [], [], 0
         yield from done()
 
-    return candidates.select("t", "first", "text", "hashes", "hot").mapInArrow(run, FOUND)
+    return candidates.select("t", "first", F.col("text").cast("binary"), "hashes", "hot").mapInArrow(run, FOUND)
 
 
 def _met(sent: DataFrame, length: int) -> DataFrame:
@@ -326,11 +328,11 @@ def _met(sent: DataFrame, length: int) -> DataFrame:
 def _cut(texts: DataFrame, length: int, kept: str, digest: bool) -> DataFrame:
     """Removes what the strings at the places of ``gone`` cover."""
 
-    def covered(body: bytes, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def covered(body: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the removed runs start and stop."""
         lone = at < 0
         if lone.any():  # wherever the text holds them
-            hashes = grams(np.frombuffer(body, np.uint8), length)
+            hashes = grams(body, length)
             more = np.flatnonzero(np.isin(hashes, hashes[-1 - at[lone]]))
             at, n = np.concatenate([at[~lone], more]), np.concatenate([n[~lone], np.ones(len(more), np.int64)])
         order = np.argsort(at)
@@ -341,12 +343,11 @@ def _cut(texts: DataFrame, length: int, kept: str, digest: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, left = [], [], [], []
-            for text, gone in zip(batch.column("text"), batch.column("gone")):
-                out = body = encoded(text.as_py())
-                starts = ()
+            for body, gone in zip(bodies(batch.column("text")), batch.column("gone")):
+                out, starts = body.tobytes(), ()
                 if gone.is_valid:
                     starts, stops = covered(body, *(gone.values.field(c).to_numpy() for c in ("at", "n")))
-                    out = b"".join(body[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(body)]))
+                    out = b"".join(out[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(body)]))
                 sizes.append(len(body))
                 removed.append(len(body) - len(out))
                 spans.append(len(starts))
@@ -354,7 +355,7 @@ def _cut(texts: DataFrame, length: int, kept: str, digest: bool) -> DataFrame:
             kind = pa.string() if digest else pa.binary()
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("first"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(left, kind)], names=["digest", "first", "n_bytes", "n_removed", "n_spans", kept])
 
-    return texts.select("digest", "first", "text", "gone").mapInArrow(run, f"digest binary, first long, n_bytes long, n_removed long, n_spans long, {kept} {'string' if digest else 'binary'}")
+    return texts.select("digest", "first", F.col("text").cast("binary"), "gone").mapInArrow(run, f"digest binary, first long, n_bytes long, n_removed long, n_spans long, {kept} {'string' if digest else 'binary'}")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, digest: bool = False) -> DataFrame:
@@ -369,27 +370,23 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     texts = stored(distinct.withColumn("t", F.monotonically_increasing_id()), "texts")
     release(spark)
     met = stored(_first_anchors(texts, length, gram), "anchors")
-    repeated = met.groupBy("hash").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.count("*").alias("texts")).where("lo < hi")
+    repeated = met.groupBy("hash").agg(F.count("*").alias("texts")).where("texts > 1")
     repeated = stored(repeated.select("hash", (F.col("texts") > hot).alias("hot")), "repeated")
     release(spark)
     listed = met.join(repeated, "hash").groupBy("t").agg(F.collect_list("hash").alias("hashes"), F.collect_list(F.when(F.col("hot"), F.col("hash"))).alias("hot"))
     listed = stored(listed, "candidates")
     drop(met, repeated)
     release(spark)
-    # In lots, so that of what is shuffled only a part is on disk at a time.
-    lot = lambda frame, column, i: frame.where(F.pmod(F.xxhash64(column), F.lit(LOTS)) == i)
-    sent, parts = [], []
-    for i in range(LOTS):
-        sent.append(stored(_sent(lot(texts, "t", i).join(lot(listed, "t", i), "t"), length, gram), "stretches"))
-        release(spark)
+    sent = stored(_sent(texts.join(listed, "t"), length, gram), "stretches")
     drop(listed)
-    whole = reduce(DataFrame.unionByName, sent)
+    release(spark)
+    parts = []
     for i in range(LOTS):
-        parts.append(stored(_met(lot(whole.where("key IS NOT NULL"), "key", i), length), "met"))
+        parts.append(stored(_met(sent.where("key IS NOT NULL").where(F.pmod(F.xxhash64("key"), F.lit(LOTS)) == i), length), "met"))
         release(spark)
-    found = reduce(DataFrame.unionByName, [whole.where("key IS NULL"), *parts])
+    found = reduce(DataFrame.unionByName, [sent.where("key IS NULL"), *parts])
     gone = stored(found.groupBy("t").agg(F.collect_list(F.struct("at", "n")).alias("gone")), "gone")
-    drop(*sent, *parts)
+    drop(sent, *parts)
     release(spark)
     kept = "kept_sha256" if digest else "kept"
     done = stored(_cut(texts.join(gone, "t", "left"), length, kept, digest), "cut")
