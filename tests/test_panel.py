@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.functions.features import features, names
+from tidepanel.functions.features import features, names, smoothed
 from tidepanel.functions.returns import log_returns, simple_returns
 from tidepanel.operators.boosting import Settings
 from tidepanel.operators import forecast as fc, metrics as fm, performance as perf, splits as sp
@@ -147,6 +147,25 @@ def test_features_equal_pandas_and_never_look_ahead(spark, prices):
     assert {r.rsi_14 for r in features(rising).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_smoothed_means_by_block(spark, block):
+    rng = np.random.default_rng(6)
+    rows = []
+    for ticker in ("X", "Y", "Z"):
+        moves = rng.normal(size=400)
+        moves[rng.random(400) < 0.2] = np.nan
+        moves[: 1 + 5 * (ticker == "Y")] = np.nan
+        moves = np.full(400, np.nan) if ticker == "Z" else moves
+        rows += [(ticker, i, None if np.isnan(m) else float(m), "x") for i, m in enumerate(moves)]
+    frame = spark.createDataFrame(rows, "ticker string, date int, delta double, f string")
+    got = smoothed(frame, block=block).toPandas().sort_values(["ticker", "date"])
+    assert list(got.columns) == ["ticker", "date", "delta", "f", "gain", "loss"] and len(got) == 1200
+    for _, own in got.groupby("ticker"):
+        for name, moves in (("gain", own["delta"].clip(lower=0)), ("loss", -own["delta"].clip(upper=0))):
+            want = moves.ewm(alpha=1 / 14, adjust=False).mean()
+            assert (own[name].isna() == want.isna()).all() and (own[name] - want).abs().max() < 1e-13 or want.isna().all()
+
+
 def test_splits_do_not_leak(prices):
     rows, failed = sp.splits(prices, 0.7)
     assert failed.count() == 0

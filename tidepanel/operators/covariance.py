@@ -87,6 +87,32 @@ def risk_contributions(weights: DataFrame, cov: DataFrame) -> DataFrame:
     return parts.select("strategy", F.col("i").alias("ticker"), share.alias("share"))
 
 
+def variance_residuals(weights: DataFrame, cov: DataFrame, low: float, high: float, cap: tuple[tuple[str, ...], float] | None = None, near: float = 1e-5) -> DataFrame:
+    """How far ``strategy, ticker, weight`` are from the least variance within ``low`` and ``high`` and, if given, a cap on
+    the sum of some tickers: ``residual``, in shares of the variance, 0 where nothing is amiss.
+
+    What a ticker adds at the margin is level for all that are free to move; those of the group whose cap is reached may lie
+    below. A ticker at its lower bound adds no less than the level, one at its upper bound no more. What exceeds a bound or
+    the cap, or is missing from 1, counts too."""
+    w = weights.select("strategy", F.col("ticker").alias("i"), F.col("weight").alias("w_i"))
+    v = weights.select("strategy", F.col("ticker").alias("j"), F.col("weight").alias("w_j"))
+    of = Window.partitionBy("strategy")
+    slopes = cov.join(v, "j").groupBy("strategy", "i").agg(F.sum(F.col("cov") * F.col("w_j")).alias("s")).join(w, ["strategy", "i"])
+    rows = slopes.withColumn("g", F.col("s") / F.sum(F.col("s") * F.col("w_i")).over(of))
+    member = F.col("i").isin(list(cap[0])) if cap else F.lit(False)
+    held = F.sum(F.when(member, F.col("w_i")).otherwise(0.0)).over(of)
+    reached = (held >= cap[1] - near) if cap else F.lit(False)
+    rows = rows.withColumns({"inside": member & reached, "over": F.greatest(held - cap[1], F.lit(0.0)) if cap else F.lit(0.0), "at_low": F.col("w_i") <= low + near, "at_high": F.col("w_i") >= high - near})
+    free = ~F.col("at_low") & ~F.col("at_high")
+    level = lambda inside: F.avg(F.when(free & (F.col("inside") == inside), F.col("g"))).over(of)
+    rows = rows.withColumns({"out": level(False), "in": level(True)}).withColumn("level", F.coalesce(F.when(F.col("inside"), F.col("in")), "out", "in"))
+    apart = F.col("g") - F.col("level")
+    amiss = F.when(free, F.abs(apart)).when(F.col("at_low"), F.greatest(-apart, F.lit(0.0))).otherwise(F.greatest(apart, F.lit(0.0)))
+    beyond = F.greatest(low - F.col("w_i"), F.col("w_i") - high, F.lit(0.0)) + F.abs(F.sum("w_i").over(of) - 1)
+    wrong = F.when(F.col("inside"), F.greatest(F.coalesce(F.col("in") - F.col("out"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    return rows.select("strategy", F.col("i").alias("ticker"), (amiss + beyond + wrong + F.col("over")).alias("residual"))
+
+
 def tail_mean(series: DataFrame, alpha: float = 0.05, by: str = "strategy") -> DataFrame:
     """``cvar``: the mean loss of the worst share ``alpha`` of each series, with part of a row where the share needs it."""
     place = Window.partitionBy(by).orderBy("return", "date")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.solvers import Infeasible, cleaned, gerber, hierarchical, hrp, hrp_cvar, positive_definite, quadratic, risk_parity, risk_shares
+from ..shared import stored
 from ..sources.frames import aligned
 from .performance import PERIODS
 
@@ -258,6 +259,8 @@ STRATEGIES: dict[str, Callable] = {
 }
 #: What each strategy has to know; the others get means and covariances.
 BY_GERBER, BY_RETURNS, BY_TAIL = frozenset({"Gerber_InvVar", "Gerber_HRP"}), frozenset({"HRP_CVaR", "MinCVaR", "MinCDaR"}), frozenset({"MinCVaR", "MinCDaR"})
+#: Dates of a linear program that one task solves.
+PROGRAM_DATES = 600
 TOO_FEW = "needs two assets and two dates"
 
 
@@ -353,9 +356,10 @@ def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES),
     """``strategy, ticker, weight, warning`` for each group of ``by``; without ``by`` of the whole history.
 
     ``returns`` holds ``date, ticker, return``. Spark makes means, covariances and Gerber covariances, and a solver gets a
-    row for each pair of tickers; ``known``, if given, holds the moments of the groups. The least tails of one history are
-    found by cutting planes; those of groups, and HRP_CVaR, get the returns of their group. A strategy that fails has one
-    row, without ticker and weight.
+    row for each pair of tickers; ``known``, if given, holds the moments of the groups. The least tails of one history of
+    more than ``PROGRAM_DATES`` dates are found by cutting planes; shorter ones and those of groups, whose linear programs
+    have a row for each date, and HRP_CVaR get the returns of their group. A strategy that fails has one row, without
+    ticker and weight.
     """
     from .moments import comoves, moments
 
@@ -363,9 +367,11 @@ def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES),
     if unknown := set(names) - STRATEGIES.keys():
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
     rows = returns.select((F.col(by).cast("string") if by else F.lit("all")).alias("grp"), "date", "ticker", "return")
+    if known is None:  # read several times
+        rows = stored(rows, "returns")
     plain = [n for n in names if n not in BY_GERBER | BY_RETURNS]
     signs = [n for n in names if n in BY_GERBER]
-    planes = [n for n in names if n in BY_TAIL] if by is None else []
+    planes = [n for n in names if n in BY_TAIL] if by is None and BY_TAIL & set(names) and rows.select("date").distinct().count() > PROGRAM_DATES else []
     whole = [n for n in names if n in BY_RETURNS and n not in planes]
     parts = []
     if plain:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -9,6 +11,7 @@ from ..operators import covariance as cov, forecast as fc, metrics as fm, perfor
 from ..operators.boosting import Settings, split_gains
 from ..operators.backtest import Config, backtest, curves, summary
 from ..operators.optimize import Constraints, efficient_set, optimize
+from ..shared import stored
 from ..sources.bars import ORACLE as BARS, bars, prices
 from ..sources.frames import aligned
 from ..functions.features import names
@@ -286,29 +289,28 @@ def _optimize(spark, sf_dir):
     return rounded(optimize(monthly(spark, sf_dir)), 4)
 
 
-#: How far a solution may be from what makes it optimal, in shares of the portfolio's variance.
-NEAR = 1e-5
 TICKERS = "SELECT DISTINCT p_type AS ticker FROM part SEMI JOIN lineitem ON l_partkey = p_partkey"
+#: Limits that bind: lower and upper bounds and a cap.
+BOUND = Constraints(min_weight=0.12, max_weight=0.22, group_caps={"small": (("ECONOMY", "SMALL"), 0.29)})
 
 
-@query("optimize_conditions", f"SELECT strategy, ticker, true AS in_bounds, true AS whole, true AS optimal FROM ({TICKERS}) CROSS JOIN (VALUES ('GMV'), ('Markowitz_MinVar'), ('RiskParity')) AS s(strategy)")
+@query("optimize_conditions", f"SELECT strategy, ticker, 0.0::DOUBLE AS residual FROM ({TICKERS}) CROSS JOIN (VALUES ('GMV'), ('Markowitz_MinVar'), ('RiskParity'), ('bounded'), ('capped')) AS s(strategy)")
 def _conditions(spark, sf_dir):
-    """What a solution has to satisfy, by the covariances that Spark makes: weights within their bounds that sum to 1; of
-    least variance, no ticker adds less at the margin than the portfolio as a whole, and those that are held and not at a
-    bound add as much; of equal risk, each ticker has its share."""
-    returns = monthly(spark, sf_dir)
-    weights = optimize(returns, ("GMV", "Markowitz_MinVar", "RiskParity")).where("ticker IS NOT NULL")
-    shares = cov.risk_contributions(weights, cov.covariance(returns)).join(weights, ["strategy", "ticker"])
-    of = Window.partitionBy("strategy")
-    low = F.when(F.col("strategy") == "GMV", -1.0).otherwise(0.0)
-    margin = F.try_divide("share", "weight") - 1  # what a ticker adds at the margin, less what the portfolio does
-    inside = (F.col("weight") > low + 1e-4) & (F.col("weight") < 1 - 1e-4)
-    least = F.when(inside, F.abs(F.col("share") - F.col("weight")) <= NEAR).when(F.col("weight") <= low + 1e-4, F.coalesce(margin >= -1e-2, F.lit(True))).otherwise(F.lit(True))
-    equal = F.abs(F.col("share") - 1 / F.count("*").over(of)) <= NEAR
-    return shares.select(
-        "strategy", "ticker", ((F.col("weight") >= low - 1e-9) & (F.col("weight") <= 1 + 1e-9)).alias("in_bounds"), (F.abs(F.sum("weight").over(of) - 1) <= 1e-9).alias("whole"),
-        F.when(F.col("strategy") == "RiskParity", equal).otherwise(least).alias("optimal"),
-    )
+    """How far solutions are from what makes them optimal, by the covariances that Spark makes, to four digits of the
+    portfolio's variance: of least variance, without limits and where limits bind; and of equal risk."""
+    returns = stored(monthly(spark, sf_dir), "monthly")
+    matrix = cov.covariance(returns)
+    weights = lambda name, c=Constraints(): optimize(returns, (name,), c).where("ticker IS NOT NULL").select("strategy", "ticker", "weight")
+    named = lambda name, c: weights("Markowitz_MinVar", c).withColumn("strategy", F.lit(name))
+    boxed = Constraints(min_weight=BOUND.min_weight, max_weight=BOUND.max_weight)
+    parts = [
+        cov.variance_residuals(weights("GMV"), matrix, -1.0, 1.0), cov.variance_residuals(weights("Markowitz_MinVar"), matrix, 0.0, 1.0),
+        cov.variance_residuals(named("bounded", boxed), matrix, boxed.min_weight, boxed.max_weight), cov.variance_residuals(named("capped", BOUND), matrix, BOUND.min_weight, BOUND.max_weight, BOUND.group_caps["small"]),
+    ]
+    equal = weights("RiskParity")
+    shares = cov.risk_contributions(equal, matrix)
+    parts.append(shares.select("strategy", "ticker", F.abs(F.col("share") - 1 / F.count("*").over(Window.partitionBy("strategy"))).alias("residual")))
+    return rounded(reduce(DataFrame.unionByName, parts), 4)
 
 
 @query("optimize_constrained")
