@@ -259,8 +259,8 @@ STRATEGIES: dict[str, Callable] = {
 }
 #: What each strategy has to know; the others get means and covariances.
 BY_GERBER, BY_RETURNS, BY_TAIL = frozenset({"Gerber_InvVar", "Gerber_HRP"}), frozenset({"HRP_CVaR", "MinCVaR", "MinCDaR"}), frozenset({"MinCVaR", "MinCDaR"})
-#: Dates of a linear program that one task solves.
-PROGRAM_DATES = 600
+#: Dates of a linear program, and assets of a hierarchy, that one task takes.
+PROGRAM_DATES, MATRIX_ASSETS = 600, 500
 TOO_FEW = "needs two assets and two dates"
 
 
@@ -333,6 +333,16 @@ def _solved(rows: DataFrame, names: list[str], read: Callable, split: bool, cons
     return rows.groupBy("grp", "own").applyInPandas(run, WEIGHTS)
 
 
+def _by_tree(matrix: DataFrame, name: str, constraints: Constraints) -> DataFrame:
+    """Hierarchical weights of one whole history with many assets."""
+    from .linkage import hierarchical_weights
+
+    warnings: list[str] = []
+    _unbounded(name, constraints, warnings)
+    text = json.dumps(warnings) if warnings else None
+    return matrix.sparkSession.createDataFrame([("all", name, t, w, text) for t, w in hierarchical_weights(matrix).items()], WEIGHTS)
+
+
 def _by_planes(returns: DataFrame, names: list[str], constraints: Constraints) -> DataFrame:
     """The strategies of a tail over one whole history, by cutting planes."""
     from .tails import least_tail
@@ -358,7 +368,8 @@ def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES),
     ``returns`` holds ``date, ticker, return``. Spark makes means, covariances and Gerber covariances, and a solver gets a
     row for each pair of tickers; ``known``, if given, holds the moments of the groups. The least tails of one history of
     more than ``PROGRAM_DATES`` dates are found by cutting planes; shorter ones and those of groups, whose linear programs
-    have a row for each date, and HRP_CVaR get the returns of their group. A strategy that fails has one row, without
+    have a row for each date, and HRP_CVaR get the returns of their group. Hierarchies of more than ``MATRIX_ASSETS`` assets
+    of one history are made by ``linkage``. A strategy that fails has one row, without
     ticker and weight.
     """
     from .moments import comoves, moments
@@ -374,6 +385,13 @@ def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES),
     planes = [n for n in names if n in BY_TAIL] if by is None and BY_TAIL & set(names) and rows.select("date").distinct().count() > PROGRAM_DATES else []
     whole = [n for n in names if n in BY_RETURNS and n not in planes]
     parts = []
+    trees = {"HRP", "Gerber_HRP"} & set(names) if by is None else set()
+    if trees and rows.select("ticker").distinct().count() > MATRIX_ASSETS:
+        from .covariance import covariance, gerber as signs_of
+
+        for name in sorted(trees):
+            parts.append(_by_tree(covariance(rows) if name == "HRP" else signs_of(rows), name, constraints))
+        plain, signs = [n for n in plain if n not in trees], [n for n in signs if n not in trees]
     if plain:
         found = known.withColumn("grp", F.col(by).cast("string")) if known is not None else moments(rows, ("grp",))
         parts.append(_solved(found, plain, by_moments, by is None, constraints, rf))
