@@ -1,6 +1,8 @@
 """The panel operators: stores and upserts, features, splits, metrics and the SQL surface."""
 
 import math
+import os
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 import numpy as np
@@ -15,7 +17,8 @@ from tidepanel.operators import forecast as fc, metrics as fm, performance as pe
 from tidepanel.plans import service, sql
 from tidepanel.sources.frames import Frame, aligned, to_long, to_wide
 from tidepanel.sources.market import Market, SourceError, from_provider, wanted
-from tidepanel.sources.store import PriceStore
+from tidepanel.sources import store as store_module
+from tidepanel.sources.store import ConcurrentWrite, PriceStore
 from tidepanel.sources.synthetic import seed, synthetic_prices
 from tidepanel.streaming.ingest import bar_stream, ingest
 
@@ -65,8 +68,6 @@ def test_store_upserts(spark, prices, tmp_path):
     plan = store.scan(["AAA"], date(2018, 2, 1))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ticker" in plan or "ticker#" in plan.split("PartitionFilters")[1].split("]")[0]
     assert "GreaterThanOrEqual(date" in plan
-    touched = store._touched(store.scan(), bars.where("ticker = 'CCC'"))
-    assert touched.select("ticker").distinct().collect() == [("CCC",)] and "CCC" in touched._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
     answer, more = service.ask(store, "SELECT ticker, max(date) AS d FROM prices GROUP BY ticker ORDER BY ticker", 2)
     assert more and [tuple(r) for r in answer.collect()] == [("AAA", "2019-06-28"), ("BBB", "2019-06-28")]
     assert service.coverage(store)["total_rows"] == n
@@ -74,6 +75,70 @@ def test_store_upserts(spark, prices, tmp_path):
     assert not store.exists()
 
 
+def folders(store):
+    return sorted(os.listdir(store.root))
+
+
+def test_store_commits_versions(spark, prices, tmp_path):
+    store, bars = PriceStore(spark, str(tmp_path / "store")), as_bars(prices)
+    store.write(bars.where("ticker <> 'CCC'"), datetime(2020, 1, 1)).release()
+    seen, n = store.scan(), store.scan().count()
+    changed = bars.where("ticker = 'BBB'").withColumn("adj_close", F.col("adj_close") * 2)
+    report = store.write(changed, datetime(2020, 1, 2))
+    # A reader of before sees what was there; what is not needed any more stays until it is cleared away.
+    assert seen.count() == n and seen.where("ticker = 'BBB'").agg(F.sum("adj_close")).first()[0] * 2 == pytest.approx(store.scan(["BBB"]).agg(F.sum("adj_close")).first()[0])
+    assert report.revised == report.revisions.count() > 0 and folders(store) != ["bars", "manifest"]
+    report.release()
+    assert folders(store) == ["bars", "manifest"]
+    empty = store.write(bars.where("false"))
+    assert empty.rows_in == empty.rows_written == 0 and store.tickers().count() == 2
+    empty.release()
+    half = spark.createDataFrame([(date(2020, 1, 1), "A/B=1", 1.0), (date(2020, 1, 1), "0700", 2.0)], "date date, ticker string, adj_close double")
+    store.write(half).release()
+    assert {tuple(r) for r in store.scan(["a/b=1", "0700"]).select("ticker", "adj_close").collect()} == {("A/B=1", 1.0), ("0700", 2.0)}
+    assert store.vacuum() == 0 and store.scan().count() == n + 2
+    store.write(bars.where("ticker <> 'CCC'"), datetime(2020, 1, 3)).release()
+    store.write(half).release()
+    assert store.vacuum() == 3 and store.scan().count() == n + 2 and folders(store) == ["bars", "manifest"]
+
+
+def test_two_writers_lose_nothing(spark, prices, tmp_path):
+    store, bars = PriceStore(spark, str(tmp_path / "store")), as_bars(prices)
+    store.write(bars.where("ticker = 'AAA' AND date < '2018-06-01'")).release()
+    parts = [bars.where("ticker = 'BBB'"), bars.where("ticker = 'CCC'"), bars.where("ticker = 'AAA' AND date >= '2018-06-01' AND date < '2019-01-01'"), bars.where("ticker = 'AAA' AND date >= '2019-01-01'")]
+    with ThreadPoolExecutor(4) as pool:
+        reports = list(pool.map(lambda part: PriceStore(spark, store.root).write(part), parts))
+    assert store.scan().count() == bars.count() == store.scan().select("ticker", "date").distinct().count()
+    for report in reports:
+        report.release()
+    assert folders(store) == ["bars", "manifest"]
+
+
+def test_a_writer_gives_up_rather_than_lose_rows(spark, prices, tmp_path, monkeypatch):
+    store, bars = PriceStore(spark, str(tmp_path / "store")), as_bars(prices)
+    store.write(bars.where("ticker = 'AAA'")).release()
+    commit = store._commit
+
+    def beaten(number, of):  # someone else writes the same ticker first, each time
+        PriceStore(spark, store.root)._commit(number, of | {"AAA": "other%d" % number})
+        return commit(number, of)
+
+    monkeypatch.setattr(store, "_commit", beaten)
+    read = store._read
+    monkeypatch.setattr(store, "_read", lambda of: read({}) if any(v.startswith("other") for v in of.values()) else read(of))
+    with pytest.raises(ConcurrentWrite):
+        store.write(bars.where("ticker = 'AAA' AND date < '2018-02-01'"))
+    assert "staged" not in "".join(folders(store))
+    broken = PriceStore(spark, str(tmp_path / "broken"))
+    broken.write(bars.where("ticker = 'AAA'")).release()
+    with open(f"{broken.root}/manifest/000000000002.json", "w") as half:
+        half.write('{"AAA": ')
+    assert broken.scan().count() == bars.where("ticker = 'AAA'").count()
+    monkeypatch.setattr(store_module, "WAITS", 2)
+    with pytest.raises(ConcurrentWrite, match="never finished"):
+        broken.write(bars.where("ticker = 'BBB'"))
+
+
 @pytest.mark.parametrize("query", ["DROP TABLE prices", "SELECT 1; SELECT 2", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "CREATE TABLE t AS SELECT 1", "SET x = 1", "SELEC 1", "SELECT * FROM parquet.`/tmp`",
     "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT `java_method`('java.lang.System', 'exit', 1)", "SELECT 1 WHERE try_reflect('a', 'b') = 'x'", "SELECT builtin.reflect('a', 'b')",
     "SELECT (SELECT max(reflect('a', 'b')))", "WITH a AS (SELECT reflect('a', 'b') x) SELECT * FROM a", "SELECT 1 WHERE EXISTS (SELECT reflect('a', 'b'))", "SELECT x FROM VALUES (1) AS t(x) ORDER BY reflect('a', 'b')",

@@ -19,7 +19,7 @@ def ingest(stream: DataFrame, store: PriceStore, checkpoint: str, order: str | N
 
     def upsert(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.write(batch, order=order)
+            store.write(batch, order=order).release()
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
