@@ -1,13 +1,16 @@
 """Moments of groups and windows, and least tails by cutting planes, against one matrix in memory."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import solvers as so
 from tidepanel.operators import moments as mo, optimize as op, tails
-from tidepanel.operators.backtest import Config, estimation, indexed
-from tidepanel.operators.covariance import covariance, tail_mean, variance_residuals
+from tidepanel.operators.backtest import Config, backtest, estimation, indexed
+from tidepanel.operators.covariance import covariance, gerber_signs, tail_mean, variance_residuals
+from tidepanel.plans import service
 from tidepanel.operators.optimize import Constraints, min_cdar, min_cvar, optimize, solve
 
 NAMES = ["A", "B", "C", "D", "E"]
@@ -128,3 +131,34 @@ def test_residuals_tell_what_is_not_optimal(spark, panel):
             moved[i], moved[j] = w[i] + 0.02, w[j] - 0.02
             assert max(residuals(moved)) > 1e-3
     assert bound >= 3
+
+
+def test_closed_form_of_singular_covariances(panel):
+    frame, r = panel
+    twice = frame.unionByName(frame.where("ticker = 'B'").withColumn("ticker", F.lit("B2"))).withColumn("grp", F.lit(1))
+    got = {x.ticker: x.weight for x in op.closed_form(mo.moments(twice, ("grp",)), "grp").collect()}
+    alone = so.least_variance(np.cov(r.T))
+    assert abs(got["B"] - got["B2"]) < 1e-8 and abs(got["B"] * 2 - alone[1]) < 1e-8 and abs(got["E"] - alone[4]) < 1e-8
+    assert np.abs(alone - np.linalg.solve(np.cov(r.T), np.ones(5)) / np.linalg.solve(np.cov(r.T), np.ones(5)).sum()).max() < 1e-10
+
+
+def test_signs(panel):
+    frame, r = panel
+    frame = frame.withColumn("return", F.when(F.dayofmonth("date") == 3, 0.0).otherwise(F.col("return")))
+    r = frame.toPandas().pivot(index="date", columns="ticker", values="return").to_numpy()
+    same = np.array([[np.mean(np.sign(r[:, i]) * np.sign(r[:, j]) > 0) for j in range(5)] for i in range(5)])
+    want = np.clip((same - 0.5) / 0.5, 0, 1) * np.outer(r.std(0), r.std(0))
+    assert np.abs(matrix(gerber_signs(frame).collect(), "cov") - want).max() < 1e-15
+
+
+def test_progress_for_each_rebalance_and_cancelling(spark, panel):
+    frame, _ = panel
+    c, told = Config(60, 20), []
+    backtest(frame, ("GMV", "HRP"), c, solved=lambda done, of: told.append((done, of))).release()
+    assert told == sorted(told) and told[-1] == (18, 18) and len(set(told)) == len(told)
+    clock = threading.Timer(3, service.cancel, (spark, "mine"))
+    clock.start()
+    with pytest.raises(Exception, match="(?i)cancel"), service.cancellable(spark, "mine"):
+        spark.range(10**15).where("sin(id) > 2").count()
+    clock.join()
+    assert spark.range(5).count() == 5

@@ -63,6 +63,15 @@ def positive_definite(cov: np.ndarray, least: float = 1e-10) -> np.ndarray:
     return cov if low >= least else cov + (least - low) * np.eye(len(cov))
 
 
+def least_variance(cov: np.ndarray) -> np.ndarray:
+    """The weights of least variance without bounds, in closed form; where the covariances are singular, by their
+    pseudo-inverse."""
+    w = np.linalg.pinv((cov + cov.T) / 2).sum(1)
+    if abs(w.sum()) < 1e-300:
+        raise Infeasible("the weights sum to nought")
+    return w / w.sum()
+
+
 def cleaned(weights: np.ndarray, least: float = 0.0) -> np.ndarray:
     """Weights of next to nothing become the least allowed, then all are scaled to sum to 1."""
     weights = np.where(np.abs(weights) < 1e-9, max(least, 0.0), weights)

@@ -13,7 +13,9 @@ written once as a table in the shared folder, so no plan holds another's.
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -175,10 +177,37 @@ def _limited(rows: DataFrame, c: Config, last: int, strategies: list[str], const
     return parts
 
 
-def backtest(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), c: Config = Config(), constraints: Constraints = FREE, rf: float = 0.0, progress: Callable[[str, int, int], None] = lambda step, done, of: None) -> Result:
+@contextmanager
+def counted(counter, of: int, tell: Callable[[int], None], every: float = 0.2) -> Iterator[None]:
+    """While what is inside runs, tells what an accumulator has come to, up to ``of``; a task that runs again may count
+    twice, so it never tells more. What has come in is told at the end too."""
+    done, last = threading.Event(), 0
+
+    def look() -> None:
+        nonlocal last
+        if (now := min(counter.value, of)) > last:
+            last = now
+            tell(now)
+
+    def watch() -> None:
+        while not done.wait(every):
+            look()
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+        look()
+
+
+def backtest(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), c: Config = Config(), constraints: Constraints = FREE, rf: float = 0.0, progress: Callable[[str, int, int], None] = lambda step, done, of: None, solved: Callable[[int, int], None] = lambda done, of: None) -> Result:
     """``Equal`` and ``InverseVariance`` are plain aggregates; the other names are those of ``optimize``. Raises ValueError
     with what the solvers told where none of the strategies has a solution at the first rebalance. ``progress`` is called
-    after each step with its name, its number and the number of steps."""
+    after each step with its name, its number and the number of steps; ``solved`` while solvers run, from a thread of its
+    own, with how many rebalances of strategies are solved, which never falls, and of how many."""
     rows = indexed(returns)
     facts = rows.agg(F.max("idx").alias("last"), F.count_distinct("ticker").alias("assets")).first()
     if (facts["assets"] or 0) < 2:
@@ -186,6 +215,7 @@ def backtest(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES),
     if facts["last"] < c.lookback:
         raise ValueError("there are no more dates than the lookback")
     progress("calendar", 1, 3)
+    counter = returns.sparkSession.sparkContext.accumulator(0)
     windows = estimation(rows, c, facts["last"])
     names = list(strategies)
     plain = {"Equal": equal_weights, "InverseVariance": inverse_variance}
@@ -195,12 +225,14 @@ def backtest(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES),
         parts += _limited(rows, c, facts["last"], solver, constraints, rf)
     elif solver:
         known = window_moments(rows, c.lookback, c.every, facts["last"])
-        parts.append(optimize(windows.select("k", "date", "ticker", "return"), solver, constraints, rf, by="k", known=known))
+        parts.append(optimize(windows.select("k", "date", "ticker", "return"), solver, constraints, rf, by="k", known=known, counter=counter))
     columns = (F.col("k").cast("int").alias("k"), "strategy", "ticker", "weight", "warning")
     found = parts[0].select(*columns)
     for p in parts[1:]:
         found = found.unionByName(p.select(*columns))
-    found = stored(found, "targets")
+    of = len(solver) * ((facts["last"] - c.lookback) // c.every + 1)
+    with counted(counter, of, lambda done: solved(done, of)):
+        found = stored(found, "targets")
     targets = found.where("ticker IS NOT NULL").drop("warning")
     told = F.explode(F.from_json("warning", "array<string>")).alias("warning")
     messages = found.where("warning IS NOT NULL").select("k", "strategy", "warning").distinct().select("k", "strategy", told)

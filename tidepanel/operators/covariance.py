@@ -70,6 +70,19 @@ def gerber(returns: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -
     return scaled.select(*by, "i", "j", (share * F.col("sd_i") * F.col("sd_j")).alias("cov"))
 
 
+def gerber_signs(returns: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """``i, j, cov``: the older statistic, by signs alone: how often two tickers move the same way, beyond ``threshold``, as
+    a share of what lies beyond it, none to all, times both population deviations. It need not be positive definite."""
+    whole = aligned(returns, "return", by).withColumn("way", F.signum("return")).withColumn("moved", F.abs("way"))
+    sds = whole.groupBy(*by, "ticker").agg(F.stddev_pop("return").alias("sd"))
+    of = lambda end: sds.select(*by, F.col("ticker").alias(end), F.col("sd").alias(f"sd_{end}"))
+    moved = products(whole, "moved", by).select(*by, "i", "j", F.col("product").alias("both"))
+    joint = products(whole, "way", by).join(moved, [*by, "i", "j"]).join(of("i"), [*by, "i"]).join(of("j"), [*by, "j"])
+    same = (F.col("product") + F.col("both")) / 2 / F.col("dates")
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (same - threshold) / (1 - threshold)))
+    return joint.select(*by, "i", "j", (share * F.col("sd_i") * F.col("sd_j")).alias("cov"))
+
+
 def inverse_variance(cov: DataFrame) -> DataFrame:
     """``ticker, weight`` from the diagonal alone."""
     own = cov.where("i = j").select(F.col("i").alias("ticker"), F.try_divide(F.lit(1.0), "cov").alias("inverse"))

@@ -96,3 +96,11 @@ def forecast(prices: DataFrame, backend: str = "naive", params: Params = Params(
 def returns_of(forecast: DataFrame) -> DataFrame:
     """Predicted and actual prices with the simple returns of each along a ticker's dates."""
     return forecast.select("ticker", "date", "predicted", "actual", simple("predicted").alias("predicted_return"), simple("actual").alias("actual_return"))
+
+
+def outer_aligned(forecast: DataFrame) -> DataFrame:
+    """A row for each date of any ticker and each ticker, null where a ticker has no forecast: tickers with different
+    histories line up by date. Of rows with one key the first counts. As large as the panel that it fills."""
+    rows = forecast.groupBy("date", "ticker").agg(F.first("predicted").alias("predicted"), F.first("actual").alias("actual"))
+    grid = rows.select("date").distinct().crossJoin(rows.select("ticker").distinct())
+    return grid.join(rows, ["date", "ticker"], "left").select("date", "ticker", "predicted", "actual")

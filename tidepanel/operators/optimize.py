@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.solvers import Infeasible, cleaned, gerber, hierarchical, hrp, hrp_cvar, positive_definite, quadratic, risk_parity, risk_shares
+from ..functions.solvers import Infeasible, cleaned, gerber, hierarchical, hrp, hrp_cvar, least_variance, positive_definite, quadratic, risk_parity, risk_shares
 from ..shared import stored
 from ..sources.frames import aligned
 from .performance import PERIODS
@@ -315,8 +315,9 @@ def by_returns(part: pd.DataFrame) -> tuple[Known, list[str], bool]:
     return Known(returns=r), assets, fits
 
 
-def _solved(rows: DataFrame, names: list[str], read: Callable, split: bool, constraints: Constraints, rf: float) -> DataFrame:
-    """The strategies of each ``grp`` in one task, or with ``split`` each in one of its own."""
+def _solved(rows: DataFrame, names: list[str], read: Callable, split: bool, constraints: Constraints, rf: float, counter=None) -> DataFrame:
+    """The strategies of each ``grp`` in one task, or with ``split`` each in one of its own. ``counter`` is an accumulator of
+    the groups that are done, times their strategies."""
     if not names:
         return rows.sparkSession.createDataFrame([], WEIGHTS)
     rows = rows.withColumn("own", F.explode(F.array(*map(F.lit, names))) if split else F.lit("all"))
@@ -328,6 +329,8 @@ def _solved(rows: DataFrame, names: list[str], read: Callable, split: bool, cons
         for strategy in names if own == "all" else [own]:
             w, warnings = solve(strategy, known, assets, constraints, rf) if fits else (None, [f"{strategy}: {TOO_FEW}"])
             out.append(told(grp, strategy, w, assets, warnings))
+        if counter is not None:
+            counter.add(len(out))
         return pd.concat(out).astype({"weight": float})
 
     return rows.groupBy("grp", "own").applyInPandas(run, WEIGHTS)
@@ -362,7 +365,7 @@ def _by_planes(returns: DataFrame, names: list[str], constraints: Constraints) -
     return spark.createDataFrame(rows, WEIGHTS)
 
 
-def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), constraints: Constraints = FREE, rf: float = 0.0, by: str | None = None, known: DataFrame | None = None) -> DataFrame:
+def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES), constraints: Constraints = FREE, rf: float = 0.0, by: str | None = None, known: DataFrame | None = None, counter=None) -> DataFrame:
     """``strategy, ticker, weight, warning`` for each group of ``by``; without ``by`` of the whole history.
 
     ``returns`` holds ``date, ticker, return``. Spark makes means, covariances and Gerber covariances, and a solver gets a
@@ -370,7 +373,7 @@ def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES),
     more than ``PROGRAM_DATES`` dates are found by cutting planes; shorter ones and those of groups, whose linear programs
     have a row for each date, and HRP_CVaR get the returns of their group. Hierarchies of more than ``MATRIX_ASSETS`` assets
     of one history are made by ``linkage``. A strategy that fails has one row, without
-    ticker and weight.
+    ticker and weight. ``counter``, an accumulator, counts the groups and strategies that tasks have solved.
     """
     from .moments import comoves, moments
 
@@ -394,11 +397,11 @@ def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES),
         plain, signs = [n for n in plain if n not in trees], [n for n in signs if n not in trees]
     if plain:
         found = known.withColumn("grp", F.col(by).cast("string")) if known is not None else moments(rows, ("grp",))
-        parts.append(_solved(found, plain, by_moments, by is None, constraints, rf))
+        parts.append(_solved(found, plain, by_moments, by is None, constraints, rf, counter))
     if signs:
-        parts.append(_solved(comoves(rows, ("grp",)), signs, by_gerber, by is None, constraints, rf))
+        parts.append(_solved(comoves(rows, ("grp",)), signs, by_gerber, by is None, constraints, rf, counter))
     if whole:
-        parts.append(_solved(rows, whole, by_returns, by is None, constraints, rf))
+        parts.append(_solved(rows, whole, by_returns, by is None, constraints, rf, counter))
     if planes:
         parts.append(_by_planes(rows, planes, constraints))
     out = reduce(DataFrame.unionByName, parts)
@@ -411,6 +414,22 @@ def optimize(returns: DataFrame, strategies: Iterable[str] = tuple(STRATEGIES),
     return out.withColumnRenamed("grp", by) if by else out.drop("grp")
 
 
+def closed_form(known: DataFrame, by: str) -> DataFrame:
+    """``by, ticker, weight``: least variance without bounds for each group of ``moments``, by the pseudo-inverse."""
+    kind = known.schema[by].dataType.simpleString()
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        cov, assets = square(part, "cov")
+        try:
+            w = least_variance(cov)
+        except (Infeasible, np.linalg.LinAlgError):
+            w = np.full(len(assets), np.nan)
+        return pd.DataFrame({by: part[by].iloc[0], "ticker": assets, "weight": w})
+
+    out = known.groupBy(by).applyInPandas(run, f"{by} {kind}, ticker string, weight double")
+    return out.withColumn("weight", F.nanvl("weight", F.lit(None).cast("double")))
+
+
 def efficient_set(returns: DataFrame, constraints: Constraints = FREE, points: int = 40, rf: float = 0.0) -> DataFrame:
     """A row for each point of the set, with its weights by ticker. Spark makes the means and the covariances; the
     group of a point holds a row for each pair of tickers. Fewer than two points can't be asked for."""

@@ -114,6 +114,16 @@ def _forecast_returns(spark, sf_dir):
     return rounded(fc.returns_of(naive(spark, sf_dir)))
 
 
+# Forecasts of tickers with different dates: some lack every third day.
+LATE = ("LARGE", "MEDIUM", "SMALL")
+
+
+@query("forecast_aligned", NAIVE + f", sparse AS (SELECT * FROM naive WHERE NOT (ticker IN {LATE} AND day(date) % 3 = 0)) SELECT date, ticker, predicted, actual FROM (SELECT DISTINCT date FROM sparse) CROSS JOIN (SELECT DISTINCT ticker FROM sparse) LEFT JOIN sparse USING (date, ticker)")
+def _aligned(spark, sf_dir):
+    some = naive(spark, sf_dir).where(~(F.col("ticker").isin(*LATE) & (F.dayofmonth("date") % 3 == 0)))
+    return fc.outer_aligned(some)
+
+
 # A forecast with calls of its own: halfway from the price before to the mean of the last five.
 def half(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.windows import by_date
@@ -258,6 +268,12 @@ def _gerber(spark, sf_dir):
     return rounded(cov.gerber(panel_returns(spark, sf_dir)))
 
 
+@query("gerber_signs", RETURNS + f""", sds AS (SELECT ticker, stddev_pop(r) AS sd FROM returns GROUP BY ticker), same AS (SELECT a.ticker AS i, b.ticker AS j, avg(CASE WHEN sign(a.r) * sign(b.r) > 0 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM returns a JOIN returns b USING (date) GROUP BY ALL)
+SELECT i, j, {r6('greatest(0, least(1, (p - 0.4) / 0.6)) * a.sd * b.sd', 'cov')} FROM same JOIN sds a ON a.ticker = i JOIN sds b ON b.ticker = j""")
+def _signs(spark, sf_dir):
+    return rounded(cov.gerber_signs(panel_returns(spark, sf_dir), 0.4))
+
+
 @query("gerber_inverse_variance", GERBER + f"SELECT i AS ticker, {r6('(1 / cov) / sum(1 / cov) OVER ()', 'weight')} FROM gerber WHERE i = j")
 def _inverse(spark, sf_dir):
     return rounded(cov.inverse_variance(cov.gerber(panel_returns(spark, sf_dir))))

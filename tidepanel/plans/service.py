@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date
 
@@ -50,6 +51,21 @@ def efficient(returns: DataFrame, constraints: Constraints = FREE, points: int =
     return all_points, all_points.orderBy(F.desc("sharpe"), "point").limit(1)
 
 
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """The jobs of what runs inside, in this thread, can be ended by ``cancel`` from another."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Ends the jobs that run under a tag; what waits for them raises."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 @dataclass(frozen=True)
 class Outcome:
     forecast: DataFrame
