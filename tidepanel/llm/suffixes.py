@@ -404,13 +404,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-starts AS (SELECT doc_id, n, unnest(range(1, n - 48)) AS i, x FROM d WHERE n >= 50),
-wins AS (SELECT doc_id, n, i, substr(x, 2 * i - 1, 100) AS s FROM starts),
+bases AS (SELECT doc_id, x, unnest(range(0, n, 500)) AS base FROM d WHERE n >= 50),
+parts AS (SELECT doc_id, base, substr(x, 2 * base + 1, 1098) AS y FROM bases),
+starts AS (SELECT doc_id, base, y, unnest(range(1, least(500, len(y) // 2 - 49) + 1)) AS i FROM parts),
+wins AS (SELECT doc_id, base + i AS i, substr(y, 2 * i - 1, 100) AS s FROM starts),
 firsts AS (SELECT s, min(doc_id) AS lo FROM wins GROUP BY s HAVING min(doc_id) < max(doc_id)),
-gone AS (SELECT doc_id, n, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM wins JOIN firsts USING (s) WHERE doc_id > lo),
+gone AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM wins JOIN firsts USING (s) WHERE doc_id > lo),
 sums AS (SELECT doc_id, CAST(sum(least(50, coalesce(after - i, 50))) AS BIGINT) AS n_removed, count(*) FILTER (before IS NULL OR i - before > 50) AS n_spans FROM gone GROUP BY doc_id),
-pieces AS (SELECT doc_id, i, substr((SELECT x FROM d WHERE d.doc_id = g.doc_id), 2 * (coalesce(before + 49, 0) + 1) - 1, 2 * greatest(i - 1 - coalesce(before + 49, 0), 0)) AS piece,
-  after IS NULL AS last FROM gone g),
+edges AS (SELECT * FROM gone WHERE before IS NULL OR i - before > 50 OR after IS NULL OR after - i > 50),
+pieces AS (SELECT doc_id, i, CASE WHEN before IS NULL OR i - before > 50 THEN substr(x, 2 * coalesce(before + 49, 0) + 1, 2 * (i - 1 - coalesce(before + 49, 0))) ELSE '' END AS piece FROM edges JOIN d USING (doc_id)),
 tails AS (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS head, max(i) + 49 AS stop FROM pieces GROUP BY doc_id)
 SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(CASE WHEN stop IS NULL THEN x ELSE head || substr(x, 2 * stop + 1) END)) AS kept_sha256
