@@ -155,7 +155,7 @@ def _metrics_summary(spark, sf_dir):
 
 @query("forecast_gbt")
 def _gbt(spark, sf_dir):
-    return rounded(fc.boosted(panel(spark, sf_dir), fc.Params(trees=Settings(trees=20)))[0])
+    return rounded(fc.boosted(panel(spark, sf_dir), fc.Params(trees=Settings(trees=8, leaves=15)))[0])
 
 
 @query("forecast_gbt_each")
