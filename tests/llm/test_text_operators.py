@@ -192,6 +192,18 @@ def test_neighbours(spark):
     assert neighbours.search(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_rows_that_share_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.2, 1.0]), (40, [1.0, 1.0]), (0, [1.0, 0.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=4).collect()
+    once = sorted(set((i, tuple(v)) for i, v in rows))
+    want = []
+    for i, v in once:
+        if i % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, x)), j) for j, x in once if (j, x) != (i, v))[:4]
+            want += [(i, rank, j, -m + 0.0) for rank, (m, j) in enumerate(near, 1)]
+    assert counted((r.query_id, r.rank, r.vec_id, r.score + 0.0) for r in got) == counted(want)
+
+
 def recall(spark, n, width, seed):
     import numpy as np
 

@@ -14,7 +14,8 @@ vectors are one entry with their smallest ids, as many as an answer can hold, so
 much more than its share is split, and its queries go to every part; a part passes on only each query's best.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and rows without an id take no part; shorter
-vectors count as padded with zeros. Rows that repeat an id and its vector count once. Ties go to the smaller id. A query
+vectors count as padded with zeros. Rows that repeat an id and its vector count once; rows that share an id and hold different
+vectors are rows of their own, each a query with ranks of its own and a candidate of the others. Ties go to the smaller id. A query
 with fewer candidates than asked for gets those there are; without candidates, as in an empty table, there are no rows.
 Columns besides the id and the vector are left out.
 """
@@ -122,7 +123,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
     kept = rows.groupBy("v", "id").agg(F.max("asks").alias("asks"))
     ids = kept.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     asks = kept.groupBy("v").agg(F.max("asks").alias("asks"))
-    entries = stored(ids.join(asks, "v").select(F.col("ids")[0].alias("id"), "ids", "v", "asks"), "vectors")
+    entries = stored(ids.join(asks, "v").select(F.monotonically_increasing_id().alias("no"), F.col("ids")[0].alias("id"), "ids", "v", "asks"), "vectors")
     norm = F.aggregate("v", F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     facts = entries.agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids"), F.max(F.size("v")).alias("width"), F.sqrt(F.max(norm)).alias("norm")).first()
     width = facts["width"] or 1
@@ -161,44 +162,44 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
             per_row = np.zeros(len(x), np.int64)
             per_row[asking] = np.bincount(first // (count * s.tables), minlength=len(q)) if len(q) else 0
             probes = pa.ListArray.from_arrays(pa.array(offsets_of(per_row), pa.int32()), structs)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), list_array(own.ravel(), np.arange(len(x) + 1) * s.tables, pa.int64()), probes], names=["id", "v", "own", "probes"])
+            yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("id"), batch.column("v"), list_array(own.ravel(), np.arange(len(x) + 1) * s.tables, pa.int64()), probes], names=["no", "id", "v", "own", "probes"])
 
-    marked = stored(entries.select("id", "v", "asks").mapInArrow(hashed, f"id long, v {kind}, own array<long>, probes array<struct<tab:int,block:long,cells:array<long>>>"), "hashed")
-    held = marked.select("id", "v", F.posexplode("own").alias("tab", "cell"))
-    held = held.select("id", "v", "tab", F.floor(F.col("cell") / F.lit(span)).alias("block"), F.array("cell").alias("cells"), F.lit(False).alias("asks"))
-    probed = marked.where(F.size("probes") > 0).select("id", "v", F.explode("probes").alias("p")).select("id", "v", "p.tab", "p.block", "p.cells", F.lit(True).alias("asks"))
+    marked = stored(entries.select("no", "id", "v", "asks").mapInArrow(hashed, f"no long, id long, v {kind}, own array<long>, probes array<struct<tab:int,block:long,cells:array<long>>>"), "hashed")
+    held = marked.select("no", "id", "v", F.posexplode("own").alias("tab", "cell"))
+    held = held.select("no", "id", "v", "tab", F.floor(F.col("cell") / F.lit(span)).alias("block"), F.array("cell").alias("cells"), F.lit(False).alias("asks"))
+    probed = marked.where(F.size("probes") > 0).select("no", "id", "v", F.explode("probes").alias("p")).select("no", "id", "v", "p.tab", "p.block", "p.cells", F.lit(True).alias("asks"))
     most = int(s.share * s.block_rows)
     large = held.groupBy("tab", "block").count().where(F.col("count") > most).select("tab", "block", F.ceil(F.col("count") / most).cast("int").alias("parts"))
     large = stored(large, "large")
 
     def met(held: DataFrame, probed: DataFrame) -> DataFrame:
-        """Each query's best of each block, and then of all: ``id`` and ``near``."""
+        """Each query's best of each block, and then of all: ``asker`` and ``rows``."""
         parts = F.coalesce("parts", F.lit(1))
-        own = held.join(large, ["tab", "block"], "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        own = held.join(large, ["tab", "block"], "left").withColumn("part", F.pmod(F.xxhash64("no"), parts).cast("int"))
         ask = probed.join(large, ["tab", "block"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        found = own.unionByName(ask).drop("parts").groupBy("tab", "block", "part").applyInPandas(best, "id long, near array<long>, scores array<double>")
+        found = own.unionByName(ask).drop("parts").groupBy("tab", "block", "part").applyInPandas(best, "no long, near array<long>, ids array<long>, scores array<double>")
         # Best first: largest product, then smallest id. An entry met in several tables has one score.
-        zipped = F.transform(F.arrays_zip("near", "scores"), lambda x: F.struct((-x["scores"]).alias("minus"), x["near"].alias("near")))
-        lists = found.select("id", zipped.alias("near")).groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
+        zipped = F.transform(F.arrays_zip("near", "ids", "scores"), lambda x: F.struct((-x["scores"]).alias("minus"), x["ids"].alias("id"), x["near"].alias("near")))
+        lists = found.select("no", zipped.alias("near")).groupBy("no").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
         fresh = F.filter("near", lambda x, i: (i == 0) | (x["near"] != F.col("near")[F.greatest(i - 1, F.lit(0))]["near"]))
-        near = lists.select(F.col("id").alias("asker"), F.explode(F.slice(fresh, 1, k + 1)).alias("near")).select("asker", F.col("near.near").alias("id"), F.col("near.minus").alias("minus"))
-        rows_of = F.transform("ids", lambda i: F.struct(F.col("minus"), i.alias("vec_id")))
-        return near.join(entries.select("id", "ids"), "id").select("asker", rows_of.alias("rows")).groupBy("asker").agg(F.slice(F.sort_array(F.flatten(F.collect_list("rows"))), 1, k + 1).alias("rows"))
+        near = lists.select(F.col("no").alias("asker"), F.explode(F.slice(fresh, 1, k + 1)).alias("near")).select("asker", F.col("near.near").alias("no"), F.col("near.minus").alias("minus"))
+        rows_of = F.transform("ids", lambda i: F.struct(F.col("minus"), i.alias("vec_id"), F.col("no")))
+        return near.join(entries.select("no", "ids"), "no").select("asker", rows_of.alias("rows")).groupBy("asker").agg(F.slice(F.sort_array(F.flatten(F.collect_list("rows"))), 1, k + 1).alias("rows"))
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
         def matrix(part):
             x = np.zeros((len(part), width))
             for i, v in enumerate(part["v"]):
                 x[i, : len(v)] = v
-            return x, part["id"].to_numpy()
+            return x, part["no"].to_numpy(), part["id"].to_numpy()
 
         asks = group["asks"].to_numpy()
-        (c, c_ids), (q, q_ids) = matrix(group[~asks]), matrix(group[asks])
+        (c, c_nos, c_ids), (q, q_nos, _) = matrix(group[~asks]), matrix(group[asks])
         # Vectors in the order of their cells, so that what a cell holds is a range.
         own = group["cells"][~asks].str[0].to_numpy(np.int64)
         order = np.lexsort((c_ids, own))
-        c, c_ids, own = c[order], c_ids[order], own[order]
-        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        c, c_nos, c_ids, own = c[order], c_nos[order], c_ids[order], own[order]
+        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         for i, cells in enumerate(group["cells"][asks]):
             if cells is None:
                 at = np.arange(len(c))
@@ -213,22 +214,22 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
                 some = scores >= -np.partition(-scores, k)[k]
                 at, scores = at[some], scores[some]
             first = np.lexsort((c_ids[at], -scores))[: k + 1]
-            out.append((q_ids[i], c_ids[at[first]], scores[first]))
-        return pd.DataFrame({"id": pd.Series([x[0] for x in out], dtype="int64"), "near": pd.Series([x[1] for x in out], dtype=object), "scores": pd.Series([x[2] for x in out], dtype=object)})
+            out.append((q_nos[i], c_nos[at[first]], c_ids[at[first]], scores[first]))
+        return pd.DataFrame({n: pd.Series([x[j] for x in out], dtype="int64" if n == "no" else object) for j, n in enumerate(("no", "near", "ids", "scores"))})
 
     answers = stored(met(held, probed), "answers")
     # Who met too few vectors is held against all of them, by way of the first table's blocks.
     enough = min(k + 1, facts["ids"] or 0)
-    short = marked.where(F.size("probes") > 0).select(F.col("id").alias("asker"), "v").join(answers.where(F.size("rows") >= enough).select("asker"), "asker", "left_anti")
+    short = marked.where(F.size("probes") > 0).select(F.col("no").alias("asker"), "v").join(answers.where(F.size("rows") >= enough).select("asker"), "asker", "left_anti")
     short = stored(short, "short")
     if not short.isEmpty():
         blocks = F.explode(F.sequence(F.lit(0), F.lit((cells - 1) // span)).cast("array<long>")).alias("block")
-        everywhere = short.select(F.col("asker").alias("id"), "v", F.lit(0).alias("tab"), blocks, F.lit(None).cast("array<long>").alias("cells"), F.lit(True).alias("asks"))
+        everywhere = short.select(F.col("asker").alias("no"), F.lit(0).cast("long").alias("id"), "v", F.lit(0).alias("tab"), blocks, F.lit(None).cast("array<long>").alias("cells"), F.lit(True).alias("asks"))
         again = met(held.where("tab = 0"), everywhere)
         answers = stored(answers.join(short.select("asker"), "asker", "left_anti").unionByName(again), "refilled")
     drop(marked, large, short)
-    askers = kept.where("asks").join(entries.where("asks").select(F.col("id").alias("asker"), "v"), "v").select(F.col("id").alias("query_id"), "asker")
-    others = F.slice(F.filter("rows", lambda r: r["vec_id"] != F.col("query_id")), 1, k)
+    askers = kept.where("asks").join(entries.where("asks").select(F.col("no").alias("asker"), "v"), "v").select(F.col("id").alias("query_id"), "asker")
+    others = F.slice(F.filter("rows", lambda r: (r["vec_id"] != F.col("query_id")) | (r["no"] != F.col("asker"))), 1, k)
     out = stored(askers, "queries").join(answers, "asker").select("query_id", F.posexplode(others).alias("rank", "row"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("row.vec_id").alias("vec_id"), (-F.col("row.minus")).alias("score"))
 
